@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -24,13 +23,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def cell(value):
-    """A comparable form: numbers by value, floats at 9 significant digits."""
+    """A sortable form: text and truth by value, numbers as floats."""
     if value is None or isinstance(value, (bool, str)):
         return repr(value)
-    if isinstance(value, float) and math.isnan(value):
-        return "nan"
-    return repr(float(f"{float(value):.9g}"))
+    return repr(float(value))
 
 
 def normal(columns, rows):
@@ -44,6 +44,10 @@ def difference(spark_df, con, sql: str) -> str | None:
     names = [d[0] for d in found.description]
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} / {sorted(names)}"
+    theirs = {d[0]: str(d[1]) for d in found.description}
+    for name, kind in spark_df.dtypes:
+        if KINDS.get(kind) != theirs[name] and theirs[name] != '"NULL"':
+            return f"type of {name}: {kind} / {theirs[name]}"
     want = normal(names, found.fetchall())
     got = normal(spark_df.columns, spark_df.collect())
     if len(got) != len(want):

@@ -63,11 +63,12 @@ def attach(
 def by_keys(df: DataFrame, key: str, keys: None | str | list[str] | DataFrame) -> DataFrame:
     """Rows of one key, of several keys, or of a table of keys; ``None`` keeps all rows.
 
-    Literal keys become a filter that reaches the scan, a key table a semi join.
+    Literal keys become a filter that reaches the scan, a key table a semi join that
+    spreads the rows of a very frequent key.
     """
     if keys is None:
         return df
     if isinstance(keys, DataFrame):
         wanted = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
-        return df.join(wanted, key, "left_semi")
+        return attach(df, wanted, key, [c for c in df.columns if c != key], "left_semi").select(*df.columns)
     return df.filter(F.col(key).isin([keys] if isinstance(keys, str) else list(keys)))

@@ -70,7 +70,7 @@ def load_titles(raw: DataFrame, lenient: bool = False) -> DataFrame:
 
 def explode_genres(raw: DataFrame) -> DataFrame:
     """One row ``tconst, name`` per non-blank entry of the comma list, repeats included."""
-    names = F.transform(F.split(clean(F.col("genres")), ","), F.trim)
+    names = F.transform(F.split(clean(F.col("genres")), ","), lambda name: F.trim(name))
     return raw.select("tconst", F.explode(names).alias("name")).filter("name <> ''")
 
 

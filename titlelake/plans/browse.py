@@ -27,6 +27,9 @@ PAGE_SIZE = 20
 TOP_CAST = 5
 DISCOVER_MIN_VOTES = 50
 
+# A page or top list up to this many rows may be broadcast.
+FEW_ROWS = 10_000
+
 NOT_STANDALONE = ["tvEpisode", "videoGame"]
 KIND_TYPES = {"movie": ["movie", "tvMovie"], "tv": ["tvSeries", "tvMiniSeries"]}
 
@@ -80,15 +83,18 @@ def title_genres_string(cat: Catalog, ids: Keys = None) -> DataFrame:
     )
 
 
-def with_genres(few: DataFrame, cat: Catalog) -> DataFrame:
-    """Add genre text to a page or top list (``few`` rows, bounded by its limit).
+def with_genres(few: DataFrame, cat: Catalog, limit: int) -> DataFrame:
+    """Add genre text to a page or top list of at most ``limit`` rows.
 
     The rows are broadcast over the title ids and the genre links, which therefore stay
-    where they are; the title ids keep rows without any genre.
+    where they are; the title ids keep rows without any genre. A list with a larger
+    limit is joined without the hint.
     """
+    if limit <= FEW_ROWS:
+        few = F.broadcast(few)
     links = cat.title_genre.select("tconst", "genre_id")
     marks = cat.title.select("tconst", F.lit(None).cast("int").alias("genre_id")).unionByName(links)
-    found = marks.join(F.broadcast(few), marks["tconst"] == few["id"]).drop("tconst")
+    found = marks.join(few, marks["tconst"] == few["id"]).drop("tconst")
     named = found.join(cat.genre, "genre_id", "left")
     return named.groupBy(*few.columns).agg(join_names(F.collect_set("name")).alias("genres"))
 
@@ -100,7 +106,7 @@ def _home(cat: Catalog, include_adult: bool, min_votes: int | None, order: list[
     shown = adult_filter(cat.title, include_adult).filter(~F.col("title_type").isin(NOT_STANDALONE))
     rating = cat.rating if min_votes is None else cat.rating.filter(F.col("num_votes") >= min_votes)
     best = cards(with_rating(shown, rating)).orderBy(*order).limit(k)
-    return with_genres(best, cat).orderBy(*order).select(HOME)
+    return with_genres(best, cat, k).orderBy(*order).select(HOME)
 
 
 def home_top_rated(
@@ -345,7 +351,7 @@ def discover(
     check_page(number)
     order = sort_key(sort)
     best = discover_rows(cat, **filters).orderBy(*order).offset((number - 1) * size).limit(size)
-    return with_genres(best, cat).orderBy(*order).select(HOME)
+    return with_genres(best, cat, size).orderBy(*order).select(HOME)
 
 
 def genre_list(cat: Catalog) -> DataFrame:

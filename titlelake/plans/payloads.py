@@ -121,7 +121,7 @@ def normal_person(raw: Column) -> Column:
         image_url(raw["profile_path"], "w185").alias("profile"),
         F.lit("person").alias("media_type"),
         _text(raw["known_for_department"]).alias("known_for_department"),
-        F.transform(_list(raw["known_for"]), normal_title).alias("known_for"),
+        F.transform(_list(raw["known_for"]), lambda item: normal_title(item)).alias("known_for"),
     )
 
 

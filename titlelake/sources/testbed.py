@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from titlelake.catalog import Catalog
 from titlelake.operators.joins import attach
@@ -20,8 +21,15 @@ CATEGORIES = {
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def ident(prefix: str, number: Column) -> Column:
@@ -66,34 +74,37 @@ def _person(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def credit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items as credits, repeats of (tconst, ordering) included."""
+CREDIT_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+def _credits(items: DataFrame) -> DataFrame:
     category = F.try_element_at(
         F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair]),
         F.concat("l_returnflag", "l_linestatus"),
     )
     role = F.concat(F.lit('["Role '), F.col("l_partkey").cast("string"), F.lit('"]'))
-    return table(spark, sf_dir, "lineitem").select(
+    job = F.concat(F.lit("job "), F.col("l_partkey").cast("string"))
+    return items.select(
         ident("tt", F.col("l_orderkey")).alias("tconst"),
         F.col("l_linenumber").cast("smallint").alias("ordering"),
         ident("nm", F.col("l_suppkey")).alias("nconst"),
         category.alias("category"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("job "), F.col("l_partkey").cast("string"))).alias(
-            "job"
-        ),
+        F.when(F.col("l_linenumber") % 2 == 0, job).alias("job"),
         F.when(category.isin("actor", "actress"), role).alias("characters"),
-        "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
+        *CREDIT_ORDER,
     )
 
 
-CREDIT_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+def credit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as credits, repeats of (tconst, ordering) included."""
+    return _credits(table(spark, sf_dir, "lineitem"))
 
 
 def _principal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_per_key(
-        credit_rows(spark, sf_dir), ["tconst", "ordering"], [F.col(c) for c in CREDIT_ORDER]
+    items = first_per_key(
+        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in CREDIT_ORDER]
     )
-    return rows.drop(*CREDIT_ORDER)
+    return _credits(items).drop(*CREDIT_ORDER)
 
 
 def _genre(spark: SparkSession, sf_dir: str) -> DataFrame:

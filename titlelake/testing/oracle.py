@@ -245,7 +245,7 @@ SELECT tconst AS key, CAST(substr(tconst, 3) AS BIGINT) AS id,
   '{base}/w500' || poster_url AS poster,
   CASE WHEN is_adult THEN '{base}/w1280/b' || tconst END AS backdrop,
   CAST(average_rating AS DOUBLE) AS rating, num_votes AS votes, '' AS overview, is_adult AS adult,
-  0 AS genre_ids, coalesce(array_to_string(g.names, '|'), '') AS genres
+  CAST(0 AS BIGINT) AS genre_ids, coalesce(array_to_string(g.names, '|'), '') AS genres
 FROM title t LEFT JOIN rating r USING (tconst) LEFT JOIN genres g USING (tconst)
 """.replace("{base}", IMAGE_BASE)
 

@@ -59,7 +59,7 @@ def _cat(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def on_catalogue(query: Callable[[Catalog], DataFrame]) -> Query:
-    return lambda spark, sf_dir: comparable(query(_cat(spark, sf_dir)))
+    return lambda spark, sf_dir: comparable(query(testbed.catalogue(spark, sf_dir)))
 
 
 # Loading ----------------------------------------------------------------------------
@@ -383,8 +383,62 @@ def hero_list(cat: Catalog) -> DataFrame:
     return browse.hero_list(browse.trending_cards(cat), order)
 
 
-QUERIES: dict[str, Query] = {
-    # Loading
+# Queries of a catalogue, whatever tables it holds.
+CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
+    "table_counts": lambda cat: load.table_counts(cat, list(TABLES)),
+    "home_top_rated": browse.home_top_rated,
+    "home_most_voted": browse.home_most_voted,
+    "home_with_adult": lambda cat: browse.home_top_rated(cat, include_adult=True, k=20),
+    "hero_list": hero_list,
+    "title_genres_string": browse.title_genres_string,
+    "title_summary": browse.title_summary,
+    "title_crew": browse.title_crew,
+    "top_cast": browse.top_cast,
+    "full_credits": browse.full_credits,
+    "series_seasons": browse.series_seasons,
+    "series_episodes": lambda cat: browse.series_episodes(cat, season=3),
+    "episodes_all_seasons": browse.series_episodes,
+    "person_info": browse.person_info,
+    "filmography": browse.filmography,
+    "filmography_top50": browse.filmography_top,
+    "filmography_top20": lambda cat: browse.filmography_top(cat, n=20),
+    "search_titles": lambda cat: browse.search_titles(cat, SEARCH),
+    "search_prefix_rank": lambda cat: browse.search_titles(cat, "re"),
+    "search_titles_route": lambda cat: browse.search_titles(cat, SEARCH, prefix_first=False),
+    "search_literal": lambda cat: browse.search_titles(cat, "D W", literal=True, include_adult=True),
+    "search_wildcard": lambda cat: browse.search_titles(cat, "D_r%1"),
+    "search_page2": lambda cat: browse.search_titles(cat, SEARCH, number=2),
+    "search_people": lambda cat: browse.search_people(cat, PEOPLE_SEARCH, number=2),
+    "search_multi": search_multi,
+    "discover": lambda cat: browse.discover(cat, **DISCOVER),
+    "discover_by_rating": lambda cat: browse.discover(cat, sort="rating", number=3, kind="tv"),
+    "page_info": lambda cat: ranking.page_info(browse.discover_rows(cat), browse.PAGE_SIZE),
+    "genre_list": browse.genre_list,
+    "link_display": browse.link_display,
+    "title_documents": title_documents,
+    "person_documents": person_documents,
+    "credits_by_category": credits_by_category,
+    "ratings_by_decade": analysis.ratings_by_decade,
+    "decade_counts": analysis.decade_counts,
+    "top_directors": lambda cat: analysis.top_directors(cat, DIRECTOR_MIN),
+    "genre_popularity": lambda cat: analysis.genre_popularity(cat, GENRE_MIN_LINKS),
+    "prolific_actors": lambda cat: analysis.prolific_actors(cat, ACTOR_MIN_TITLES),
+    "scalar_display": scalar_display,
+    "character_first": character_first,
+    "image_urls": image_urls,
+    "payload_titles": payload_titles,
+    "payload_people": payload_people,
+    "payload_cast": lambda cat: payloads.payload_cast(testbed.title_payloads(cat)),
+    "payload_crew": payload_crew,
+    "payload_departments": payload_departments,
+    "payload_providers": payload_providers,
+    "payload_filmography": lambda cat: payloads.payload_filmography(testbed.person_payloads(cat)),
+    "payload_similar": payload_similar,
+    "payload_documents": payload_documents,
+    "search_payloads": search_payloads,
+}
+
+QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALOGUE_QUERIES.items()} | {
     "dump_roundtrip": dump_roundtrip,
     "load_clean_nulls": load_clean_nulls,
     "load_scrub_text": load_scrub_text,
@@ -397,8 +451,6 @@ QUERIES: dict[str, Query] = {
     "load_people": load_people,
     "load_principals": load_principals,
     "load_episodes": load_episodes,
-    "table_counts": on_catalogue(lambda cat: load.table_counts(cat, list(TABLES))),
-    # Merging and checking
     "upsert_links": upsert_links,
     "stream_upsert_links": stream_upsert_links,
     "insert_missing_principals": insert_missing_principals,
@@ -412,62 +464,6 @@ QUERIES: dict[str, Query] = {
     "violations": violations,
     "cascade_delete": cascade_delete,
     "cascade_delete_counts": cascade_delete_counts,
-    # Browsing
-    "home_top_rated": on_catalogue(browse.home_top_rated),
-    "home_most_voted": on_catalogue(browse.home_most_voted),
-    "home_with_adult": on_catalogue(lambda cat: browse.home_top_rated(cat, include_adult=True, k=20)),
-    "hero_list": on_catalogue(hero_list),
-    "title_genres_string": on_catalogue(browse.title_genres_string),
-    "title_summary": on_catalogue(browse.title_summary),
-    "title_crew": on_catalogue(browse.title_crew),
-    "top_cast": on_catalogue(browse.top_cast),
-    "full_credits": on_catalogue(browse.full_credits),
-    "series_seasons": on_catalogue(browse.series_seasons),
-    "series_episodes": on_catalogue(lambda cat: browse.series_episodes(cat, season=3)),
-    "episodes_all_seasons": on_catalogue(browse.series_episodes),
-    "person_info": on_catalogue(browse.person_info),
-    "filmography": on_catalogue(browse.filmography),
-    "filmography_top50": on_catalogue(browse.filmography_top),
-    "filmography_top20": on_catalogue(lambda cat: browse.filmography_top(cat, n=20)),
-    "search_titles": on_catalogue(lambda cat: browse.search_titles(cat, SEARCH)),
-    "search_prefix_rank": on_catalogue(lambda cat: browse.search_titles(cat, "re")),
-    "search_titles_route": on_catalogue(lambda cat: browse.search_titles(cat, SEARCH, prefix_first=False)),
-    "search_literal": on_catalogue(lambda cat: browse.search_titles(cat, "D W", literal=True, include_adult=True)),
-    "search_wildcard": on_catalogue(lambda cat: browse.search_titles(cat, "D_r%1")),
-    "search_page2": on_catalogue(lambda cat: browse.search_titles(cat, SEARCH, number=2)),
-    "search_people": on_catalogue(lambda cat: browse.search_people(cat, PEOPLE_SEARCH, number=2)),
-    "search_multi": on_catalogue(search_multi),
-    "discover": on_catalogue(lambda cat: browse.discover(cat, **DISCOVER)),
-    "discover_by_rating": on_catalogue(lambda cat: browse.discover(cat, sort="rating", number=3, kind="tv")),
-    "page_info": on_catalogue(lambda cat: ranking.page_info(browse.discover_rows(cat), browse.PAGE_SIZE)),
-    "genre_list": on_catalogue(browse.genre_list),
-    "link_display": on_catalogue(browse.link_display),
-    # Documents
-    "title_documents": on_catalogue(title_documents),
-    "person_documents": on_catalogue(person_documents),
-    "credits_by_category": on_catalogue(credits_by_category),
-    # Analysis
-    "ratings_by_decade": on_catalogue(analysis.ratings_by_decade),
-    "decade_counts": on_catalogue(analysis.decade_counts),
-    "top_directors": on_catalogue(lambda cat: analysis.top_directors(cat, DIRECTOR_MIN)),
-    "genre_popularity": on_catalogue(lambda cat: analysis.genre_popularity(cat, GENRE_MIN_LINKS)),
-    "prolific_actors": on_catalogue(lambda cat: analysis.prolific_actors(cat, ACTOR_MIN_TITLES)),
-    # Display and payloads
-    "scalar_display": on_catalogue(scalar_display),
     "short_overviews": short_overviews,
-    "character_first": on_catalogue(character_first),
-    "image_urls": on_catalogue(image_urls),
     "provider_links": provider_links,
-    "payload_titles": on_catalogue(payload_titles),
-    "payload_people": on_catalogue(payload_people),
-    "payload_cast": on_catalogue(lambda cat: payloads.payload_cast(testbed.title_payloads(cat))),
-    "payload_crew": on_catalogue(payload_crew),
-    "payload_departments": on_catalogue(payload_departments),
-    "payload_providers": on_catalogue(payload_providers),
-    "payload_filmography": on_catalogue(
-        lambda cat: payloads.payload_filmography(testbed.person_payloads(cat))
-    ),
-    "payload_similar": on_catalogue(payload_similar),
-    "payload_documents": on_catalogue(payload_documents),
-    "search_payloads": on_catalogue(search_payloads),
 }
