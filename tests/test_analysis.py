@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from fixtures import frames
+from pyspark.sql import functions as F
+
+from titlelake.functions.numbers import avg2, decade
+from titlelake.plans import analysis
+
+
+def test_ratings_by_decade_of_the_seed(seed):
+    found = [(r["decade"], r["avg_rating"], r["titles_count"]) for r in analysis.ratings_by_decade(seed).collect()]
+    assert found == [
+        (1960, Decimal("8.80"), 1), (1970, Decimal("8.90"), 2), (1980, Decimal("8.70"), 1),
+        (1990, Decimal("8.87"), 7), (2000, Decimal("9.10"), 4), (2010, Decimal("9.10"), 3),
+    ]
+
+
+def test_early_undated_and_unrated_titles_are_left_out(edges):
+    assert [(r["decade"], r["titles_count"]) for r in analysis.ratings_by_decade(edges).collect()] == [
+        (1980, 1), (1990, 1),
+    ]
+    assert [(r["decade"], r["titles_count"]) for r in analysis.decade_counts(edges).collect()] == [
+        (1880, 1), (1980, 1), (1990, 1), (2000, 5),
+    ]
+
+
+def test_thresholds_of_the_seed(seed):
+    assert analysis.top_directors(seed).count() == 0
+    assert analysis.genre_popularity(seed).count() == 0
+    assert analysis.prolific_actors(seed).count() == 0
+    found = analysis.top_directors(seed, min_count=1).collect()
+    assert [(r["primary_name"], r["avg_director_rating"], r["movie_count"]) for r in found] == [
+        ("Frank Darabont", Decimal("9.30"), 1), ("Christopher Nolan", Decimal("8.85"), 2),
+    ]
+
+
+def test_genre_popularity_counts_links_of_all_types_for_the_threshold(seed):
+    found = analysis.genre_popularity(seed, min_links=8).collect()
+    assert {r["genre"] for r in found} == {"Drama"}
+    assert [(r["decade"], r["titles_count"]) for r in found] == [(1970, 1), (1990, 5), (2000, 2), (2010, 3)]
+
+
+def test_actors_count_titles_once_and_ratings_each_time(edges):
+    found = {r["primary_name"]: r for r in analysis.prolific_actors(edges, min_titles=1).collect()}
+    # Both people called Ana: tt1 three times (8.0), tt4 once (7.5), tt2 unrated.
+    assert found["Ana"]["roles_count"] == 3
+    assert found["Ana"]["avg_rating"] == Decimal("7.88")
+    by_id = {r["nconst"]: r for r in analysis.prolific_actors(edges, min_titles=1, by="nconst").collect()}
+    assert (by_id["nm1"]["roles_count"], by_id["nm2"]["roles_count"]) == (3, 1)
+    assert by_id["nm2"]["avg_rating"] == Decimal("8.00")
+    with pytest.raises(ValueError):
+        analysis.prolific_actors(edges, by="birth_year")
+
+
+def test_actor_without_any_rating_has_no_mean(spark):
+    cat = frames(
+        spark,
+        title=[("tt1", "movie", "A", "A", False, 2000, None, None, None)],
+        person=[("nm1", "Zoe", None, None)],
+        principal=[("tt1", 1, "nm1", "actor", None, None)],
+    )
+    assert analysis.prolific_actors(cat, min_titles=1).collect()[0]["avg_rating"] is None
+
+
+def test_mean_is_rounded_once(spark):
+    # 834 499 600 000 hundredths of a mean: 8.344996, which two roundings turn into 8.35.
+    tenths = F.when(F.col("id") < 449_960, 84).otherwise(83)
+    df = spark.range(1_000_000).select((tenths.cast("decimal(3,0)") / 10).cast("decimal(3,1)").alias("x"))
+    assert df.agg(avg2(F.col("x")).alias("m")).collect()[0]["m"] == Decimal("8.34")
+    half = spark.createDataFrame([(Decimal("8.3"),), (Decimal("8.4"),), (None,)], "x decimal(3,1)")
+    assert half.agg(avg2(F.col("x")).alias("m")).collect()[0]["m"] == Decimal("8.35")
+
+
+def test_decade_divides_whole_numbers(spark):
+    df = spark.createDataFrame([(1999,), (2000,), (None,)], "y smallint")
+    assert [r[0] for r in df.select(decade(F.col("y"))).collect()] == [1990, 2000, None]
