@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     session = local_session(
         8,
         partitions=4,
+        spark__default__parallelism="2",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )

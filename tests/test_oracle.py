@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -25,14 +26,32 @@ def test_each_query_has_a_statement():
     assert set(QUERIES) == set(ORACLE)
 
 
+def differences(spark, names) -> dict[str, str | None]:
+    """All differences at once: the queries run side by side in one session."""
+
+    def check(name):
+        try:
+            return difference(QUERIES[name](spark, SF_DIR), duck(SF_DIR), ORACLE[name])
+        except Exception as error:
+            return f"{type(error).__name__}: {error}"
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(names, pool.map(check, names), strict=True))
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    return differences(spark, list(QUERIES))
+
+
 @pytest.mark.parametrize("name", QUERIES)
-def test_query(spark, name):
-    assert difference(QUERIES[name](spark, SF_DIR), duck(SF_DIR), ORACLE[name]) is None
+def test_query(found, name):
+    assert found[name] is None
 
 
-@pytest.mark.parametrize("name", LARGE)
-def test_query_without_broadcasts(spark, no_broadcast, name):
-    assert difference(QUERIES[name](spark, SF_DIR), duck(SF_DIR), ORACLE[name]) is None
+def test_queries_without_broadcasts(spark, no_broadcast):
+    found = differences(spark, LARGE)
+    assert {name: said for name, said in found.items() if said} == {}
 
 
 def test_entry(spark):

@@ -10,14 +10,24 @@ HOT_KEYS = 256
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate is within its broadcast limit."""
+    """Whether Spark's own size estimate is within its broadcast limit.
+
+    A client that cannot see the estimate counts as not fitting.
+    """
+    if getattr(df, "_jdf", None) is None:
+        return False
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit
 
 
 def attach(
-    facts: DataFrame, dim: DataFrame, key: str, spread: str | list[str], how: str = "inner"
+    facts: DataFrame,
+    dim: DataFrame,
+    key: str,
+    spread: str | list[str],
+    how: str = "inner",
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``dim`` on ``key`` without gathering a hot key in one task.
 
@@ -27,6 +37,9 @@ def attach(
     columns and the matching rows of ``dim`` are repeated once per salt. All other keys
     take salt 0. The result is that of the plain join; ``how`` may be inner, left,
     left_semi or left_anti.
+
+    Keys are counted on the facts, or on ``count_on`` where that is cheaper to compute.
+    Which keys are salted changes the balance of the tasks, never the result.
     """
     if fits_broadcast(dim):
         return facts.join(dim, key, how)
@@ -34,7 +47,8 @@ def attach(
     # One salt per shuffle partition: a key with a third of all rows fills a third of them.
     salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = (
-        facts.filter(F.col(key).isNotNull())
+        (facts if count_on is None else count_on)
+        .filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .orderBy(F.desc("_rows"), key)

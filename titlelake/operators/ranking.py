@@ -46,16 +46,18 @@ def number_by(df: DataFrame, column: str, number: str, start: int = 0) -> DataFr
 
 
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """One page of ``size`` rows in a total ``order``, with a ``has_more`` flag.
+    """One page of ``size`` rows in a total ``order``, with ``has_more`` and ``total_pages``.
 
     One row past the page is read to learn whether another page follows, which avoids a
-    count of the whole result. The windows run over at most ``size + 1`` rows.
+    count of the whole result; ``total_pages`` is the number of pages known by then. The
+    windows run over at most ``size + 1`` rows.
     """
-    check_page(number)
+    number = page_number(number)
     probe = df.orderBy(*order).offset((number - 1) * size).limit(size + 1)
     return (
         probe.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
         .withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size)
+        .withColumn("total_pages", F.lit(number) + F.col("has_more").cast("int"))
         .filter(F.col("_place") <= size)
         .drop("_place")
     )
@@ -70,6 +72,6 @@ def page_info(df: DataFrame, size: int, cap: int = DISCOVER_PAGE_CAP) -> DataFra
     )
 
 
-def check_page(number: int) -> None:
-    if number < 1:
-        raise ValueError("pages count from 1")
+def page_number(number: int) -> int:
+    """Pages count from 1; lower numbers mean the first page."""
+    return max(1, number)

@@ -115,7 +115,8 @@ def prolific_actors(cat: Catalog, min_titles: int = 20, k: int = 20, by: str = "
     per_person = rated.groupBy("tconst", "nconst").agg(
         F.sum("tenths").alias("tenths"), F.count("tenths").alias("rated")
     )
-    named = attach(per_person, cat.person.select("nconst", "primary_name"), "nconst", "tconst")
+    people = cat.person.select("nconst", "primary_name")
+    named = attach(per_person, people, "nconst", "tconst", count_on=acted)
     per_title = named.groupBy("tconst", *group).agg(
         F.sum("tenths").alias("tenths"), F.sum("rated").alias("rated")
     )

@@ -16,7 +16,7 @@ from titlelake.functions.roles import CAST, CREDIT_ROLES, CREW, FILMOGRAPHY_ROLE
 from titlelake.functions.text import contains_ci, prefix_ci
 from titlelake.operators import merge
 from titlelake.operators.joins import attach, by_keys
-from titlelake.operators.ranking import cap_per_group, check_page, page
+from titlelake.operators.ranking import cap_per_group, page, page_number
 
 Keys = None | str | list[str] | DataFrame
 
@@ -348,9 +348,9 @@ def discover(
     cat: Catalog, sort: str = "popularity", number: int = 1, size: int = PAGE_SIZE, **filters
 ) -> DataFrame:
     """One page of :func:`discover_rows` with genres."""
-    check_page(number)
     order = sort_key(sort)
-    best = discover_rows(cat, **filters).orderBy(*order).offset((number - 1) * size).limit(size)
+    before = (page_number(number) - 1) * size
+    best = discover_rows(cat, **filters).orderBy(*order).offset(before).limit(size)
     return with_genres(best, cat, size).orderBy(*order).select(HOME)
 
 

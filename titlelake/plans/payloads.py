@@ -315,6 +315,35 @@ def payload_documents(payloads: DataFrame) -> DataFrame:
     )
 
 
+def payload_credits(payloads: DataFrame) -> DataFrame:
+    """The credits page: all cast, and the crew by department."""
+    raw = F.col("raw")
+    return parse(payloads).select(
+        "key",
+        raw["id"].alias("id"),
+        _text(F.coalesce(filled(raw["title"]), raw["name"])).alias("title"),
+        cast_list(raw, None).alias("cast"),
+        crew_departments(raw).alias("crew"),
+    )
+
+
+def payload_person_documents(payloads: DataFrame) -> DataFrame:
+    """The person page: life data and filmography."""
+    raw = F.col("raw")
+    return parse(payloads, PERSON_PAYLOAD).select(
+        "key",
+        raw["id"].alias("id"),
+        _text(raw["name"]).alias("name"),
+        image_url(raw["profile_path"]).alias("profile"),
+        _text(raw["biography"]).alias("biography"),
+        raw["birthday"].alias("birthday"),
+        raw["deathday"].alias("deathday"),
+        _text(raw["place_of_birth"]).alias("place_of_birth"),
+        _text(raw["known_for_department"]).alias("known_for_department"),
+        filmography_list(raw).alias("filmography"),
+    )
+
+
 def multi_results(payloads: DataFrame) -> DataFrame:
     """Mixed search results: titles and people in one list, other kinds dropped."""
     kind = F.get_json_object("payload", "$.media_type")

@@ -157,7 +157,8 @@ def search(where: str, order: str, page: int = 1) -> str:
     return sql(
         "card",
         f"""
-SELECT {CARD}, 'title' AS result_type, (SELECT count(*) FROM card WHERE {where}) > {20 * page} AS has_more
+SELECT {CARD}, 'title' AS result_type, (SELECT count(*) FROM card WHERE {where}) > {20 * page} AS has_more,
+  {page} + CAST((SELECT count(*) FROM card WHERE {where}) > {20 * page} AS BIGINT) AS total_pages
 FROM card WHERE {where} ORDER BY {order} LIMIT 20 OFFSET {20 * (page - 1)}""",
     )
 
@@ -482,7 +483,8 @@ SELECT * FROM film QUALIFY row_number() OVER (
         "person",
         f"""
 SELECT nconst AS id, primary_name AS name, birth_year, death_year, 'person' AS result_type,
-  (SELECT count(*) FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%') > 40 AS has_more
+  (SELECT count(*) FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%') > 40 AS has_more,
+  2 + CAST((SELECT count(*) FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%') > 40 AS BIGINT) AS total_pages
 FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%'
 ORDER BY CASE WHEN primary_name ILIKE '{PEOPLE_SEARCH}%' THEN 0 ELSE 1 END, primary_name, nconst LIMIT 20 OFFSET 20""",
     ),
@@ -733,6 +735,34 @@ SELECT t.tconst AS key, CAST(substr(t.tconst, 3) AS BIGINT) AS id, primary_title
   coalesce(n, 0) AS providers, least(coalesce(len(names), 0), 10) AS similar_size,
   CASE WHEN n > 0 THEN 'https://gb.example' ELSE '' END AS watch_link, '' AS tagline, '' AS status
 FROM title t LEFT JOIN people USING (tconst) LEFT JOIN platforms USING (tconst) LEFT JOIN genres USING (tconst)""",
+    ),
+    "payload_credits": sql(
+        "title named",
+        f"""
+, actors AS (
+  SELECT tconst, string_agg({LOCAL_NAME} || ':' || name || ':' || {CHARACTER}, '|' ORDER BY ordering) AS cast_list
+  FROM named WHERE category IN ('actor', 'actress') GROUP BY tconst),
+first_seen AS (
+  SELECT tconst, {DEPARTMENT} AS department, min(ordering) AS first FROM named WHERE {JOB} IS NOT NULL GROUP BY 1, 2),
+departments AS (SELECT tconst, string_agg(department, '|' ORDER BY first) AS departments FROM first_seen GROUP BY tconst)
+SELECT t.tconst AS key, CAST(substr(t.tconst, 3) AS BIGINT) AS id, primary_title AS title,
+  coalesce(cast_list, '') AS cast_list, coalesce(departments, '') AS departments
+FROM title t LEFT JOIN actors USING (tconst) LEFT JOIN departments USING (tconst)""",
+    ),
+    "payload_person_documents": sql(
+        "role person",
+        f"""
+, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY nconst ORDER BY start_year DESC NULLS LAST, tconst, ordering) AS place
+  FROM role QUALIFY place <= 60),
+lists AS (
+  SELECT nconst, string_agg(CAST(substr(tconst, 3) AS BIGINT) || ':' || primary_title || ':'
+    || coalesce(CAST(start_year AS VARCHAR), ''), '|' ORDER BY place) AS filmography FROM placed GROUP BY nconst)
+SELECT p.nconst AS key, {LOCAL_NAME} AS id, primary_name AS name,
+  CASE WHEN death_year IS NULL THEN '{IMAGE_BASE}/w500/f' || p.nconst || '.jpg' END AS profile,
+  '' AS biography, CAST(NULL AS VARCHAR) AS birthday, CAST(NULL AS VARCHAR) AS deathday, '' AS place_of_birth,
+  '' AS known_for_department, coalesce(filmography, '') AS filmography
+FROM person p LEFT JOIN lists USING (nconst)""",
     ),
     "search_payloads": sql(
         "title person",

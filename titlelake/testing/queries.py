@@ -359,6 +359,23 @@ def payload_documents(cat: Catalog) -> DataFrame:
     )
 
 
+def payload_credits(cat: Catalog) -> DataFrame:
+    found = payloads.payload_credits(testbed.title_payloads(cat))
+    return found.select(
+        "key", "id", "title",
+        listed(F.col("cast"), "id", "name", "character").alias("cast_list"),
+        F.array_join(F.transform("crew", lambda g: g["department"]), "|").alias("departments"),
+    )
+
+
+def payload_person_documents(cat: Catalog) -> DataFrame:
+    found = payloads.payload_person_documents(testbed.person_payloads(cat))
+    return found.select(
+        "key", "id", "name", "profile", "biography", "birthday", "deathday", "place_of_birth",
+        "known_for_department", listed(F.col("filmography"), "id", "title", "year").alias("filmography"),
+    )
+
+
 def search_payloads(cat: Catalog) -> DataFrame:
     """Title and person payloads, some of an unknown kind, as one mixed result list."""
     titles = testbed.title_payloads(cat)
@@ -373,8 +390,8 @@ def search_payloads(cat: Catalog) -> DataFrame:
 
 def search_multi(cat: Catalog) -> DataFrame:
     return browse.search_all(
-        browse.search_titles(cat, SEARCH).drop("has_more"),
-        browse.search_people(cat, PEOPLE_SEARCH).drop("has_more"),
+        browse.search_titles(cat, SEARCH).drop("has_more", "total_pages"),
+        browse.search_people(cat, PEOPLE_SEARCH).drop("has_more", "total_pages"),
     )
 
 
@@ -435,6 +452,8 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "payload_filmography": lambda cat: payloads.payload_filmography(testbed.person_payloads(cat)),
     "payload_similar": payload_similar,
     "payload_documents": payload_documents,
+    "payload_credits": payload_credits,
+    "payload_person_documents": payload_person_documents,
     "search_payloads": search_payloads,
 }
 
