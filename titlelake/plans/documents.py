@@ -125,8 +125,9 @@ def person_documents(cat: Catalog, ids: Keys = None, n: int = ROLE_SIZE) -> Data
         filmography_top(cat, ids, n)
         .groupBy("nconst", "category")
         .agg(F.array_sort(F.collect_list(entry)).alias("titles"))
+        .select("nconst", F.struct(F.get("titles", F.lit(0)).alias("first"), "category", "titles").alias("group"))
         .groupBy("nconst")
-        .agg(F.array_sort(F.collect_list(F.struct(F.get("titles", F.lit(0)).alias("first"), "category", "titles"))).alias("groups"))
+        .agg(F.array_sort(F.collect_list("group")).alias("groups"))
     )
     shown = F.transform(
         "groups",

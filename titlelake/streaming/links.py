@@ -34,10 +34,14 @@ def stream_upsert(changes: DataFrame, store: str, checkpoint: str) -> StreamingQ
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        valid, rejected = split_valid(batch)
-        latest = first_per_key(valid, KEYS, newest())
-        latest.write.mode("overwrite").parquet(f"{store}/changes/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{store}/rejects/batch={number}")
+        batch.persist()
+        try:
+            valid, rejected = split_valid(batch)
+            latest = first_per_key(valid, KEYS, newest())
+            latest.write.mode("overwrite").parquet(f"{store}/changes/batch={number}")
+            rejected.write.mode("overwrite").parquet(f"{store}/rejects/batch={number}")
+        finally:
+            batch.unpersist()
 
     return (
         changes.select("tconst", "platform", "url", "ts", "event_id")

@@ -52,7 +52,7 @@ SELECT {ident('tt', 'o_orderkey')} AS tconst,
        THEN year(o_orderdate) - 10 * (o_orderkey % 12) + 3 END AS end_year,
   CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 240 + 1 END AS runtime_minutes,
   CASE WHEN o_orderkey % 3 = 0 THEN '/p' || o_orderkey || '.jpg' END AS poster_url
-FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS p_partkey FROM orders) JOIN part USING (p_partkey)""",
     "person": f"""
 SELECT {ident('nm', 's_suppkey')} AS nconst, s_name AS primary_name,
   1900 + s_suppkey % 100 AS birth_year,
