@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlelake.llm.common import each, written
+from titlelake.llm.learn import logistic
 from titlelake.llm.spans import Span, masked, overlaps, sha256, spelled
 
 #: Candidates, taken by hash, that the classifier is fitted on.
@@ -192,16 +193,6 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> Reliability:
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of a logistic model for soft labels, by gradient steps with momentum."""
-    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for _ in range(rounds):
-        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(x) + 1e-4 * w
-        speed = 0.9 * speed - 1.0 * slope
-        w = w + speed
-    return w
-
-
 @dataclass
 class SpanModel:
     reliability: Reliability | None
