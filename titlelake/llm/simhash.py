@@ -63,15 +63,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("long")
-def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array(np.array([fingerprint(t) for t in each(batch)], dtype=np.uint64).view(np.int64))
-
-
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows as ``row`` (a struct of all columns), with ``fp``, the fingerprint's bits."""
-    return docs.select(F.struct("*").alias("row"), _fingerprints.asNondeterministic()(F.col(text)).alias("fp"))
+
+    @F.arrow_udf("long")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.array([fingerprint(t) for t in each(batch)], dtype=np.uint64).view(np.int64))
+
+    return docs.select(F.struct("*").alias("row"), found.asNondeterministic()(F.col(text)).alias("fp"))
 
 
 def spread(values: np.ndarray, parts: int) -> np.ndarray:
