@@ -1,4 +1,4 @@
-"""Small catalogues: one of well-known titles, one of rows at the edges."""
+"""Small catalogues: one of invented titles, one of rows at the edges."""
 
 from __future__ import annotations
 
@@ -7,50 +7,34 @@ from decimal import Decimal
 from titlelake import Catalog
 from titlelake.schemas import TABLES
 
-# Id, type, name, first year, last year, minutes, rating, votes, genres.
+# Invented: id, type, name, first year, last year, minutes, rating, votes, genres.
 SEED_TITLES = """
-tt0111161|movie|The Shawshank Redemption|1994||142|9.3|2800000|Drama
-tt0068646|movie|The Godfather|1972||175|9.2|1900000|Drama,Crime
-tt0468569|movie|The Dark Knight|2008||152|9.0|2700000|Action,Drama,Crime
-tt0108052|movie|Schindler's List|1993||195|9.0|1400000|Drama
-tt0137523|movie|Fight Club|1999||139|8.8|2200000|Drama
-tt0109830|movie|Forrest Gump|1994||142|8.8|2100000|Drama,Romance
-tt0133093|movie|The Matrix|1999||136|8.7|2000000|Action,Sci-Fi
-tt0120737|movie|The Lord of the Rings: The Fellowship of the Ring|2001||178|8.9|1900000|Adventure,Fantasy
-tt0167260|movie|The Lord of the Rings: The Return of the King|2003||201|9.0|1800000|Adventure,Fantasy
-tt0110912|movie|Pulp Fiction|1994||154|8.9|2100000|Crime,Drama
-tt0060196|movie|The Good, the Bad and the Ugly|1966||178|8.8|780000|Adventure
-tt0080684|movie|Star Wars: Episode V|1980||124|8.7|1300000|Action,Sci-Fi
-tt0114369|movie|Se7en|1995||127|8.6|1700000|Crime,Thriller
-tt0076759|movie|Star Wars: Episode IV|1977||121|8.6|1400000|Action,Sci-Fi
-tt0816692|movie|Interstellar|2014||169|8.7|1900000|Sci-Fi,Drama
-tt0903747|tvSeries|Breaking Bad|2008|2013|49|9.5|2100000|Crime,Drama,Thriller
-tt0944947|tvSeries|Game of Thrones|2011|2019|57|9.2|2100000|Action,Adventure,Drama
-tt7366338|tvSeries|Chernobyl|2019|2019|330|9.4|800000|Drama,Thriller
-tt0959621|tvEpisode|Pilot|2008||58|9.0|45000|
-tt1054724|tvEpisode|Cat's in the Bag...|2008||48|8.5|30000|
-tt1054725|tvEpisode|...And the Bag's in the River|2008||48|8.3|28000|
+tt0001001|movie|Harbor of Glass|1994||131|9.1|900000|Drama
+tt0001002|movie|The Quiet Ledger|1972||118|8.9|410000|Drama,Crime
+tt0001003|movie|Night Courier|2006||109|9.0|1200000|Action,Crime,Drama
+tt0001004|movie|Winding River|1991||124|8.4|800000|Adventure,Drama
+tt0001005|movie|Paper Lanterns|1999||97|8.2|650000|Drama
+tt0001006|movie|Inland Empress|2014||140|8.6|650000|Drama,Sci-Fi
+tt0001007|tvSeries|Marsh County|2009|2012|45|9.3|700000|Crime,Drama
+tt0001008|tvSeries|The Tin Parliament|2017|2017|60|9.2|150000|Drama
+tt0001009|tvEpisode|Low Tide|2009||46|8.8|12000|
+tt0001010|tvEpisode|High Water|2009||47|8.5|9000|
+tt0001011|movie|Copper Moon|1966||101|8.0|60000|Adventure
+tt0001012|movie|Signal Ridge|1999||115|8.3|500000|Action,Sci-Fi
 """
-# Title, place, person id, person, category, role.
+# Invented: title, place, person id, person, category, role.
 SEED_CREDITS = """
-tt0111161|1|nm0000209|Tim Robbins|actor|Andy Dufresne
-tt0111161|2|nm0000151|Morgan Freeman|actor|Ellis Boyd 'Red' Redding
-tt0111161|3|nm0186505|Frank Darabont|director|
-tt0468569|1|nm0000288|Christian Bale|actor|Bruce Wayne
-tt0468569|2|nm0634240|Christopher Nolan|director|
-tt0816692|1|nm0634240|Christopher Nolan|director|
-tt0903747|1|nm0186344|Bryan Cranston|actor|Walter White
-tt0903747|2|nm0348152|Anna Gunn|actress|Skyler White
-tt0959621|1|nm0186344|Bryan Cranston|actor|Walter White
-tt1054724|1|nm0186344|Bryan Cranston|actor|Walter White
-tt1054725|1|nm0186344|Bryan Cranston|actor|Walter White
+tt0001001|1|nm0000501|Ola Venn|actor|Keeper
+tt0001001|2|nm0000502|Mira Sandoz|actress|Ruth
+tt0001001|3|nm0000503|Teo Brandt|director|
+tt0001003|1|nm0000504|Ivo Lark|director|
+tt0001006|1|nm0000504|Ivo Lark|director|
+tt0001007|1|nm0000505|Pell Hadley|actor|Sheriff Dunn
+tt0001009|1|nm0000505|Pell Hadley|actor|Sheriff Dunn
+tt0001010|1|nm0000505|Pell Hadley|actor|Sheriff Dunn
 """
-# Episode, series, season, number.
-SEED_EPISODES = [
-    ("tt0959621", "tt0903747", 1, 1),
-    ("tt1054724", "tt0903747", 1, 2),
-    ("tt1054725", "tt0903747", 1, 3),
-]
+# Invented: episode, series, season, number.
+SEED_EPISODES = [("tt0001009", "tt0001007", 1, 1), ("tt0001010", "tt0001007", 1, 2)]
 
 
 def rows(text: str) -> list[list[str | None]]:

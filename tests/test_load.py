@@ -208,3 +208,14 @@ def test_unknown_table_is_refused(loaded):
         loaded["titles"]
     with pytest.raises(AttributeError):
         loaded.titles
+
+
+def test_dumps_keep_rows_whole_when_text_has_tabs_and_breaks(spark, tmp_path):
+    from titlelake.schemas import DUMPS
+    from titlelake.sources import dumps
+
+    columns = DUMPS["title.ratings"]
+    df = spark.createDataFrame([("tt1", "a\tb\nc", "d"), ("tt2", None, 'q"')], columns)
+    dumps.write_dump(df, str(tmp_path / "d"), "title.ratings")
+    back = sorted(tuple(r) for r in dumps.read_dump(spark, str(tmp_path / "d"), "title.ratings").collect())
+    assert back == [("tt1", "a b c", "d"), ("tt2", None, 'q"')]

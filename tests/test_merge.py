@@ -60,3 +60,9 @@ def test_deletes_cascade(spark, edges):
     assert checks.violations(after, list(TABLES)).filter("violations > 0").count() == 0
     only_people = merge.cascade_delete(edges, people=people)
     assert only_people.title.count() == 9
+
+
+def test_two_posters_found_do_not_double_a_title(spark, edges):
+    found = spark.createDataFrame([("tt2", "https://b"), ("tt2", "https://a"), ("tt2", "")], "tconst string, found_url string")
+    out = {r["tconst"]: r["poster_url"] for r in merge.resolve_poster(edges.title, found).collect()}
+    assert out["tt2"] == "https://a" and merge.store_posters(edges.title, found).count() == edges.title.count()

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
 from titlelake.plans import payloads
 
 IMG = "https://image.tmdb.org/t/p"
@@ -162,3 +163,15 @@ def test_mixed_results_drop_unknown_kinds(table):
 def test_broken_json_gives_an_empty_payload(spark):
     df = spark.createDataFrame([("0", None, "{oops")], "key string, media_type string, payload string")
     assert one(payloads.payload_titles(df))["title"] == ""
+
+
+def test_no_role_of_a_person_is_lost(spark):
+    from fixtures import frames
+
+    from titlelake.sources import testbed
+
+    titles = [(f"tt{i:07d}", "movie", f"T{i}", f"T{i}", False, 1900 + i % 90, None, None, None) for i in range(150)]
+    roles = [(key, 1, "nm0000001", "actor", None, None) for key, *_ in titles]
+    cat = frames(spark, title=titles, person=[("nm0000001", "Ada", None, None)], principal=roles)
+    row = testbed.person_payloads(cat).select(F.expr("json_array_length(get_json_object(payload, '$.combined_credits.cast'))")).collect()
+    assert row[0][0] == 150

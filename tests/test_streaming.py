@@ -82,5 +82,20 @@ def test_store_without_base(spark, tmp_path):
     assert len(rows(links.current_links(spark, store))) == 4
 
 
+def test_a_late_older_change_loses_after_a_fold(spark, tmp_path):
+    store, folded = str(tmp_path / "store"), str(tmp_path / "folded")
+    change = "select 'tt1' tconst, 'web' platform, '{}' url, timestamp'{}' ts, bigint({}) event_id"
+    links.start_store(spark.createDataFrame([("tt1", "web", "first")], links.LINK), store)
+    spark.sql(change.format("new", "2024-05-01", 2)).write.parquet(f"{store}/changes/batch=0")
+    links.fold(spark, store, folded)
+    spark.sql(change.format("older", "2024-04-01", 3)).write.parquet(f"{folded}/changes/batch=0")
+    assert [r["url"] for r in links.current_links(spark, folded).collect()] == ["new"]
+
+
+def test_a_missing_store_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        links.current_links(spark, str(tmp_path / "nothing"))
+
+
 def test_folders_lie_under_the_shared_one(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,21 +33,27 @@ def norm(value: Column) -> Column:
     return F.lower(F.trim(value))
 
 
+def like(pattern: str) -> str:
+    """A pattern in which a backslash before an ordinary character means that character."""
+    return re.sub(r"\\(.)", lambda m: m.group() if m.group(1) in "%_\\" else m.group(1), pattern, flags=re.S)
+
+
 def contains_ci(value: Column, query: str, literal: bool = False) -> Column:
     """Case-insensitive containment.
 
-    ``%`` and ``_`` in the query act as wildcards unless ``literal`` is set.
+    ``%`` and ``_`` in the query act as wildcards unless ``literal`` is set; a backslash takes the
+    next character as it is, at the end of the query the wildcard that is appended.
     """
     if literal:
         return F.contains(F.lower(value), F.lit(query.lower()))
-    return value.ilike(f"%{query}%")
+    return value.ilike(like(f"%{query}%"))
 
 
 def prefix_ci(value: Column, query: str, literal: bool = False) -> Column:
     """Case-insensitive prefix test, with the wildcard rule of :func:`contains_ci`."""
     if literal:
         return F.startswith(F.lower(value), F.lit(query.lower()))
-    return value.ilike(f"{query}%")
+    return value.ilike(like(f"{query}%"))
 
 
 def is_local(identifier: Column, prefix: str) -> Column:

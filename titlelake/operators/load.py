@@ -92,11 +92,16 @@ def build_title_genre(links: DataFrame, genre: DataFrame) -> DataFrame:
 
 
 def load_ratings(
-    raw: DataFrame, title: DataFrame, existing: DataFrame | None = None, lenient: bool = False
+    raw: DataFrame,
+    title: DataFrame,
+    existing: DataFrame | None = None,
+    lenient: bool = False,
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """Ratings with both values, of known titles, one per title.
 
-    If a dump rates a title twice, the rating with more votes counts.
+    If a dump rates a title twice, the first in ``order`` counts, by default the one with
+    more votes.
     """
     kinds = NUMBERS["title.ratings"]
     rated = raw.select(
@@ -105,7 +110,7 @@ def load_ratings(
         number("numVotes", kinds["numVotes"], lenient).alias("num_votes"),
     ).dropna()
     known = attach(rated, title.select("tconst"), "tconst", ["average_rating", "num_votes"], "left_semi")
-    order = [F.desc("num_votes"), F.desc("average_rating")]
+    order = order or [F.desc("num_votes"), F.desc("average_rating")]
     if existing is None:
         return first_per_key(known, ["tconst"], order)
     return upsert_latest(existing, known, ["tconst"], order)
@@ -139,8 +144,8 @@ def load_principals(
     )
     if lenient:
         typed = typed.filter("ordering is not null")
-    known = attach(typed, title.select("tconst"), "tconst", ["nconst", "ordering"], "left_semi")
-    known = attach(known, person.select("nconst"), "nconst", ["tconst", "ordering"], "left_semi")
+    known = attach(typed, title.select("tconst"), "tconst", ["nconst", "ordering"], "left_semi", count_on=raw)
+    known = attach(known, person.select("nconst"), "nconst", ["tconst", "ordering"], "left_semi", count_on=raw)
     return first_per_key(known, ["tconst", "ordering"], order).select(
         "tconst", "ordering", "nconst", "category", "job", "characters"
     )
@@ -157,7 +162,7 @@ def load_episodes(raw: DataFrame, title: DataFrame, lenient: bool = False) -> Da
     )
     own = typed.join(title.select("tconst"), "tconst", "left_semi")
     parents = title.select(F.col("tconst").alias("parent_tconst"))
-    return attach(own, parents, "parent_tconst", "tconst", "left_semi").select(*typed.columns)
+    return attach(own, parents, "parent_tconst", "tconst", "left_semi", count_on=typed).select(*typed.columns)
 
 
 def table_counts(cat: Catalog, names: list[str]) -> DataFrame:

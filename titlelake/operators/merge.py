@@ -39,12 +39,16 @@ def split_valid(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changes.filter(link_is_valid()), changes.filter(~link_is_valid())
 
 
+def one_poster(found: DataFrame) -> DataFrame:
+    return found.groupBy("tconst").agg(F.min(filled(F.col("found_url"))).alias("found_url"))
+
+
 def resolve_poster(title: DataFrame, found: DataFrame, placeholder: str = NO_POSTER) -> DataFrame:
     """Poster per title: the stored one, else the looked-up one, else a placeholder.
 
-    ``found`` holds ``tconst, found_url`` with one row per title.
+    ``found`` holds ``tconst, found_url``; of several for a title the smallest counts.
     """
-    return title.join(found.select("tconst", "found_url"), "tconst", "left").select(
+    return title.join(one_poster(found), "tconst", "left").select(
         "tconst",
         F.coalesce(filled(F.col("poster_url")), filled(F.col("found_url")), F.lit(placeholder)).alias(
             "poster_url"
@@ -57,7 +61,7 @@ def store_posters(title: DataFrame, found: DataFrame) -> DataFrame:
     stored = F.coalesce(filled(F.col("poster_url")), filled(F.col("found_url")))
     columns = title.columns
     return (
-        title.join(found.select("tconst", "found_url"), "tconst", "left")
+        title.join(one_poster(found), "tconst", "left")
         .withColumn("poster_url", stored)
         .select(*columns)
     )
@@ -79,7 +83,7 @@ def cascade_delete(cat: Catalog, titles: DataFrame | None = None, people: DataFr
             if child == name and gone.get(parent) is not None:
                 keys = gone[parent].select(F.col(key).alias(column)).distinct()
                 own = [c for c in df.columns if c != column]
-                df = attach(df, keys, column, own, "left_anti").select(*cat[name].columns)
+                df = attach(df, keys, column, own, "left_anti", count_on=cat[name]).select(*cat[name].columns)
         return df
 
     return Catalog(kept)

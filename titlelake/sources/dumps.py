@@ -29,9 +29,9 @@ def read_dump(spark: SparkSession, path: str, dump: str) -> DataFrame:
 
 
 def write_dump(df: DataFrame, path: str, dump: str) -> None:
-    """Write text columns as a dump. A line is joined as text, so nothing is quoted or escaped."""
+    """Write text columns as a dump. Tabs and line breaks in a text become spaces, so nothing is quoted."""
     columns = DUMPS[dump]
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit(NULL)).alias(c) for c in columns]
+    cells = [F.coalesce(F.translate(F.col(c).cast("string"), "\t\n\r", "   "), F.lit(NULL)).alias(c) for c in columns]
     (
         df.select(cells)
         .write.mode("overwrite")

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from titlelake.catalog import Catalog
 from titlelake.operators.joins import attach
 from titlelake.operators.ranking import first_per_key, number_by
-from titlelake.plans.browse import filmography_top, genre_lists, named_credits, with_rating
+from titlelake.plans.browse import genre_lists, named_credits, person_credits, with_rating
 
 TYPES = ["movie", "tvSeries", "tvMovie", "tvEpisode", "videoGame"]
 CATEGORIES = {
@@ -289,8 +289,6 @@ JOBS = {
     "producer": ("Producer", "Production"),
     "composer": ("Composer", None),
 }
-# More roles per category than any list built from a payload shows.
-ROLES_PER_PAYLOAD = 100
 
 
 def _local(value: Column) -> Column:
@@ -384,7 +382,7 @@ def title_payloads(cat: Catalog) -> DataFrame:
 
 
 def person_payloads(cat: Catalog) -> DataFrame:
-    """One payload per person with the latest roles of each category, ordered by title."""
+    """One payload per person with all roles, ordered by title: as long as one person's credits."""
     is_tv = F.col("title_type") == "tvSeries"
     role = F.struct(
         _local(F.col("tconst")).alias("id"),
@@ -397,7 +395,7 @@ def person_payloads(cat: Catalog) -> DataFrame:
         F.get_json_object("characters", "$[0]").alias("character"),
     )
     roles = (
-        filmography_top(cat, n=ROLES_PER_PAYLOAD)
+        person_credits(cat)
         .groupBy("nconst")
         .agg(F.array_sort(F.collect_list(F.struct("tconst", "ordering", role.alias("role")))).alias("rows"))
         .select("nconst", F.transform("rows", lambda r: r["role"]).alias("roles"))

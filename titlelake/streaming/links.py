@@ -1,7 +1,8 @@
 """Watch-link changes as a stream: validated, one row per key and batch, latest wins.
 
 A store is a folder with ``base`` (the links before the stream, optional), ``changes``
-and ``rejects``. Each micro-batch writes its own ``batch=<id>`` folder and overwrites it
+and ``rejects``. A base link may have the time of the change that made it; one without a
+time loses to any change. Each micro-batch writes its own ``batch=<id>`` folder and overwrites it
 if Spark runs the batch again after a failure, so every change counts once. A batch
 costs what it holds: the existing links are not rewritten. :func:`current_links` merges
 on read, and :func:`fold` starts a new store from the merged links.
@@ -9,12 +10,13 @@ on read, and :func:`fold` starts a new store from the merged links.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from titlelake.operators.merge import split_valid, upsert_latest
+from titlelake.operators.merge import split_valid
 from titlelake.operators.ranking import first_per_key
 
 KEYS = ["tconst", "platform"]
@@ -60,22 +62,35 @@ def change_log(spark: SparkSession, store: str, kind: str = "changes") -> DataFr
 
 
 def start_store(links: DataFrame, store: str) -> None:
-    links.select("tconst", "platform", "url").write.mode("overwrite").parquet(f"{store}/base")
+    """Begin a store with links; those of a change also have its ``ts`` and ``event_id``."""
+    since = {"ts": "timestamp", "event_id": "bigint"}
+    missing = {c: F.lit(None).cast(kind) for c, kind in since.items() if c not in links.columns}
+    links.withColumns(missing).select("tconst", "platform", "url", *since).write.mode("overwrite").parquet(f"{store}/base")
+
+
+def stored(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder is there; a store that can't be reached raises."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def timed_links(spark: SparkSession, store: str) -> DataFrame:
+    """The links after all batches so far, each with the time of its change if it has one."""
+    parts = [kind for kind in ("base", "changes") if stored(spark, f"{store}/{kind}")]
+    if not parts:
+        raise FileNotFoundError(f"no store of links in {store}")
+    columns = ["tconst", "platform", "url", "ts", "event_id"]
+    rows = [spark.read.schema(CHANGE).parquet(f"{store}/{kind}").select(columns) for kind in parts]
+    # A base link without a time sorts last.
+    order = [F.desc_nulls_last("ts"), F.desc_nulls_last("event_id")]
+    return first_per_key(reduce(DataFrame.unionByName, rows), KEYS, order)
 
 
 def current_links(spark: SparkSession, store: str) -> DataFrame:
     """The links after all batches so far."""
-    try:
-        base = spark.read.schema(LINK).parquet(f"{store}/base")
-    except AnalysisException:
-        base = spark.createDataFrame([], LINK)
-    try:
-        log = change_log(spark, store)
-    except AnalysisException:
-        return base
-    return upsert_latest(base, log, KEYS, newest())
+    return timed_links(spark, store).select("tconst", "platform", "url")
 
 
 def fold(spark: SparkSession, store: str, new_store: str) -> None:
     """Start a new store whose base is the current state of this one."""
-    start_store(current_links(spark, store), new_store)
+    start_store(timed_links(spark, store), new_store)

@@ -471,6 +471,9 @@ SELECT * FROM film QUALIFY row_number() OVER (
         "contains(lower(title), 'd w') AND type <> 'tvEpisode'",
         "CASE WHEN starts_with(lower(title), 'd w') THEN 0 ELSE 1 END, votes DESC NULLS LAST, id",
     ),
+    "search_backslash": search(
+        FOUND.format(q="D_r%1"), "CASE WHEN title ILIKE 'D_r%1%' THEN 0 ELSE 1 END, votes DESC NULLS LAST, id"
+    ),
     "search_wildcard": search(
         FOUND.format(q="D_r%1"), "CASE WHEN title ILIKE 'D_r%1%' THEN 0 ELSE 1 END, votes DESC NULLS LAST, id"
     ),
@@ -654,8 +657,7 @@ FROM named JOIN title USING (tconst)""",
         f"""
 , near AS (
   SELECT *, row_number() OVER (PARTITION BY nconst ORDER BY tconst, ordering) AS spot FROM (
-    SELECT * FROM role
-    QUALIFY row_number() OVER (PARTITION BY nconst, category ORDER BY start_year DESC NULLS LAST, tconst, ordering) <= 100)
+    SELECT * FROM role)
   QUALIFY spot <= 3)
 SELECT p.nconst AS key, {LOCAL_NAME} AS id, primary_name AS name,
   CASE WHEN death_year IS NULL THEN '{IMAGE_BASE}/w185/f' || p.nconst || '.jpg' END AS profile,
@@ -779,3 +781,4 @@ FROM person""",
 }
 # The stream and the batch merge end in the same table.
 ORACLE["stream_upsert_links"] = ORACLE["upsert_links"]
+ORACLE["stream_fold_links"] = ORACLE["upsert_links"]

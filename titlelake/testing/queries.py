@@ -157,6 +157,20 @@ def stream_upsert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.current_links(spark, store)
 
 
+def stream_fold_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the changes, a fold, then the other half, older and newer ones mixed."""
+    store, folded = shared_folder(spark, "links"), shared_folder(spark, "folded")
+    links.start_store(old_links(spark, sf_dir), store)
+    schema = testbed.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    for part, path in enumerate((store, folded)):
+        changes = testbed.link_changes(events.filter(F.col("event_id") % 2 == part))
+        links.stream_upsert(changes, path, f"{path}/checkpoint").awaitTermination()
+        if path == store:
+            links.fold(spark, store, folded)
+    return links.current_links(spark, folded)
+
+
 def link_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejected = merge.split_valid(testbed.link_changes(testbed.table(spark, sf_dir, "events")))
     return rejected.select("event_id", "tconst", "platform", "url")
@@ -423,6 +437,7 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "search_prefix_rank": lambda cat: browse.search_titles(cat, "re"),
     "search_titles_route": lambda cat: browse.search_titles(cat, SEARCH, prefix_first=False),
     "search_literal": lambda cat: browse.search_titles(cat, "D W", literal=True, include_adult=True),
+    "search_backslash": lambda cat: browse.search_titles(cat, "D_\\r%1"),
     "search_wildcard": lambda cat: browse.search_titles(cat, "D_r%1"),
     "search_page2": lambda cat: browse.search_titles(cat, SEARCH, number=2),
     "search_people": lambda cat: browse.search_people(cat, PEOPLE_SEARCH, number=2),
@@ -472,6 +487,7 @@ QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALO
     "load_episodes": load_episodes,
     "upsert_links": upsert_links,
     "stream_upsert_links": stream_upsert_links,
+    "stream_fold_links": stream_fold_links,
     "insert_missing_principals": insert_missing_principals,
     "link_rejects": link_rejects,
     "resolve_poster": resolve_poster,
