@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelake.llm import decontaminate, langid, licenses, packing, pii, quality, secrets, sharding, simhash, toxicity
+from titlelake.llm import decontaminate, langid, licenses, packing, pii, quality, secrets, sharding, simhash, statements, toxicity
 from titlelake.llm.common import bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,4 +110,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_simhash_ball": op10_simhash_ball,
 }
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op1_license_dice": statements.LICENSES,
+    "op7_spaced_seed_decontamination": statements.DECONTAMINATION,
+}
