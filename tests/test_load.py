@@ -219,3 +219,28 @@ def test_dumps_keep_rows_whole_when_text_has_tabs_and_breaks(spark, tmp_path):
     dumps.write_dump(df, str(tmp_path / "d"), "title.ratings")
     back = sorted(tuple(r) for r in dumps.read_dump(spark, str(tmp_path / "d"), "title.ratings").collect())
     assert back == [("tt1", "a b c", "d"), ("tt2", None, 'q"')]
+
+
+def test_a_catalogue_may_replace_itself(spark, edges, tmp_path):
+    from titlelake.operators.merge import cascade_delete
+    from titlelake.schemas import TABLES
+    from titlelake.sources.tables import drop_versions, versions
+
+    path = str(tmp_path / "lake")
+    save_catalog(edges, path, list(TABLES))
+    cat = load_catalog(spark, path)
+    left = cascade_delete(cat, cat.title.filter("title_type = 'videoGame'"))
+    save_catalog(left, path, ["title", "rating"])
+    after = load_catalog(spark, path)
+    assert (after.title.count(), after.rating.count(), after.person.count()) == (8, 5, 4)
+    assert after.rating.join(after.title, "tconst", "left_anti").count() == 0
+    # A save that fails leaves the version before in place.
+    broken = after.replace(rating=after.rating.withColumn("num_votes", F.raise_error(F.lit("stop")).cast("int")))
+    with pytest.raises(Exception, match="stop"):
+        save_catalog(broken, path, ["title", "rating"])
+    assert versions(spark, path) == [1, 2] and load_catalog(spark, path).rating.count() == 5
+    assert load_catalog(spark, path, version=1).title.count() == 9
+    drop_versions(spark, path, keep=1)
+    assert versions(spark, path) == [2] and load_catalog(spark, path).person.count() == 4
+    with pytest.raises(FileNotFoundError):
+        load_catalog(spark, str(tmp_path / "nothing"))

@@ -174,22 +174,27 @@ def table_counts(cat: Catalog, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def load_all(dumps: dict[str, DataFrame], order: list[Column], lenient: bool = False) -> Catalog:
+def load_all(
+    dumps: dict[str, DataFrame], order: list[Column], lenient: bool = False, existing: Catalog | None = None
+) -> Catalog:
     """The catalogue of a full set of dumps, without watch links.
 
-    Keys of ``dumps`` are the dump names; ``order`` ranks repeated credits.
+    Keys of ``dumps`` are the dump names; ``order`` ranks repeated credits. With an
+    ``existing`` catalogue its genres keep their ids and its ratings stay where the dumps
+    have none.
     """
     title = load_titles(dumps["title.basics"], lenient)
     links = explode_genres(dumps["title.basics"])
-    genre = build_genre_dim(links)
+    genre = build_genre_dim(links, existing.genre if existing else None)
     person = load_people(dumps["name.basics"], lenient)
+    known = existing.rating.join(title.select("tconst"), "tconst", "left_semi") if existing else None
     return Catalog.of(
         {
             "title": title,
             "genre": genre,
             "title_genre": build_title_genre(links, genre),
             "person": person,
-            "rating": load_ratings(dumps["title.ratings"], title, lenient=lenient),
+            "rating": load_ratings(dumps["title.ratings"], title, known, lenient),
             "principal": load_principals(dumps["title.principals"], title, person, order, lenient),
             "episode": load_episodes(dumps["title.episode"], title, lenient),
         }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from titlelake.catalog import Catalog
@@ -20,24 +22,81 @@ CLUSTER = {
 }
 
 
-def load_catalog(spark: SparkSession, path: str) -> Catalog:
-    return Catalog(lambda name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}"))
+VERSIONS = "versions"
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that system's object."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a saved catalogue, oldest first."""
+    system, place = _folder(spark, f"{path}/{VERSIONS}")
+    found = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+    return sorted(int(name) for name in found if name.isdigit())
+
+
+def folders(spark: SparkSession, path: str, version: int | None = None) -> dict[str, str]:
+    """Where each table of a version (the latest by default) lies, relative to the catalogue."""
+    known = versions(spark, path)
+    if not known:
+        return {}
+    lines = spark.read.text(f"{path}/{VERSIONS}/{version or known[-1]:08d}").collect()
+    return dict(line["value"].split("=", 1) for line in lines)
 
 
-def save_catalog(cat: Catalog, path: str, names: list[str]) -> None:
-    """Replace saved tables.
+def load_catalog(spark: SparkSession, path: str, version: int | None = None) -> Catalog:
+    """A saved catalogue in its latest version or an earlier one."""
+    where = folders(spark, path, version)
+    if not where:
+        raise FileNotFoundError(f"no saved catalogue in {path}")
+    return Catalog(lambda name: spark.read.schema(TABLES[name]).parquet(f"{path}/{where[name]}"))
+
+
+def save_catalog(cat: Catalog, path: str, names: list[str]) -> int:
+    """Save tables as a new version of the catalogue and return its number.
+
+    All tables are written to new folders first; then one small file is created that says
+    which folder each table has, and tables not named keep theirs. Readers see the old
+    version or the new one, never a mixture, a failed save changes nothing, and tables
+    may be derived from the very catalogue they replace. Two writers that take the same
+    number can't both succeed.
 
     Each table is range-partitioned and sorted by its cluster column, so the row-group
     statistics let a key lookup skip almost all of the data. All columns take part in
     the ranges: a parent with very many episodes still splits over several files.
     """
+    spark = cat[names[0]].sparkSession
+    where = folders(spark, path)
+    number = max(versions(spark, path), default=0) + 1
+    batch = uuid.uuid4().hex[:12]
     for name in names:
         df = cat[name]
         rest = [c for c in df.columns if c != CLUSTER[name]]
         order = [CLUSTER[name], *rest]
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(
-            f"{path}/{name}"
-        )
+        where[name] = f"{name}/{batch}"
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{where[name]}")
+    system, place = _folder(spark, f"{path}/{VERSIONS}/{number:08d}")
+    out = system.create(place, False)
+    try:
+        out.write(bytearray("\n".join(f"{k}={v}" for k, v in sorted(where.items())), "utf-8"))
+    finally:
+        out.close()
+    return number
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all versions but the latest ``keep``, with the table folders only they have."""
+    known = versions(spark, path)
+    old, kept = known[: -keep or None], known[-keep:]
+    used = {f for v in kept for f in folders(spark, path, v).values()}
+    for version in old:
+        gone = {f for f in folders(spark, path, version).values() if f not in used}
+        for folder in [f"{VERSIONS}/{version:08d}", *sorted(gone)]:
+            system, place = _folder(spark, f"{path}/{folder}")
+            system.delete(place, True)
 
 
 def save_bucketed(cat: Catalog, names: list[str], buckets: int, prefix: str = "") -> None:
