@@ -87,7 +87,7 @@ def _list(value: Column) -> Column:
 
 def normal_title(raw: Column, kind: Column | None = None) -> Column:
     """One title struct from a payload item: series and films use differently named fields."""
-    named = F.coalesce(raw["media_type"], F.lit("movie"))
+    named = F.coalesce(filled(raw["media_type"]), F.lit("movie"))
     kind = named if kind is None else F.coalesce(kind, named)
     is_tv = kind == "tv"
 

@@ -781,4 +781,5 @@ FROM person""",
 }
 # The stream and the batch merge end in the same table.
 ORACLE["stream_upsert_links"] = ORACLE["upsert_links"]
+ORACLE["reload_catalogue"] = ORACLE["cascade_delete_counts"]
 ORACLE["stream_fold_links"] = ORACLE["upsert_links"]

@@ -19,6 +19,7 @@ from titlelake.plans import analysis, browse, documents, payloads
 from titlelake.schemas import REQUIRED, TABLES
 from titlelake.sources import dumps, testbed
 from titlelake.sources.shared import shared_folder
+from titlelake.sources.tables import load_catalog, save_catalog
 from titlelake.streaming import links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,8 +225,8 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.violations(cat, list(TABLES))
 
 
-def _deleted(spark: SparkSession, sf_dir: str) -> Catalog:
-    cat = _cat(spark, sf_dir)
+def _deleted(spark: SparkSession, sf_dir: str, cat: Catalog | None = None) -> Catalog:
+    cat = cat or _cat(spark, sf_dir)
     debtors = cat.person.join(testbed.solvent_people(spark, sf_dir), "nconst", "left_anti").select("nconst")
     return merge.cascade_delete(cat, cat.title.filter("title_type = 'videoGame'").select("tconst"), debtors)
 
@@ -238,6 +239,14 @@ def cascade_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.table_counts(_deleted(spark, sf_dir), list(TABLES))
 
 
+def reload_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save, delete with all that refers to it, save to the same store, load again."""
+    store = shared_folder(spark, "catalogue")
+    save_catalog(_cat(spark, sf_dir), store, list(TABLES))
+    save_catalog(_deleted(spark, sf_dir, load_catalog(spark, store)), store, list(TABLES))
+    return load.table_counts(load_catalog(spark, store), list(TABLES))
+
+
 # Documents, texts and payloads ------------------------------------------------------
 
 
@@ -499,6 +508,7 @@ QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALO
     "violations": violations,
     "cascade_delete": cascade_delete,
     "cascade_delete_counts": cascade_delete_counts,
+    "reload_catalogue": reload_catalogue,
     "short_overviews": short_overviews,
     "provider_links": provider_links,
 }
