@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from titlelake.functions.text import contains_ci
-from titlelake.operators.ranking import page, page_info
+from titlelake.operators.ranking import page, page_after, page_info
 from titlelake.plans import browse
 
 
@@ -163,10 +163,21 @@ def test_pages_join_up(spark):
     assert [r["n"] for p in pages for r in p] == list(range(44, -1, -1))
     assert [{r["has_more"] for r in p} for p in pages] == [{True}, {True}, {False}]
     assert [{r["total_pages"] for r in p} for p in pages] == [{2}, {3}, {3}]
+    assert [r["place"] for p in pages for r in p] == list(range(1, 46))
     assert page(df, [F.desc("n")], 20, 4).count() == 0
     assert {r["has_more"] for r in page(df.limit(20), [F.desc("n")], 20, 1).collect()} == {False}
 
 
+def test_keyset_pages_join_up_over_ties_and_nulls(spark):
+    rows = [(k, None if k % 4 == 0 else k % 3) for k in range(50)]
+    df = spark.createDataFrame(rows, "id int, votes int")
+    order, last, seen = [("votes", True), ("id", False)], None, []
+    while got := page_after(df, order, 7, last).collect():
+        seen += [r["id"] for r in got]
+        last = [got[-1]["votes"], got[-1]["id"]]
+    assert seen == [k for k, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+
+
 def test_page_numbers(spark):
     row = page_info(spark.range(41), 20).collect()[0]
     assert (row["total_results"], row["total_pages"]) == (41, 3)

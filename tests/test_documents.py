@@ -64,3 +64,12 @@ def test_person_document_caps_each_category(spark):
     )
     group = documents.person_documents(cat).collect()[0]["filmography"][0]
     assert [t["year"] for t in group["titles"]] == list(range(1979, 1929, -1))
+
+
+def test_series_documents(edges):
+    found = {(r["id"], r["season"]): r for r in documents.series_documents(edges, "tt4").collect()}
+    assert set(found) == {("tt4", 0), ("tt4", 1), ("tt4", None)}
+    assert {tuple(r["seasons"]) for r in found.values()} == {(0, 1)}
+    assert [(e["episode_number"], e["id"], e["votes"]) for e in found["tt4", 0]["episodes"]] == [(2, "tt5", 90000), (None, "tt8", None)]
+    other = documents.series_documents(edges, "tt1").collect()
+    assert [(r["season"], r["seasons"], r["episodes"]) for r in other] == [(None, [], [])]

@@ -66,3 +66,9 @@ def test_two_posters_found_do_not_double_a_title(spark, edges):
     found = spark.createDataFrame([("tt2", "https://b"), ("tt2", "https://a"), ("tt2", "")], "tconst string, found_url string")
     out = {r["tconst"]: r["poster_url"] for r in merge.resolve_poster(edges.title, found).collect()}
     assert out["tt2"] == "https://a" and merge.store_posters(edges.title, found).count() == edges.title.count()
+
+
+def test_deleted_genres_take_their_links(spark, edges):
+    after = merge.cascade_delete(edges, genres=spark.createDataFrame([(2,)], "genre_id int"))
+    assert rows(after.genre) == [(1, "Crime")] and rows(after.title_genre) == [("tt1", 1)]
+    assert after.title.count() == 9

@@ -160,9 +160,39 @@ def test_mixed_results_drop_unknown_kinds(table):
     }
 
 
-def test_broken_json_gives_an_empty_payload(spark):
-    df = spark.createDataFrame([("0", None, "{oops")], "key string, media_type string, payload string")
-    assert one(payloads.payload_titles(df))["title"] == ""
+def test_payloads_that_are_no_objects_are_rejected(spark):
+    bad = ["{oops", None, "", "[1]", '{"id": 1', "null"]
+    items = [(str(n), None, text) for n, text in enumerate(['{"id": 7}', "{}", *bad])]
+    df = spark.createDataFrame(items, "key string, media_type string, payload string")
+    assert sorted(r["key"] for r in payloads.payload_titles(df).collect()) == ["0", "1"]
+    assert sorted(r["key"] for r in payloads.rejects(df).collect()) == [str(n) for n in range(2, 8)]
+    assert payloads.multi_results(df).count() == 0
+
+
+def test_results_keep_the_order_of_the_list(table):
+    results = [
+        {"id": 3, "media_type": "person", "name": "P", "profile_path": "/p"},
+        {"id": 4, "media_type": "collection"},
+        {"id": 1, "media_type": "movie", "title": "F", "name": "Other"},
+        {"id": 2, "media_type": "tv", "name": "S"},
+    ]
+    df = table((None, {"results": results, "page": 2, "total_pages": 900, "total_results": 7}), (None, {"results": []}), (None, {}))
+    found = payloads.payload_results(df).orderBy("key", "place").collect()
+    assert [(r["place"], r["id"], r["title"], r["name"]) for r in found] == [(0, 3, None, "P"), (1, 1, "F", None), (2, 2, "S", None)]
+    as_films = payloads.payload_results(df, "movie", 3).orderBy("place").collect()
+    assert [(r["id"], r["title"], r["media_type"]) for r in as_films] == [(3, "", "movie"), (4, "", "movie"), (1, "F", "movie")]
+    pages = payloads.response_pages(df).orderBy("key").collect()
+    assert [tuple(r)[1:] for r in pages] == [(2, 500, 7), (1, 1, 0), (1, 1, 0)]
+
+
+def test_poster_of_the_first_list_that_has_one(table):
+    df = table(
+        (None, {"movie_results": [{"poster_path": "/m"}], "tv_results": [{"poster_path": "/s"}]}),
+        (None, {"movie_results": [{"poster_path": ""}, {"poster_path": "/x"}], "tv_episode_results": [{"poster_path": "/e"}]}),
+        (None, {"movie_results": []}),
+    )
+    found = payloads.found_posters(df).orderBy("tconst").collect()
+    assert [r["found_url"] for r in found] == [f"{IMG}/w500/m", f"{IMG}/w500/e", None]
 
 
 def test_no_role_of_a_person_is_lost(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from titlelake.operators.merge import split_valid, upsert_latest
 from titlelake.sources.shared import shared_folder
-from titlelake.streaming import links
+from titlelake.streaming import links, trending
 
 
 def changes(spark, numbers):
@@ -99,3 +99,16 @@ def test_a_missing_store_is_an_error(spark, tmp_path):
 
 def test_folders_lie_under_the_shared_one(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_weekly_counts_over_batches(spark):
+    store = shared_folder(spark, "trending")
+    week = 7 * 86400
+    for times in ([0, 1, week - 1], [2, week, 3 * week]):
+        data = [("tt1", t) for t in times]
+        events = spark.createDataFrame(data, "tconst string, t long").select("tconst", F.timestamp_seconds("t").alias("ts"))
+        events.coalesce(1).write.mode("append").parquet(f"{store}/events")
+        stream = spark.readStream.schema("tconst string, ts timestamp").parquet(f"{store}/events")
+        trending.stream_counts(stream, store, f"{store}/checkpoint", late="28 days").awaitTermination()
+    found = trending.current_counts(spark, store).select(F.unix_seconds("start"), "views").collect()
+    assert sorted(map(tuple, found)) == [(0, 4), (week, 1), (3 * week, 1)]

@@ -67,12 +67,17 @@ def store_posters(title: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def cascade_delete(cat: Catalog, titles: DataFrame | None = None, people: DataFrame | None = None) -> Catalog:
-    """The catalogue without the given titles and people and without all rows that refer to them.
-
-    ``titles`` has a ``tconst`` column, ``people`` an ``nconst`` column.
+def cascade_delete(
+    cat: Catalog,
+    titles: DataFrame | None = None,
+    people: DataFrame | None = None,
+    genres: DataFrame | None = None,
+) -> Catalog:
+    """The catalogue without the given titles, people and genres and without all rows that refer to them.
+
+    ``titles`` has a ``tconst`` column, ``people`` an ``nconst`` and ``genres`` a ``genre_id`` column.
     """
-    gone = {"title": titles, "person": people}
+    gone = {"title": titles, "person": people, "genre": genres}
 
     def kept(name: str) -> DataFrame:
         df = cat[name]

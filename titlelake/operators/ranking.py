@@ -46,7 +46,10 @@ def number_by(df: DataFrame, column: str, number: str, start: int = 0) -> DataFr
 
 
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """One page of ``size`` rows in a total ``order``, with ``has_more`` and ``total_pages``.
+    """One page of ``size`` rows in a total ``order``, with ``place``, ``has_more`` and ``total_pages``.
+
+    ``place`` counts from 1 over all pages. A deep page makes every task keep all rows
+    before it; :func:`page_after` goes on from a known row instead.
 
     One row past the page is read to learn whether another page follows, which avoids a
     count of the whole result; ``total_pages`` is the number of pages known by then. The
@@ -59,10 +62,33 @@ def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFram
         .withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size)
         .withColumn("total_pages", F.lit(number) + F.col("has_more").cast("int"))
         .filter(F.col("_place") <= size)
+        .withColumn("place", F.lit((number - 1) * size).cast("bigint") + F.col("_place"))
         .drop("_place")
     )
 
 
+def is_after(order: list[tuple[str, bool]], last: list) -> Column:
+    """Whether a row stands after the values ``last`` in an order of (column, descending), nulls last."""
+    later, same = F.lit(False), F.lit(True)
+    for (name, descending), value in zip(order, last, strict=True):
+        column = F.col(name)
+        if value is not None:
+            beyond = column < value if descending else column > value
+            later = later | (same & (column.isNull() | beyond))
+        same = same & column.eqNullSafe(F.lit(value))
+    return F.coalesce(later, F.lit(False))
+
+
+def page_after(df: DataFrame, order: list[tuple[str, bool]], size: int, last: list | None = None) -> DataFrame:
+    """The ``size`` rows after the row with the values ``last``, from the start without one.
+
+    The order is total: (column, descending) pairs, nulls last. However deep the page,
+    a task keeps ``size`` rows.
+    """
+    rows = df if last is None else df.filter(is_after(order, last))
+    return rows.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order]).limit(size)
+
+
 def page_info(df: DataFrame, size: int, cap: int = DISCOVER_PAGE_CAP) -> DataFrame:
     """Number of results and of pages, the latter capped."""
     rows = F.count(F.lit(1))

@@ -16,7 +16,7 @@ from titlelake.functions.roles import CAST, CREDIT_ROLES, CREW, FILMOGRAPHY_ROLE
 from titlelake.functions.text import contains_ci, prefix_ci
 from titlelake.operators import merge
 from titlelake.operators.joins import attach, by_keys
-from titlelake.operators.ranking import cap_per_group, page, page_number
+from titlelake.operators.ranking import cap_per_group, page, page_after, page_number
 
 Keys = None | str | list[str] | DataFrame
 
@@ -354,6 +354,14 @@ def discover(
     return with_genres(best, cat, size).orderBy(*order).select(HOME)
 
 
+def discover_after(
+    cat: Catalog, last: list | None = None, sort: str = "popularity", size: int = PAGE_SIZE, **filters
+) -> DataFrame:
+    """The rows of :func:`discover_rows` after the one whose sort value and id are ``last``."""
+    column = SORTS.get(sort, SORTS["popularity"])[1]
+    return page_after(discover_rows(cat, **filters), [(column, True), ("id", False)], size, last)
+
+
 def genre_list(cat: Catalog) -> DataFrame:
     return cat.genre.select(F.col("genre_id").alias("id"), "name").orderBy("name")
 

@@ -104,6 +104,55 @@ def credits_by_category(cat: Catalog, ids: Keys = None) -> DataFrame:
     )
 
 
+def series_documents(cat: Catalog, parents: Keys = None) -> DataFrame:
+    """One row per title and season, with all seasons of the title and the season's episodes.
+
+    Episodes of no season form a row of their own with a null season; a title without
+    episodes has one row with empty lists. A row is as long as its season; the list of
+    seasons is bounded, as a season is a smallint.
+    """
+    own = by_keys(cat.episode, "parent_tconst", parents)
+    title = cat.title.select("tconst", "primary_title", "start_year", "runtime_minutes")
+    entry = F.struct(
+        F.col("episode_number").isNull().alias("_unnumbered"),
+        F.col("episode_number").alias("episode_number"),
+        F.col("tconst").alias("id"),
+        F.col("primary_title").alias("title"),
+        F.col("start_year").alias("year"),
+        F.col("runtime_minutes").alias("runtime"),
+        F.col("average_rating").alias("rating"),
+        F.col("num_votes").alias("votes"),
+    )
+    season_rows = (
+        with_rating(own.join(title, "tconst"), cat.rating, "left")
+        .groupBy("parent_tconst", F.col("season_number").alias("season"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+        .select(
+            F.col("parent_tconst").alias("tconst"), "season",
+            F.transform("rows", lambda r: r.dropFields("_unnumbered")).alias("episodes"),
+        )
+    )
+    seasons = own.groupBy(F.col("parent_tconst").alias("tconst")).agg(
+        F.array_sort(F.collect_set("season_number")).alias("seasons")
+    )
+    empty = F.array().cast(
+        "array<struct<episode_number:smallint,id:string,title:string,year:smallint,runtime:int,rating:decimal(3,1),votes:int>>"
+    )
+    return (
+        by_keys(cat.title, "tconst", parents)
+        .select("tconst", "primary_title")
+        .join(seasons, "tconst", "left")
+        .join(season_rows, "tconst", "left")
+        .select(
+            F.col("tconst").alias("id"),
+            F.col("primary_title").alias("title"),
+            F.coalesce("seasons", F.array().cast("array<smallint>")).alias("seasons"),
+            "season",
+            F.coalesce("episodes", empty).alias("episodes"),
+        )
+    )
+
+
 def person_documents(cat: Catalog, ids: Keys = None, n: int = ROLE_SIZE) -> DataFrame:
     """Person info with the latest ``n`` credits per category.
 

@@ -2,8 +2,9 @@
 
 A payload table has the columns ``key, media_type, payload``: ``media_type`` (may be
 null) overrides the kind named in the payload, ``payload`` is JSON text. A field missing
-from the JSON and a field set to null are treated alike. Every operator works within
-the row, so none of them shuffles.
+from the JSON and a field set to null are treated alike. Rows whose payload is no JSON
+object are left out; :func:`rejects` lists them. Every operator works within the row, so
+none of them shuffles, and parses only the fields that it reads.
 """
 
 from __future__ import annotations
@@ -61,8 +62,20 @@ PERSON_FIELDS = {
     "known_for": f"array<struct<{_ITEMS}>>",
     "combined_credits": f"struct<cast: array<struct<{_ITEMS}, character: string>>>",
 }
-TITLE_PAYLOAD = ", ".join(f"`{name}` {kind}" for name, kind in TITLE_FIELDS.items())
-PERSON_PAYLOAD = ", ".join(f"`{name}` {kind}" for name, kind in PERSON_FIELDS.items())
+# An entry of a mixed list.
+RESULT_FIELDS = ITEM | {name: PERSON_FIELDS[name] for name in ("profile_path", "known_for_department", "known_for")}
+RESULT_KINDS = ["movie", "tv", "person"]
+PERSON_ITEM = {"id": "bigint", "name": "string"} | {
+    name: PERSON_FIELDS[name] for name in ("profile_path", "known_for_department", "known_for")
+}
+# Columns of a normal title and of a normal person that the other lacks.
+TITLE_ONLY = [
+    "title", "original_title", "year", "runtime", "poster", "backdrop", "rating", "votes", "overview",
+    "genre_ids", "genres", "adult",
+]
+PERSON_ONLY = ["name", "profile", "known_for_department", "known_for"]
+# Lists of a lookup response, in the order in which they are asked for a poster.
+LOOKUP_LISTS = ["movie_results", "tv_results", "tv_episode_results"]
 
 # Countries tried for watch providers, writing jobs, list lengths.
 COUNTRIES = ["US", "GB", "FR", "DE", "IN"]
@@ -72,9 +85,27 @@ SIMILAR_SIZE = 10
 FILMOGRAPHY_SIZE = 60
 
 
-def parse(payloads: DataFrame, schema: str = TITLE_PAYLOAD) -> DataFrame:
-    """Add the parsed payload as the struct column ``raw``."""
-    return payloads.withColumn("raw", F.from_json("payload", schema))
+def schema_of(fields: dict[str, str]) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
+
+
+def is_readable() -> Column:
+    """Whether the payload is a JSON object."""
+    return F.json_object_keys("payload").isNotNull()
+
+
+def rejects(payloads: DataFrame) -> DataFrame:
+    """The rows whose payload is missing, broken or no JSON object."""
+    return payloads.filter(~is_readable())
+
+
+def parse(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Add the given fields of the parsed payload as the struct column ``raw``."""
+    return payloads.filter(is_readable()).withColumn("raw", F.from_json("payload", schema_of(fields)))
+
+
+def title_fields(*names: str) -> dict[str, str]:
+    return {name: TITLE_FIELDS[name] for name in names}
 
 
 def _text(value: Column) -> Column:
@@ -125,6 +156,18 @@ def normal_person(raw: Column) -> Column:
     )
 
 
+def normal_result(raw: Column) -> Column:
+    """One struct for an entry of a mixed list; fields that its kind lacks are null."""
+    is_person = raw["media_type"] == "person"
+    title, person = normal_title(raw), normal_person(raw)
+    return F.struct(
+        raw["id"].alias("id"),
+        raw["media_type"].alias("media_type"),
+        *[F.when(~is_person, title[c]).alias(c) for c in TITLE_ONLY],
+        *[F.when(is_person, person[c]).alias(c) for c in PERSON_ONLY],
+    )
+
+
 def cast_list(raw: Column, size: int | None = CAST_SIZE) -> Column:
     """Cast entries, the first ``size`` or all."""
     cast = _list(raw["credits"]["cast"])
@@ -235,19 +278,19 @@ def similar_list(raw: Column, kind: Column, size: int = SIMILAR_SIZE) -> Column:
 
 def payload_titles(payloads: DataFrame) -> DataFrame:
     return (
-        parse(payloads)
+        parse(payloads, ITEM)
         .select("key", normal_title(F.col("raw"), F.col("media_type")).alias("t"))
         .select("key", "t.*")
     )
 
 
 def payload_people(payloads: DataFrame) -> DataFrame:
-    return parse(payloads, PERSON_PAYLOAD).select("key", normal_person(F.col("raw")).alias("p")).select("key", "p.*")
+    return parse(payloads, PERSON_ITEM).select("key", normal_person(F.col("raw")).alias("p")).select("key", "p.*")
 
 
 def payload_cast(payloads: DataFrame, size: int | None = CAST_SIZE) -> DataFrame:
     return (
-        parse(payloads)
+        parse(payloads, title_fields("credits"))
         .select("key", F.posexplode(cast_list(F.col("raw"), size)).alias("place", "c"))
         .select("key", "place", "c.*")
     )
@@ -256,7 +299,7 @@ def payload_cast(payloads: DataFrame, size: int | None = CAST_SIZE) -> DataFrame
 def payload_crew(payloads: DataFrame) -> DataFrame:
     """Directors and writers as two lists."""
     raw = F.col("raw")
-    return parse(payloads).select(
+    return parse(payloads, title_fields("credits")).select(
         "key",
         crew_with_jobs(raw, ["Director"]).alias("directors"),
         crew_with_jobs(raw, WRITING_JOBS).alias("writers"),
@@ -265,19 +308,20 @@ def payload_crew(payloads: DataFrame) -> DataFrame:
 
 def payload_departments(payloads: DataFrame) -> DataFrame:
     return (
-        parse(payloads)
+        parse(payloads, title_fields("credits"))
         .select("key", F.posexplode(crew_departments(F.col("raw"))).alias("place", "d"))
         .select("key", "place", "d.*")
     )
 
 
 def payload_providers(payloads: DataFrame) -> DataFrame:
-    return parse(payloads).select("key", watch_options(F.col("raw")).alias("w")).select("key", "w.*")
+    found = parse(payloads, title_fields("watch/providers"))
+    return found.select("key", watch_options(F.col("raw")).alias("w")).select("key", "w.*")
 
 
 def payload_filmography(payloads: DataFrame) -> DataFrame:
     return (
-        parse(payloads, PERSON_PAYLOAD)
+        parse(payloads, {"combined_credits": PERSON_FIELDS["combined_credits"]})
         .select("key", F.posexplode(filmography_list(F.col("raw"))).alias("place", "f"))
         .select("key", "place", "f.*")
     )
@@ -285,7 +329,7 @@ def payload_filmography(payloads: DataFrame) -> DataFrame:
 
 def payload_similar(payloads: DataFrame) -> DataFrame:
     return (
-        parse(payloads)
+        parse(payloads, title_fields("similar"))
         .select("key", F.posexplode(similar_list(F.col("raw"), F.col("media_type"))).alias("place", "s"))
         .select("key", "place", "s.*")
     )
@@ -295,7 +339,7 @@ def payload_documents(payloads: DataFrame) -> DataFrame:
     """The whole title page: info with cast, crew, providers and similar titles."""
     raw, kind = F.col("raw"), F.col("media_type")
     return (
-        parse(payloads)
+        parse(payloads, TITLE_FIELDS)
         .select(
             "key",
             normal_title(raw, kind).alias("t"),
@@ -318,7 +362,7 @@ def payload_documents(payloads: DataFrame) -> DataFrame:
 def payload_credits(payloads: DataFrame) -> DataFrame:
     """The credits page: all cast, and the crew by department."""
     raw = F.col("raw")
-    return parse(payloads).select(
+    return parse(payloads, title_fields("id", "title", "name", "credits")).select(
         "key",
         raw["id"].alias("id"),
         _text(F.coalesce(filled(raw["title"]), raw["name"])).alias("title"),
@@ -330,7 +374,7 @@ def payload_credits(payloads: DataFrame) -> DataFrame:
 def payload_person_documents(payloads: DataFrame) -> DataFrame:
     """The person page: life data and filmography."""
     raw = F.col("raw")
-    return parse(payloads, PERSON_PAYLOAD).select(
+    return parse(payloads, PERSON_FIELDS).select(
         "key",
         raw["id"].alias("id"),
         _text(raw["name"]).alias("name"),
@@ -345,8 +389,47 @@ def payload_person_documents(payloads: DataFrame) -> DataFrame:
 
 
 def multi_results(payloads: DataFrame) -> DataFrame:
-    """Mixed search results: titles and people in one list, other kinds dropped."""
-    kind = F.get_json_object("payload", "$.media_type")
-    titles = payload_titles(payloads.filter(kind.isin("movie", "tv")).withColumn("media_type", kind))
-    people = payload_people(payloads.filter(kind == "person"))
-    return titles.unionByName(people, allowMissingColumns=True)
+    """Mixed entries, one a row: titles and people in one table, other kinds dropped."""
+    known = F.get_json_object("payload", "$.media_type").isin(RESULT_KINDS)
+    found = parse(payloads.filter(known), RESULT_FIELDS)
+    return found.select("key", normal_result(F.col("raw")).alias("r")).select("key", "r.*")
+
+
+def payload_results(responses: DataFrame, kind: str | None = None, size: int | None = None) -> DataFrame:
+    """The entries of response payloads' ``results`` lists with their ``place`` from 0.
+
+    With a ``kind`` all entries are titles of that kind, the first ``size`` of each list
+    or all. Without one the entries name theirs: titles and people stay in the order of
+    the list, other kinds are dropped and leave no gap.
+    """
+    fields = ITEM if kind else RESULT_FIELDS
+    entries = ", ".join(f"{name}: {of}" for name, of in fields.items())
+    parsed = parse(responses, {"results": f"array<struct<{entries}>>"})
+    items = _list(F.col("raw")["results"])
+    if kind is None:
+        items = F.filter(items, lambda i: i["media_type"].isin(RESULT_KINDS))
+    if size is not None:
+        items = F.slice(items, 1, size)
+    placed = parsed.select("key", F.posexplode(items).alias("place", "item"))
+    entry = normal_title(F.col("item"), F.lit(kind)) if kind else normal_result(F.col("item"))
+    return placed.select("key", "place", entry.alias("r")).select("key", "place", "r.*")
+
+
+def response_pages(responses: DataFrame, cap: int = 500) -> DataFrame:
+    """What response payloads say of their page: ``page``, ``total_pages`` (capped), ``total_results``."""
+    raw = F.col("raw")
+    parsed = parse(responses, {"page": "int", "total_pages": "int", "total_results": "bigint"})
+    return parsed.select(
+        "key",
+        F.coalesce(raw["page"], F.lit(1)).alias("page"),
+        F.least(F.coalesce(raw["total_pages"], F.lit(1)), F.lit(cap)).alias("total_pages"),
+        F.coalesce(raw["total_results"], F.lit(0)).alias("total_results"),
+    )
+
+
+def found_posters(responses: DataFrame) -> DataFrame:
+    """``tconst, found_url`` of lookup responses (key, payload): the poster of the first
+    list whose first entry has one, null without any."""
+    parsed = parse(responses, {name: "array<struct<poster_path: string>>" for name in LOOKUP_LISTS})
+    firsts = [filled(F.get(F.col("raw")[name], F.lit(0))["poster_path"]) for name in LOOKUP_LISTS]
+    return parsed.select(F.col("key").alias("tconst"), image_url(F.coalesce(*firsts)).alias("found_url"))

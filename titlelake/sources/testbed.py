@@ -411,3 +411,58 @@ def person_payloads(cat: Catalog) -> DataFrame:
     return cat.person.join(roles, "nconst", "left").select(
         F.col("nconst").alias("key"), F.lit(None).cast("string").alias("media_type"), F.to_json(item).alias("payload")
     )
+
+
+def response_payloads(cat: Catalog) -> DataFrame:
+    """Response pages of a mixed search: titles and people by number, 20 numbers a page, latest first."""
+    is_tv = F.col("title_type") == "tvSeries"
+    number = _local(F.col("tconst"))
+    titles = cat.title.select(
+        number.alias("id"),
+        F.when(F.col("title_type") == "videoGame", "game").otherwise(_kind(F.col("title_type"))).alias("media_type"),
+        F.when(~is_tv, F.col("primary_title")).alias("title"),
+        F.when(is_tv, F.col("primary_title")).alias("name"),
+        F.lit(None).cast("string").alias("profile_path"),
+    )
+    people = cat.person.select(
+        _local(F.col("nconst")).alias("id"),
+        F.lit("person").alias("media_type"),
+        F.lit(None).cast("string").alias("title"),
+        F.col("primary_name").alias("name"),
+        F.concat(F.lit("/f"), "nconst").alias("profile_path"),
+    )
+    entry = F.struct((-F.col("id")).alias("back"), "media_type", "id", "title", "name", "profile_path")
+    # Ids are unique within a table: at most 40 entries a page.
+    pages = titles.unionByName(people).groupBy(F.floor(F.col("id") / 20).alias("page")).agg(
+        F.array_sort(F.collect_list(entry)).alias("rows")
+    )
+    body = F.struct(
+        F.transform("rows", lambda r: r.dropFields("back")).alias("results"),
+        F.col("page").alias("page"),
+        (F.col("page") * 10).alias("total_pages"),
+        F.when(F.col("page") % 2 == 0, F.size("rows")).alias("total_results"),
+    )
+    return pages.select(F.col("page").cast("string").alias("key"), F.to_json(body).alias("payload"))
+
+
+def lookup_payloads(cat: Catalog) -> DataFrame:
+    """A poster lookup response per title; every eleventh is broken."""
+    number = _local(F.col("tconst"))
+
+    def entry(path: Column) -> Column:
+        return F.struct(path.alias("poster_path"))
+
+    def poster(letter: str) -> Column:
+        return F.concat(F.lit(f"/{letter}"), number.cast("string"))
+
+    none = F.lit(None).cast("string")
+    body = F.struct(
+        F.when(F.col("title_type") == "movie", F.array(entry(F.when(number % 2 == 0, poster("m"))))).alias("movie_results"),
+        F.array(entry(F.when(number % 5 == 0, poster("s")).otherwise(""))).alias("tv_results"),
+        F.array(entry(F.when(number % 7 != 0, poster("e")).otherwise(none)), entry(poster("x"))).alias("tv_episode_results"),
+    )
+    text = F.to_json(body)
+    broken = F.substr(text, F.lit(1), F.length(text) - 1)
+    return cat.title.select(
+        F.col("tconst").alias("key"), F.when(number % 11 == 0, broken).otherwise(text).alias("payload")
+    )

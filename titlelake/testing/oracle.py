@@ -18,8 +18,10 @@ from titlelake.schemas import PRIMARY_KEYS, REFERENCES, REQUIRED, TEXT_LIMITS, U
 from titlelake.schemas import TABLES as NAMES
 from titlelake.testing.queries import (
     ACTOR_MIN_TITLES,
+    AFTER,
     DIRECTOR_MIN,
     DISCOVER,
+    GENRES_GONE,
     GENRE_MIN_LINKS,
     PEOPLE_SEARCH,
     PROVIDER_NAMES,
@@ -136,7 +138,7 @@ def sql(tables: str, body: str) -> str:
 
 def rank(column: str, roles: list[str]) -> str:
     cases = " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(roles, 1))
-    return f"CASE {column} {cases} ELSE {len(roles) + 1} END"
+    return f"CAST(CASE {column} {cases} ELSE {len(roles) + 1} END AS BIGINT)"
 
 
 # Mean at two decimals, half up, from whole numbers.
@@ -157,7 +159,8 @@ def search(where: str, order: str, page: int = 1) -> str:
     return sql(
         "card",
         f"""
-SELECT {CARD}, 'title' AS result_type, (SELECT count(*) FROM card WHERE {where}) > {20 * page} AS has_more,
+SELECT {CARD}, 'title' AS result_type, row_number() OVER (ORDER BY {order}) AS place,
+  (SELECT count(*) FROM card WHERE {where}) > {20 * page} AS has_more,
   {page} + CAST((SELECT count(*) FROM card WHERE {where}) > {20 * page} AS BIGINT) AS total_pages
 FROM card WHERE {where} ORDER BY {order} LIMIT 20 OFFSET {20 * (page - 1)}""",
     )
@@ -254,6 +257,12 @@ JOB = "CASE category WHEN 'director' THEN 'Director' WHEN 'writer' THEN 'Story'
 DEPARTMENT = "CASE category WHEN 'director' THEN 'Directing' WHEN 'writer' THEN 'Writing' WHEN 'producer' THEN 'Production' WHEN 'composer' THEN 'Other' END"
 LOCAL_NAME = "CAST(substr(nconst, 3) AS BIGINT)"
 CHARACTER = "coalesce(characters ->> '$[0]', '')"
+LOCAL_TITLE = "CAST(substr(tconst, 3) AS BIGINT)"
+RESPONSE_ENTRIES = f"""
+, entry AS (
+  SELECT {LOCAL_TITLE} AS id, CASE title_type WHEN 'videoGame' THEN 'game' WHEN 'tvSeries' THEN 'tv' ELSE 'movie' END AS kind,
+    primary_title AS title, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS profile FROM title
+  UNION ALL SELECT {LOCAL_NAME}, 'person', NULL, primary_name, '{IMAGE_BASE}/w185/f' || nconst FROM person)"""
 
 ORACLE = {
     # Loading
@@ -424,8 +433,8 @@ QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY ordering) <= 5""",
     "full_credits": sql(
         "named",
         f"""
-SELECT tconst, category, nconst, name, job, characters, ordering FROM named
-ORDER BY tconst, {rank('category', CREDIT_ROLES)}, ordering""",
+SELECT tconst, category, nconst, name, job, characters, ordering, {rank('category', CREDIT_ROLES)} AS rank FROM named
+ORDER BY tconst, rank, ordering""",
     ),
     "series_seasons": sql(
         "episode", "SELECT DISTINCT parent_tconst, season_number FROM episode WHERE season_number IS NOT NULL"
@@ -448,8 +457,8 @@ FROM episode e JOIN title t USING (tconst) LEFT JOIN rating r USING (tconst)""",
     "filmography": sql(
         "film",
         f"""
-SELECT * FROM film
-ORDER BY nconst, {rank('category', FILMOGRAPHY_ROLES)}, start_year DESC NULLS LAST, tconst, ordering""",
+SELECT *, {rank('category', FILMOGRAPHY_ROLES)} AS rank FROM film
+ORDER BY nconst, rank, start_year DESC NULLS LAST, tconst, ordering""",
     ),
     **{
         f"filmography_top{n}": sql(
@@ -486,6 +495,7 @@ SELECT * FROM film QUALIFY row_number() OVER (
         "person",
         f"""
 SELECT nconst AS id, primary_name AS name, birth_year, death_year, 'person' AS result_type,
+  row_number() OVER (ORDER BY CASE WHEN primary_name ILIKE '{PEOPLE_SEARCH}%' THEN 0 ELSE 1 END, primary_name, nconst) AS place,
   (SELECT count(*) FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%') > 40 AS has_more,
   2 + CAST((SELECT count(*) FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%') > 40 AS BIGINT) AS total_pages
 FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%'
@@ -495,10 +505,13 @@ ORDER BY CASE WHEN primary_name ILIKE '{PEOPLE_SEARCH}%' THEN 0 ELSE 1 END, prim
         "card person",
         f"""
 , titles AS (
-  SELECT {CARD}, 'title' AS result_type FROM card WHERE {FOUND.format(q=SEARCH)}
+  SELECT {CARD}, 'title' AS result_type,
+    row_number() OVER (ORDER BY CASE WHEN title ILIKE '{SEARCH}%' THEN 0 ELSE 1 END, votes DESC NULLS LAST, id) AS place
+  FROM card WHERE {FOUND.format(q=SEARCH)}
   ORDER BY CASE WHEN title ILIKE '{SEARCH}%' THEN 0 ELSE 1 END, votes DESC NULLS LAST, id LIMIT 20),
 people AS (
-  SELECT nconst AS id, primary_name AS name, birth_year, death_year, 'person' AS result_type
+  SELECT nconst AS id, primary_name AS name, birth_year, death_year, 'person' AS result_type,
+    row_number() OVER (ORDER BY CASE WHEN primary_name ILIKE '{PEOPLE_SEARCH}%' THEN 0 ELSE 1 END, primary_name, nconst) AS place
   FROM person WHERE primary_name ILIKE '%{PEOPLE_SEARCH}%'
   ORDER BY CASE WHEN primary_name ILIKE '{PEOPLE_SEARCH}%' THEN 0 ELSE 1 END, primary_name, nconst LIMIT 20)
 SELECT * FROM titles UNION ALL BY NAME SELECT * FROM people""",
@@ -517,6 +530,14 @@ ORDER BY votes DESC, id LIMIT 20""",
         f"""
 SELECT {HOME} FROM card WHERE type IN ('tvSeries', 'tvMiniSeries') AND NOT is_adult AND votes >= 50
 ORDER BY rating DESC, id LIMIT 20 OFFSET 40""",
+    ),
+    "discover_after": sql(
+        "card",
+        f"""
+SELECT {CARD} FROM card
+WHERE type IN ('movie', 'tvMovie') AND NOT is_adult AND votes >= 50
+  AND (votes < {AFTER[0]} OR votes = {AFTER[0]} AND id > '{AFTER[1]}')
+ORDER BY votes DESC, id LIMIT 20""",
     ),
     "page_info": sql(
         "card",
@@ -725,18 +746,31 @@ FROM entry WHERE n <= 10""",
     ),
     "payload_documents": sql(
         "title genres named streaming_link",
-        """
-, people AS (
-  SELECT tconst, count(*) FILTER (category IN ('actor', 'actress')) AS actors,
-    count(*) FILTER (category = 'director') AS directors, count(*) FILTER (category = 'writer') AS writers
+        f"""
+, actors AS (
+  SELECT tconst, string_agg({LOCAL_NAME} || ':' || name || ':' || {CHARACTER}, '|' ORDER BY ordering) AS cast_list
+  FROM (SELECT * FROM named WHERE category IN ('actor', 'actress')
+        QUALIFY row_number() OVER (PARTITION BY tconst ORDER BY ordering) <= 20) GROUP BY tconst),
+crew AS (
+  SELECT tconst,
+    string_agg({LOCAL_NAME} || ':' || name, '|' ORDER BY ordering) FILTER (category = 'director') AS directors,
+    string_agg({LOCAL_NAME} || ':' || name, '|' ORDER BY ordering) FILTER (category = 'writer') AS writers
   FROM named GROUP BY tconst),
-platforms AS (SELECT tconst, count(*) AS n FROM streaming_link GROUP BY tconst)
+platforms AS (
+  SELECT tconst, string_agg(platform || ':{IMAGE_BASE}/w92/l' || platform || '.png', '|' ORDER BY platform) AS providers
+  FROM streaming_link GROUP BY tconst),
+near AS (
+  SELECT tconst, string_agg((n - 1) || ':' || name || CASE WHEN title_type = 'tvSeries' THEN ' series' ELSE '' END,
+                            '|' ORDER BY n) AS similar_list
+  FROM (SELECT tconst, title_type, unnest(names) AS name, generate_subscripts(names, 1) AS n
+        FROM title JOIN genres USING (tconst)) WHERE n <= 10 GROUP BY tconst)
 SELECT t.tconst AS key, CAST(substr(t.tconst, 3) AS BIGINT) AS id, primary_title AS title,
   CASE WHEN title_type = 'tvSeries' THEN 'tv' ELSE 'movie' END AS media_type,
-  least(coalesce(actors, 0), 20) AS cast_size, coalesce(directors, 0) AS directors, coalesce(writers, 0) AS writers,
-  coalesce(n, 0) AS providers, least(coalesce(len(names), 0), 10) AS similar_size,
-  CASE WHEN n > 0 THEN 'https://gb.example' ELSE '' END AS watch_link, '' AS tagline, '' AS status
-FROM title t LEFT JOIN people USING (tconst) LEFT JOIN platforms USING (tconst) LEFT JOIN genres USING (tconst)""",
+  coalesce(cast_list, '') AS cast_list, coalesce(directors, '') AS directors, coalesce(writers, '') AS writers,
+  coalesce(providers, '') AS providers, coalesce(similar_list, '') AS similar_list,
+  CASE WHEN providers IS NOT NULL THEN 'https://gb.example' ELSE '' END AS watch_link, '' AS tagline, '' AS status
+FROM title t LEFT JOIN actors USING (tconst) LEFT JOIN crew USING (tconst) LEFT JOIN platforms USING (tconst)
+LEFT JOIN near USING (tconst)""",
     ),
     "payload_credits": sql(
         "title named",
@@ -744,9 +778,12 @@ FROM title t LEFT JOIN people USING (tconst) LEFT JOIN platforms USING (tconst)
 , actors AS (
   SELECT tconst, string_agg({LOCAL_NAME} || ':' || name || ':' || {CHARACTER}, '|' ORDER BY ordering) AS cast_list
   FROM named WHERE category IN ('actor', 'actress') GROUP BY tconst),
-first_seen AS (
-  SELECT tconst, {DEPARTMENT} AS department, min(ordering) AS first FROM named WHERE {JOB} IS NOT NULL GROUP BY 1, 2),
-departments AS (SELECT tconst, string_agg(department, '|' ORDER BY first) AS departments FROM first_seen GROUP BY tconst)
+members AS (
+  SELECT tconst, {DEPARTMENT} AS department, min(ordering) AS first,
+    string_agg({LOCAL_NAME} || ':' || name || ':' || {JOB}, '|' ORDER BY ordering) AS crew
+  FROM named WHERE {JOB} IS NOT NULL GROUP BY 1, 2),
+departments AS (
+  SELECT tconst, string_agg(department || '=' || crew, ';' ORDER BY first) AS departments FROM members GROUP BY tconst)
 SELECT t.tconst AS key, CAST(substr(t.tconst, 3) AS BIGINT) AS id, primary_title AS title,
   coalesce(cast_list, '') AS cast_list, coalesce(departments, '') AS departments
 FROM title t LEFT JOIN actors USING (tconst) LEFT JOIN departments USING (tconst)""",
@@ -778,6 +815,71 @@ SELECT nconst, 'person', {LOCAL_NAME}, NULL, primary_name,
   CASE WHEN death_year IS NULL THEN '{IMAGE_BASE}/w185/f' || nconst || '.jpg' END, NULL
 FROM person""",
     ),
+    "payload_results": sql(
+        "title person",
+        f"""
+{RESPONSE_ENTRIES}
+SELECT CAST(id // 20 AS VARCHAR) AS key, row_number() OVER (PARTITION BY id // 20 ORDER BY id DESC, kind) - 1 AS place,
+  id, kind AS media_type, title, name, profile
+FROM entry WHERE kind <> 'game'""",
+    ),
+    "payload_pages": sql(
+        "title person",
+        f"""
+{RESPONSE_ENTRIES}
+SELECT CAST(id // 20 AS VARCHAR) AS key, id // 20 AS page, least(id // 20 * 10, 500) AS total_pages,
+  CASE WHEN id // 20 % 2 = 0 THEN count(*) ELSE 0 END AS total_results
+FROM entry GROUP BY id // 20""",
+    ),
+    "payload_listing": sql(
+        "title person",
+        f"""
+{RESPONSE_ENTRIES}
+, placed AS (SELECT *, row_number() OVER (PARTITION BY id // 20 ORDER BY id DESC, kind) - 1 AS place FROM entry)
+SELECT CAST(id // 20 AS VARCHAR) AS key, place, id, 'tv' AS media_type,
+  coalesce(CASE WHEN kind = 'tv' THEN title END, name, '') AS title
+FROM placed WHERE place < 5""",
+    ),
+    "payload_rejects": sql("title", f"SELECT tconst AS key FROM title WHERE {LOCAL_TITLE} % 11 = 0"),
+    "poster_lookup": sql(
+        "title",
+        f"""
+, found AS (
+  SELECT *, {LOCAL_TITLE} AS n FROM title)
+SELECT tconst, coalesce(poster_url, CASE
+  WHEN n % 11 = 0 THEN 'none'
+  WHEN title_type = 'movie' AND n % 2 = 0 THEN '{IMAGE_BASE}/w500/m' || n
+  WHEN n % 5 = 0 THEN '{IMAGE_BASE}/w500/s' || n
+  WHEN n % 7 <> 0 THEN '{IMAGE_BASE}/w500/e' || n
+  ELSE 'none' END) AS poster_url
+FROM found""",
+    ),
+    "series_documents": sql(
+        "episode title rating",
+        """
+, parts AS (
+  SELECT parent_tconst, season_number, string_agg(
+      episode_number || ':' || e.tconst || ':' || primary_title || ':' || coalesce(CAST(start_year AS VARCHAR), '')
+      || ':' || coalesce(CAST(runtime_minutes AS VARCHAR), '') || ':' || coalesce(CAST(average_rating AS VARCHAR), '')
+      || ':' || coalesce(CAST(num_votes AS VARCHAR), ''), '|' ORDER BY episode_number, e.tconst) AS episodes
+  FROM episode e JOIN title t USING (tconst) LEFT JOIN rating r USING (tconst) GROUP BY ALL),
+lists AS (
+  SELECT parent_tconst, string_agg(season_number, '|' ORDER BY season_number) AS seasons
+  FROM (SELECT DISTINCT parent_tconst, season_number FROM episode) GROUP BY parent_tconst)
+SELECT t.tconst AS id, primary_title AS title, coalesce(seasons, '') AS seasons, season_number AS season,
+  coalesce(episodes, '') AS episodes
+FROM title t LEFT JOIN lists l ON l.parent_tconst = t.tconst LEFT JOIN parts p ON p.parent_tconst = t.tconst""",
+    ),
+    "cascade_genres": sql(
+        "genre title_genre",
+        f"""
+SELECT tconst, genre_id FROM title_genre
+WHERE genre_id NOT IN (SELECT genre_id FROM genre WHERE name LIKE '{GENRES_GONE}%')""",
+    ),
+    "trending_window": f"""
+SELECT {ident('tt', 'user_id')} AS tconst, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, count(*) AS views
+FROM events GROUP BY ALL""".strip(),
+    "debtor_filmography": sql("film solvent", "SELECT film.* FROM film ANTI JOIN solvent USING (nconst)"),
 }
 # The stream and the batch merge end in the same table.
 ORACLE["stream_upsert_links"] = ORACLE["upsert_links"]

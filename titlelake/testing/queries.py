@@ -14,13 +14,14 @@ from pyspark.sql.types import DecimalType, IntegerType, ShortType
 
 from titlelake.catalog import Catalog
 from titlelake.functions import media, numbers, text
+from titlelake.functions.roles import CREDIT_ROLES, FILMOGRAPHY_ROLES, role_rank
 from titlelake.operators import checks, load, merge, ranking
 from titlelake.plans import analysis, browse, documents, payloads
 from titlelake.schemas import REQUIRED, TABLES
 from titlelake.sources import dumps, testbed
 from titlelake.sources.shared import shared_folder
 from titlelake.sources.tables import load_catalog, save_catalog
-from titlelake.streaming import links
+from titlelake.streaming import links, trending
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,8 @@ GENRE_MIN_LINKS = 2200
 ACTOR_MIN_TITLES = 20
 SEARCH = "ring"
 PEOPLE_SEARCH = "000000"
+AFTER = [200000, "tt0000500"]
+GENRES_GONE = "Brand#1"
 DISCOVER = {"kind": "movie", "genre": "Brand#2", "year": 1990, "min_rating": 5}
 
 # Provider names of the link query: exact, longer, shorter, empty and unknown names.
@@ -172,6 +175,17 @@ def stream_fold_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.current_links(spark, folded)
 
 
+def trending_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per title and week, counted as a stream."""
+    store = shared_folder(spark, "trending")
+    schema = testbed.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    seen = events.select(testbed.ident("tt", F.col("user_id")).alias("tconst"), F.col("ts").cast("timestamp").alias("ts"))
+    trending.stream_counts(seen, store, f"{store}/checkpoint").awaitTermination()
+    week = F.floor(F.unix_seconds("start") / (7 * 86400))
+    return trending.current_counts(spark, store).select("tconst", week.alias("week"), "views")
+
+
 def link_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejected = merge.split_valid(testbed.link_changes(testbed.table(spark, sf_dir, "events")))
     return rejected.select("event_id", "tconst", "platform", "url")
@@ -239,6 +253,11 @@ def cascade_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.table_counts(_deleted(spark, sf_dir), list(TABLES))
 
 
+def cascade_genres(cat: Catalog) -> DataFrame:
+    gone = cat.genre.filter(F.col("name").startswith(GENRES_GONE)).select("genre_id")
+    return merge.cascade_delete(cat, genres=gone).title_genre
+
+
 def reload_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save, delete with all that refers to it, save to the same store, load again."""
     store = shared_folder(spark, "catalogue")
@@ -376,18 +395,22 @@ def payload_similar(cat: Catalog) -> DataFrame:
 def payload_documents(cat: Catalog) -> DataFrame:
     return payloads.payload_documents(testbed.title_payloads(cat)).select(
         "key", "id", "title", "media_type",
-        F.size("cast").alias("cast_size"), F.size("directors").alias("directors"),
-        F.size("writers").alias("writers"), F.size("providers").alias("providers"),
-        F.size("similar").alias("similar_size"), "watch_link", "tagline", "status",
+        listed(F.col("cast"), "id", "name", "character").alias("cast_list"),
+        listed(F.col("directors"), "id", "name").alias("directors"),
+        listed(F.col("writers"), "id", "name").alias("writers"),
+        listed(F.col("providers"), "name", "logo").alias("providers"),
+        listed(F.col("similar"), "id", "title").alias("similar_list"),
+        "watch_link", "tagline", "status",
     )
 
 
 def payload_credits(cat: Catalog) -> DataFrame:
     found = payloads.payload_credits(testbed.title_payloads(cat))
+    groups = F.transform("crew", lambda g: F.concat(g["department"], F.lit("="), listed(g["crew"], "id", "name", "job")))
     return found.select(
         "key", "id", "title",
         listed(F.col("cast"), "id", "name", "character").alias("cast_list"),
-        F.array_join(F.transform("crew", lambda g: g["department"]), "|").alias("departments"),
+        F.array_join(groups, ";").alias("departments"),
     )
 
 
@@ -411,6 +434,40 @@ def search_payloads(cat: Catalog) -> DataFrame:
     return payloads.multi_results(mixed).select("key", "media_type", "id", "title", "name", "profile", "year")
 
 
+def payload_results(cat: Catalog) -> DataFrame:
+    found = payloads.payload_results(testbed.response_payloads(cat))
+    return found.select("key", "place", "id", "media_type", "title", "name", "profile")
+
+
+def payload_listing(cat: Catalog) -> DataFrame:
+    """The first entries of each list, all taken as series."""
+    found = payloads.payload_results(testbed.response_payloads(cat), "tv", 5)
+    return found.select("key", "place", "id", "media_type", "title")
+
+
+def payload_rejects(cat: Catalog) -> DataFrame:
+    return payloads.rejects(testbed.lookup_payloads(cat)).select("key")
+
+
+def poster_lookup(cat: Catalog) -> DataFrame:
+    """Stored poster, else the one of the lookup response."""
+    return browse.title_poster(cat, payloads.found_posters(testbed.lookup_payloads(cat)), placeholder="none")
+
+
+def debtor_filmography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The credits of a table of people."""
+    cat = _cat(spark, sf_dir)
+    debtors = cat.person.join(testbed.solvent_people(spark, sf_dir), "nconst", "left_anti").select("nconst")
+    return comparable(browse.filmography(cat, debtors))
+
+
+def series_documents(cat: Catalog) -> DataFrame:
+    return documents.series_documents(cat).select(
+        "id", "title", F.array_join(F.col("seasons").cast("array<string>"), "|").alias("seasons"), "season",
+        listed(F.col("episodes"), "episode_number", "id", "title", "year", "runtime", "rating", "votes").alias("episodes"),
+    )
+
+
 def search_multi(cat: Catalog) -> DataFrame:
     return browse.search_all(
         browse.search_titles(cat, SEARCH).drop("has_more", "total_pages"),
@@ -434,12 +491,12 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "title_summary": browse.title_summary,
     "title_crew": browse.title_crew,
     "top_cast": browse.top_cast,
-    "full_credits": browse.full_credits,
+    "full_credits": lambda cat: browse.full_credits(cat).withColumn("rank", role_rank(F.col("category"), CREDIT_ROLES)),
     "series_seasons": browse.series_seasons,
     "series_episodes": lambda cat: browse.series_episodes(cat, season=3),
     "episodes_all_seasons": browse.series_episodes,
     "person_info": browse.person_info,
-    "filmography": browse.filmography,
+    "filmography": lambda cat: browse.filmography(cat).withColumn("rank", role_rank(F.col("category"), FILMOGRAPHY_ROLES)),
     "filmography_top50": browse.filmography_top,
     "filmography_top20": lambda cat: browse.filmography_top(cat, n=20),
     "search_titles": lambda cat: browse.search_titles(cat, SEARCH),
@@ -453,6 +510,7 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "search_multi": search_multi,
     "discover": lambda cat: browse.discover(cat, **DISCOVER),
     "discover_by_rating": lambda cat: browse.discover(cat, sort="rating", number=3, kind="tv"),
+    "discover_after": lambda cat: browse.discover_after(cat, AFTER),
     "page_info": lambda cat: ranking.page_info(browse.discover_rows(cat), browse.PAGE_SIZE),
     "genre_list": browse.genre_list,
     "link_display": browse.link_display,
@@ -479,6 +537,13 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "payload_credits": payload_credits,
     "payload_person_documents": payload_person_documents,
     "search_payloads": search_payloads,
+    "payload_results": payload_results,
+    "payload_pages": lambda cat: payloads.response_pages(testbed.response_payloads(cat)),
+    "payload_listing": payload_listing,
+    "payload_rejects": payload_rejects,
+    "poster_lookup": poster_lookup,
+    "series_documents": series_documents,
+    "cascade_genres": cascade_genres,
 }
 
 QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALOGUE_QUERIES.items()} | {
@@ -499,6 +564,8 @@ QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALO
     "stream_fold_links": stream_fold_links,
     "insert_missing_principals": insert_missing_principals,
     "link_rejects": link_rejects,
+    "trending_window": trending_window,
+    "debtor_filmography": debtor_filmography,
     "resolve_poster": resolve_poster,
     "check_pk": check_pk,
     "check_fk": check_fk,
