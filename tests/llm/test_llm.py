@@ -332,6 +332,16 @@ def test_packing_keeps_all_limits(spark):
     assert total == packed.dropDuplicates(["doc_id"]).agg(F.sum("doc_tokens")).collect()[0][0]
 
 
+def test_copies_do_not_fill_the_pii_sample(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(pii, "FIT_ON", 40)
+    monkeypatch.setattr(pii, "logistic", lambda x, y: fitted.append(x) or np.zeros(x.shape[1]))
+    copies = [doc(i, "call Anna Smith on 555-123-4567 now") for i in range(300)]
+    others = [doc(1000 + i, f"word{i} item{i * 7} order {i}00 400 {i} {i}55 then{i}") for i in range(120)]
+    pii.fit(spark.createDataFrame(copies + others, SCHEMA))
+    assert len(fitted[0]) == 40 == len(np.unique(fitted[0], axis=0))
+
+
 # Sharding ----------------------------------------------------------------------------
 
 

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlelake.llm.common import each, written
+from titlelake.llm.common import each, hash_share, written
 from titlelake.llm.learn import logistic
 from titlelake.llm.spans import Span, masked, overlaps, sha256, spelled
 
-#: Candidates, taken by hash, that the classifier is fitted on.
+#: Distinct candidates, taken by hash, that the classifier is fitted on.
 FIT_ON = 20_000
 KINDS = ("email", "ip", "card", "phone", "weak")
 WEAK = 4
@@ -212,7 +212,8 @@ class SpanModel:
 def fit(docs: DataFrame, text: str = "text") -> SpanModel:
     """Reliabilities from all candidates of the corpus, a classifier from ``FIT_ON`` of them.
 
-    To the driver come at most 3 ** ``LABELERS`` pattern counts and the sample.
+    The sample is of distinct candidates, so that one repeated in many copies can't fill
+    it. To the driver come at most 3 ** ``LABELERS`` pattern counts and the sample.
     """
     schema = pa.schema([("votes", pa.string()), ("features", pa.list_(pa.float32()))])
 
@@ -227,7 +228,11 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
     if not counts:
         return SpanModel(None, None)
     model = reliabilities(counts)
-    sample = voted.orderBy(F.xxhash64("features", "votes"), "votes").limit(FIT_ON).collect()
+    key = F.xxhash64("features", "votes")
+    different = voted.agg(F.approx_count_distinct(key)).first()[0]
+    # Somewhat more than are taken, as the count is an estimate.
+    near = voted.withColumn("key", key).filter(hash_share(F.col("key"), F.lit(1.5 * FIT_ON / different))).distinct()
+    sample = near.orderBy("key", "votes").limit(FIT_ON).collect()
     x = np.array([r["features"] for r in sample], dtype=float)
     y = np.array([model.probability(r["votes"]) for r in sample])
     return SpanModel(model, logistic(x, y))
