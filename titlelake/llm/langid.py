@@ -108,7 +108,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str = "
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(by).alias("by")
     ).filter("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    sample = rows.join(sizes, "lang").filter(hash_share(F.col("by"), DOCS_PER_LANG / F.col("docs")))
+    # One row a language, as many as the model itself has: the texts stay where they are.
+    sample = rows.join(F.broadcast(sizes), "lang").filter(hash_share(F.col("by"), DOCS_PER_LANG / F.col("docs")))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("entry"))
     counted = written(
         words.filter("entry <> ''").groupBy("lang", "entry").agg(F.count(F.lit(1)).alias("n")), "lang-words"
@@ -131,7 +132,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", by: str = "
     )
     entries = written(entries, "lang-entries")
     totals = entries.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    frequent = entries.join(totals, ["lang", "size"]).filter(F.col("n") * MAX_ENTRIES >= F.col("total"))
+    frequent = entries.join(F.broadcast(totals), ["lang", "size"]).filter(F.col("n") * MAX_ENTRIES >= F.col("total"))
     found = frequent.select("lang", "size", "entry", (F.col("n") / F.col("total")).alias("share")).collect()
     docs = {r["lang"]: r["docs"] for r in sizes.collect()}
     langs = sorted({r["lang"] for r in found})
