@@ -195,13 +195,25 @@ def test_poster_of_the_first_list_that_has_one(table):
     assert [r["found_url"] for r in found] == [f"{IMG}/w500/m", f"{IMG}/w500/e", None]
 
 
-def test_no_role_of_a_person_is_lost(spark):
+def test_no_role_of_a_person_is_lost(spark, monkeypatch):
     from fixtures import frames
 
     from titlelake.sources import testbed
 
+    monkeypatch.setattr(testbed, "TITLES_PER_PART", 40)
     titles = [(f"tt{i:07d}", "movie", f"T{i}", f"T{i}", False, 1900 + i % 90, None, None, None) for i in range(150)]
     roles = [(key, 1, "nm0000001", "actor", None, None) for key, *_ in titles]
-    cat = frames(spark, title=titles, person=[("nm0000001", "Ada", None, None)], principal=roles)
-    row = testbed.person_payloads(cat).select(F.expr("json_array_length(get_json_object(payload, '$.combined_credits.cast'))")).collect()
-    assert row[0][0] == 150
+    people = [("nm0000001", "Ada", None, None), ("nm0000002", "Bea", None, None)]
+    cat = frames(spark, title=titles, person=people, principal=roles)
+    made = testbed.person_payloads(cat).persist()
+    size = F.expr("json_array_length(get_json_object(payload, '$.combined_credits.cast'))").alias("n")
+    sizes = {(r["key"], r["part"]): r["n"] for r in made.select("key", "part", size).collect()}
+    assert sizes == {(p[0], 0): None for p in people} | {("nm0000001", k): n for k, n in ((1, 40), (2, 40), (3, 40), (4, 30))}
+    # Latest first; of one year, in the order of the parts.
+    wanted = sorted(range(150), key=lambda i: (-(i % 90), i))[:60]
+    films = payloads.payload_filmography(made).orderBy("place").collect()
+    assert [(r["place"], r["id"]) for r in films] == list(enumerate(wanted))
+    pages = {r["key"]: [f["id"] for f in r["filmography"]] for r in payloads.payload_person_documents(made).collect()}
+    assert pages == {"nm0000001": wanted, "nm0000002": []}
+    known = {r["key"]: [k["id"] for k in r["known_for"]] for r in payloads.payload_people(made).collect()}
+    assert known == {"nm0000001": [0, 1, 2], "nm0000002": []}

@@ -3,17 +3,23 @@
 A payload table has the columns ``key, media_type, payload``: ``media_type`` (may be
 null) overrides the kind named in the payload, ``payload`` is JSON text. A field missing
 from the JSON and a field set to null are treated alike. Rows whose payload is no JSON
-object are left out; :func:`rejects` lists them. Every operator works within the row, so
-none of them shuffles, and parses only the fields that it reads.
+object are left out; :func:`rejects` lists them. Operators work within the row, so they don't
+shuffle, and parse only the fields that they read.
+
+A person's credits have no bound, so a table of people may come in parts: with a column
+``part``, part 0 of a key holds the person's data and any part may hold credits, in the
+order of parts. A list over all parts keeps the first entries of each part before any
+row moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titlelake.functions.media import image_url
 from titlelake.functions.text import filled, year_of
+from titlelake.operators.ranking import cap_per_group
 
 # Fields read from a payload.
 ITEM = {
@@ -238,33 +244,37 @@ def watch_options(raw: Column) -> Column:
     return F.struct(first.alias("providers"), _text(chosen["link"]).alias("watch_link"))
 
 
-def filmography_list(raw: Column, size: int = FILMOGRAPHY_SIZE) -> Column:
-    """A person's roles by date, latest first and undated last, equal dates in payload order."""
+def dated_roles(raw: Column) -> Column:
+    """A person's roles with their date, latest first and undated last, equal dates in payload order."""
     dated = F.transform(
         _list(raw["combined_credits"]["cast"]),
         lambda c, i: F.struct(
             _text(F.coalesce(filled(c["release_date"]), c["first_air_date"])).alias("date"),
-            (-i).alias("place"),
+            (-i).alias("back"),
             c.alias("role"),
         ),
     )
+    return F.sort_array(dated, asc=False)
+
+
+def role_entry(role: Column) -> Column:
+    kind = F.coalesce(role["media_type"], F.lit("movie"))
+    is_tv = kind == "tv"
+    date = F.when(is_tv, role["first_air_date"]).otherwise(role["release_date"])
+    return F.struct(
+        role["id"].alias("id"),
+        kind.alias("media_type"),
+        _text(F.when(is_tv, role["name"]).otherwise(role["title"])).alias("title"),
+        filled(F.substring(date, 1, 4)).alias("year"),
+        _text(role["character"]).alias("character"),
+        image_url(role["poster_path"]).alias("poster"),
+        role["vote_average"].alias("rating"),
+    )
 
-    def entry(item: Column) -> Column:
-        role = item["role"]
-        kind = F.coalesce(role["media_type"], F.lit("movie"))
-        is_tv = kind == "tv"
-        date = F.when(is_tv, role["first_air_date"]).otherwise(role["release_date"])
-        return F.struct(
-            role["id"].alias("id"),
-            kind.alias("media_type"),
-            _text(F.when(is_tv, role["name"]).otherwise(role["title"])).alias("title"),
-            filled(F.substring(date, 1, 4)).alias("year"),
-            _text(role["character"]).alias("character"),
-            image_url(role["poster_path"]).alias("poster"),
-            role["vote_average"].alias("rating"),
-        )
 
-    return F.transform(F.slice(F.sort_array(dated, asc=False), 1, size), entry)
+def filmography_list(raw: Column, size: int = FILMOGRAPHY_SIZE) -> Column:
+    """A person's latest roles, of one payload."""
+    return F.transform(F.slice(dated_roles(raw), 1, size), lambda d: role_entry(d["role"]))
 
 
 def similar_list(raw: Column, kind: Column, size: int = SIMILAR_SIZE) -> Column:
@@ -284,8 +294,13 @@ def payload_titles(payloads: DataFrame) -> DataFrame:
     )
 
 
+def heads(payloads: DataFrame) -> DataFrame:
+    """The rows with the person's data: all, where people don't come in parts."""
+    return payloads.filter("part = 0") if "part" in payloads.columns else payloads
+
+
 def payload_people(payloads: DataFrame) -> DataFrame:
-    return parse(payloads, PERSON_ITEM).select("key", normal_person(F.col("raw")).alias("p")).select("key", "p.*")
+    return parse(heads(payloads), PERSON_ITEM).select("key", normal_person(F.col("raw")).alias("p")).select("key", "p.*")
 
 
 def payload_cast(payloads: DataFrame, size: int | None = CAST_SIZE) -> DataFrame:
@@ -319,12 +334,18 @@ def payload_providers(payloads: DataFrame) -> DataFrame:
     return found.select("key", watch_options(F.col("raw")).alias("w")).select("key", "w.*")
 
 
-def payload_filmography(payloads: DataFrame) -> DataFrame:
-    return (
-        parse(payloads, {"combined_credits": PERSON_FIELDS["combined_credits"]})
-        .select("key", F.posexplode(filmography_list(F.col("raw"))).alias("place", "f"))
-        .select("key", "place", "f.*")
+def payload_filmography(payloads: DataFrame, size: int = FILMOGRAPHY_SIZE) -> DataFrame:
+    parsed = parse(payloads, {"combined_credits": PERSON_FIELDS["combined_credits"]})
+    if "part" not in payloads.columns:
+        listed = parsed.select("key", F.posexplode(filmography_list(F.col("raw"), size)).alias("place", "f"))
+        return listed.select("key", "place", "f.*")
+    latest = parsed.select("key", "part", F.explode(F.slice(dated_roles(F.col("raw")), 1, size)).alias("d")).select(
+        "key", "part", "d.*"
     )
+    order = [F.desc("date"), F.col("part"), F.desc("back")]
+    few = cap_per_group(latest, ["key"], order, size)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1
+    return few.select("key", place.alias("place"), role_entry(F.col("role")).alias("f")).select("key", "place", "f.*")
 
 
 def payload_similar(payloads: DataFrame) -> DataFrame:
@@ -373,8 +394,18 @@ def payload_credits(payloads: DataFrame) -> DataFrame:
 
 def payload_person_documents(payloads: DataFrame) -> DataFrame:
     """The person page: life data and filmography."""
-    raw = F.col("raw")
-    return parse(payloads, PERSON_FIELDS).select(
+    raw, parts = F.col("raw"), "part" in payloads.columns
+    fields = {k: v for k, v in PERSON_FIELDS.items() if k != "combined_credits"} if parts else PERSON_FIELDS
+    people = parse(heads(payloads), fields)
+    if parts:
+        films = payload_filmography(payloads)
+        entry = F.struct(*[c for c in films.columns if c not in ("key", "place")])
+        lists = films.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("entry")))).alias("films"))
+        people = people.join(lists, "key", "left")
+        filmography = _list(F.transform("films", lambda f: f["entry"]))
+    else:
+        filmography = filmography_list(raw)
+    return people.select(
         "key",
         raw["id"].alias("id"),
         _text(raw["name"]).alias("name"),
@@ -384,7 +415,7 @@ def payload_person_documents(payloads: DataFrame) -> DataFrame:
         raw["deathday"].alias("deathday"),
         _text(raw["place_of_birth"]).alias("place_of_birth"),
         _text(raw["known_for_department"]).alias("known_for_department"),
-        filmography_list(raw).alias("filmography"),
+        filmography.alias("filmography"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from titlelake.catalog import Catalog
 from titlelake.operators.joins import attach
-from titlelake.operators.ranking import first_per_key, number_by
+from titlelake.operators.ranking import cap_per_group, first_per_key, number_by
 from titlelake.plans.browse import genre_lists, named_credits, person_credits, with_rating
 
 TYPES = ["movie", "tvSeries", "tvMovie", "tvEpisode", "videoGame"]
@@ -291,6 +291,10 @@ JOBS = {
 }
 
 
+#: Titles by number whose roles of one person make one payload.
+TITLES_PER_PART = 20_000
+
+
 def _local(value: Column) -> Column:
     """The number in an id."""
     return F.substring(value, 3, 20).cast("bigint")
@@ -382,7 +386,10 @@ def title_payloads(cat: Catalog) -> DataFrame:
 
 
 def person_payloads(cat: Catalog) -> DataFrame:
-    """One payload per person with all roles, ordered by title: as long as one person's credits."""
+    """Each person's data as part 0, and all roles as further parts, one for every ``TITLES_PER_PART`` titles.
+
+    A part is bounded by its titles, however many roles a person has.
+    """
     is_tv = F.col("title_type") == "tvSeries"
     role = F.struct(
         _local(F.col("tconst")).alias("id"),
@@ -394,23 +401,26 @@ def person_payloads(cat: Catalog) -> DataFrame:
         F.col("average_rating").cast("double").alias("vote_average"),
         F.get_json_object("characters", "$[0]").alias("character"),
     )
-    roles = (
-        person_credits(cat)
-        .groupBy("nconst")
-        .agg(F.array_sort(F.collect_list(F.struct("tconst", "ordering", role.alias("role")))).alias("rows"))
-        .select("nconst", F.transform("rows", lambda r: r["role"]).alias("roles"))
-    )
-    item = F.struct(
+    roles = person_credits(cat).select("nconst", "tconst", "ordering", role.alias("role"))
+    in_order = F.array_sort(F.collect_list(F.struct("tconst", "ordering", "role")))
+    listed = F.transform("rows", lambda r: r["role"])
+
+    known = cap_per_group(roles, ["nconst"], [F.col("tconst"), F.col("ordering")], 3)
+    known = known.groupBy("nconst").agg(in_order.alias("rows")).select("nconst", listed.alias("known_for"))
+    person = F.struct(
         _local(F.col("nconst")).alias("id"),
         F.lit("person").alias("media_type"),
         F.col("primary_name").alias("name"),
         F.when(F.col("death_year").isNull(), F.concat(F.lit("/f"), "nconst", F.lit(".jpg"))).alias("profile_path"),
-        F.slice("roles", 1, 3).alias("known_for"),
-        F.struct(F.col("roles").alias("cast")).alias("combined_credits"),
-    )
-    return cat.person.join(roles, "nconst", "left").select(
-        F.col("nconst").alias("key"), F.lit(None).cast("string").alias("media_type"), F.to_json(item).alias("payload")
+        "known_for",
     )
+    people = cat.person.join(known, "nconst", "left").select("nconst", F.lit(0).cast("long").alias("part"), F.to_json(person).alias("payload"))
+
+    part = (F.floor(_local(F.col("tconst")) / TITLES_PER_PART) + 1).alias("part")
+    credits = roles.groupBy("nconst", part).agg(in_order.alias("rows"))
+    body = F.struct(_local(F.col("nconst")).alias("id"), F.struct(listed.alias("cast")).alias("combined_credits"))
+    parts = people.unionByName(credits.select("nconst", "part", F.to_json(body).alias("payload")))
+    return parts.select(F.col("nconst").alias("key"), "part", F.lit(None).cast("string").alias("media_type"), "payload")
 
 
 def response_payloads(cat: Catalog) -> DataFrame:

@@ -430,7 +430,8 @@ def search_payloads(cat: Catalog) -> DataFrame:
     kinds = titles.join(episodes, "key").withColumn(
         "media_type", F.when(F.col("title_type") == "videoGame", "game").otherwise(F.col("media_type"))
     )
-    mixed = kinds.select("key", "media_type", named.alias("payload")).unionByName(testbed.person_payloads(cat))
+    people = payloads.heads(testbed.person_payloads(cat)).drop("part")
+    mixed = kinds.select("key", "media_type", named.alias("payload")).unionByName(people)
     return payloads.multi_results(mixed).select("key", "media_type", "id", "title", "name", "profile", "year")
 
 
