@@ -211,12 +211,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of which one document of each class stays, the one with the smallest id."""
-    stored = written(fingerprints(docs, text), "simhash-rows")
-    rows = stored.select(F.col(f"row.{doc_id}").alias("doc_id"), "fp")
+    """The rows of which one document of each class stays, the one with the smallest id.
+
+    Rows are numbered when they are stored. Which numbers stay is found on narrow rows;
+    whole rows move once, in the join with these numbers.
+    """
+    numbered = fingerprints(docs, text).withColumn("number", F.monotonically_increasing_id())
+    stored = written(numbered, "simhash-rows")
+    rows = stored.select(F.col(f"row.{doc_id}").alias("doc_id"), "fp", "number")
     lead = classes(rows).select("lead.doc_id", F.col("lead.fp").alias("fp")).distinct()
-    once = stored.select("row", F.col(f"row.{doc_id}").alias("doc_id"), "fp").dropDuplicates(["doc_id", "fp"])
+    once = rows.groupBy("doc_id", "fp").agg(F.min("number").alias("number"))
     kept = once.alias("o").join(
         lead.alias("l"), F.col("o.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("o.fp") == F.col("l.fp")), "left_semi"
     )
-    return kept.select("row.*")
+    return stored.join(kept.select("number"), "number", "left_semi").select("row.*")
