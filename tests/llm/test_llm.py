@@ -121,6 +121,15 @@ def test_near_duplicates(odd, empty):
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(classes.values()))
 
 
+def test_keep_first_of_repeated_rows(spark):
+    """Of rows that repeat an id and a text one stays, ids null or not; clashing names are left alone."""
+    rows = [(None, EN, 1), (None, EN, 2), (3, DE, 3), (3, DE, 4), (5, DE, 5), (None, None, 6), (7, "", 7)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, number int"))
+    assert kept.columns == ["doc_id", "text", "number"]
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert found == [(0, EN), (3, DE), (7, "")]
+
+
 def test_links_at_every_distance(spark):
     rng = np.random.default_rng(3)
     fps = {}
