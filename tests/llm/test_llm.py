@@ -235,6 +235,26 @@ def test_pii(spark, odd, empty):
     assert pii.find(empty, pii.fit(empty)).count() == 0
 
 
+def plain_names(text):
+    words = [(m.start(), m.end()) for m in re.finditer("[A-Za-z]+", text)]
+    return [
+        (a, d) for (a, b), (c, d) in zip(words, words[1:])
+        if text[a:b] in pii.FIRST_NAMES and text[b:c] == " " and re.fullmatch("[A-Z][a-z]{2,20}", text[c:d])
+    ]
+
+
+def test_names_after_capitalised_words():
+    texts = ["Contact Mary Johnson", "Dear John Smith, hello", "Mrs Mary Johnson", "When John Smith called", "Mary John Smith", "The Old Anna Maria Peter Ann"]
+    rng = np.random.default_rng(13)
+    parts = ["Dear", "Mary", "John", "Smith", "Johnson", "called", "A", "Mr", "Maryland"]
+    texts += [" ".join(rng.choice(parts, 7)) for _ in range(200)]
+    for text in texts:
+        assert [s[:2] for s, _ in pii.candidates(text)] == plain_names(text), text
+    every = np.eye(16 + pii.HASHED)[0]  # a classifier that takes all candidates
+    base, more = pii.SpanModel(None, every).spans("Contact Mary John Smith now")
+    assert pii.masked("Contact Mary John Smith now", base + more, pii.KINDS) == "Contact [WEAK] now"
+
+
 def test_reliabilities_of_planted_labelers():
     rng = np.random.default_rng(4)
     counts = Counter()

@@ -44,7 +44,6 @@ DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBERS = re.compile(r"\(?[0-9][0-9(). /-]{5,24}[0-9]")
 SPELLED_AT = re.compile(r"[A-Za-z0-9._-]{1,40} ?[(\[]at[)\]] ?[A-Za-z0-9.-]{1,60}(?: ?[(\[]dot[)\]] ?[A-Za-z]{2,10})?", re.I)
-FULL_NAME = re.compile(r"\b([A-Z][a-z]{2,12}) [A-Z][a-z]{2,20}\b")
 
 # Common first names, and words that speak for or against personal data.
 FIRST_NAMES = frozenset(
@@ -52,6 +51,8 @@ FIRST_NAMES = frozenset(
     "Thomas Christopher Daniel Matthew Anthony Sarah Karen Nancy Peter Hans Anna Maria Jose Juan Carlos Pierre "
     "Jean Marie Sophie Claire Klaus Wolfgang Ursula Carmen Lucia Javier Ana Laura Paul Julia Emma Louis".split()
 )
+# Only the first name is consumed, so that each one followed by a capitalised word is tried.
+FULL_NAME = re.compile(rf"\b(?:{'|'.join(sorted(FIRST_NAMES))})(?=( [A-Z][a-z]{{2,20}})\b)")
 FOR = re.compile(r"\b(?:tel|phone|call|mobile|cell|fax|ssn|social|contact|e-?mail|iban|account|name|mr|mrs|ms|dr|passport)\b", re.I)
 AGAINST = re.compile(r"\b(?:version|page|isbn|issn|order|price|total|figure|table|section|chapter|doi|rfc)\b|[$€£#]\s*$", re.I)
 
@@ -116,7 +117,7 @@ def candidates(text: str | None) -> Iterator[tuple[Span, bool]]:
     loose = [(*m.span(), WEAK) for m in NUMBERS.finditer(text)]
     if "at)" in (low := text.lower()) or "at]" in low:
         loose += [(*m.span(), WEAK) for m in SPELLED_AT.finditer(text)]
-    loose += [(*m.span(), WEAK) for m in FULL_NAME.finditer(text) if m.group(1) in FIRST_NAMES]
+    loose += [(m.start(), m.end(1), WEAK) for m in FULL_NAME.finditer(text)]
     taken = sorted(base)
     at = 0
     for span in sorted(loose):
