@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -194,6 +195,26 @@ def test_overlaps(spark, odd, empty):
     assert decontaminate.decontaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_short_items(spark):
+    """Items of 1 to 13 tokens with every number of substitutions, also cut off by the document's ends."""
+    rng = np.random.default_rng(14)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 14)}
+    rows = [(0, "日本語のテキスト"), (1, "一 二"), (2, "z " * 30)]
+    for n, item in items.items():
+        for subs in range(4):
+            for places in list(combinations(range(n), subs))[:70]:
+                words = [f"other{k}" if k in places else w for k, w in enumerate(item)]
+                rows.append((len(rows), " ".join(["y"] * int(rng.integers(3)) + words + ["z"] * int(rng.integers(3)))))
+        rows += [(len(rows) + k, " ".join(item[k:] + ["z"])) for k in range(n)] + [(len(rows) + n, "w " + " ".join(item[:-1]))]
+        rows.append((len(rows), " ".join((item + ["and"]) * 5)))
+    benchmark = [(n, " ".join(item)) for n, item in items.items()] + [(100, "日本語のテキスト"), (101, ""), (102, None)]
+    found = decontaminate.overlaps(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")
+    ).collect()
+    want = {(i, n) for i, text in rows for n, item in items.items() if leaked(text.split(), item)} | {(0, 100)}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
+
+
 # Personal data -----------------------------------------------------------------------
 
 

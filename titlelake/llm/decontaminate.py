@@ -7,13 +7,21 @@ hashed in documents and benchmark items, equal hashes give an alignment, and eac
 alignment is verified token by token: a document overlaps an item if, in some window of 13
 aligned tokens (the whole item, if it is shorter), at least 80 % are equal.
 
-Defined cases: a null or empty text, and an item of fewer tokens than a mask spans, overlap
-nothing; rows that repeat an id and a text are reported once; null ids are kept as null; an
+Items of under 13 tokens have masks of their own length: the item is cut into blocks, and
+each mask leaves out as many blocks as tokens may differ, so that one mask avoids any
+allowed substitutions. Of items of up to 4 tokens none may differ, and the mask is the whole
+item. Documents are hashed under those masks only if the benchmark has such items.
+
+Defined cases: a null or empty text, and an item without tokens, overlap nothing; rows that repeat an id and a text are reported once; null ids are kept as null; an
 empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +31,8 @@ from titlelake.llm.common import row_key, written
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
 SHARE = 0.8
+#: Blocks that an item is cut into, by how many of its tokens may differ.
+BLOCKS = {0: 1, 1: 3, 2: 4}
 #: Seeds of the benchmark, counted first, up to which they are sent to every executor.
 SEEDS_SENT = 1_000_000
 
@@ -33,20 +43,51 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, *keep: str) -> DataFrame:
+def short_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks of a whole item of under ``WINDOW`` tokens: one avoids any allowed substitutions."""
+    differ = length - math.ceil(round(length * SHARE, 6))
+    blocks = BLOCKS[differ]
+    cuts = [length * k // blocks for k in range(blocks + 1)]
+    return [
+        tuple(i for k in kept for i in range(cuts[k], cuts[k + 1]))
+        for kept in combinations(range(blocks), blocks - differ)
+    ]
+
+
+#: The masks of each short length, and all masks by number, moved to begin at 0.
+SHORT = {n: short_masks(n) for n in range(1, WINDOW)}
+SHAPES = [*MASKS, *sorted({tuple(i - m[0] for i in m) for masks in SHORT.values() for m in masks} - set(MASKS))]
+
+
+def seed(number: int, near: Callable[[int], Column]) -> Column:
+    """The hash under a mask; null where its last token lies beyond the end."""
+    shape = SHAPES[number]
+    return F.when(near(shape[-1]).isNotNull(), F.xxhash64(F.lit(number), *[near(o) for o in shape]))
+
+
+def seeds(rows: DataFrame, *keep: str, numbers: Sequence[int] = range(len(MASKS))) -> DataFrame:
     """The masked hashes of ``tokens``: kept columns, ``at`` (from 0), ``seed``."""
-    offsets = sorted({o for mask in MASKS for o in mask})
-    t, least = F.col("tokens"), min(mask[-1] for mask in MASKS)
+    offsets = sorted({o for k in numbers for o in SHAPES[k]})
+    t, least = F.col("tokens"), min(SHAPES[k][-1] for k in numbers)
     shifted = [F.slice(t, o + 1, F.greatest(F.size(t) - least, F.lit(0))).alias(f"t{o}") for o in offsets]
     places = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "near"))
+    each = F.explode(F.array(*[seed(k, lambda o: F.col(f"near.t{o}")) for k in numbers])).alias("seed")
+    return places.select(*keep, "at", each).filter("seed is not null")
 
-    def seed(number: int, mask: tuple[int, ...]) -> Column:
-        # The last position of the longer mask may lie beyond the end.
-        inside = F.col(f"near.t{mask[-1]}").isNotNull()
-        return F.when(inside, F.xxhash64(F.lit(number), *[F.col(f"near.t{o}") for o in mask]))
 
-    each = F.explode(F.array(*[seed(k, mask) for k, mask in enumerate(MASKS)])).alias("seed")
-    return places.select(*keep, "at", each).filter("seed is not null")
+def short_numbers(length: int) -> list[tuple[int, int]]:
+    """Where each mask of a short item begins, and its number."""
+    return [(m[0], SHAPES.index(tuple(i - m[0] for i in m))) for m in SHORT[length]]
+
+
+def short_seeds(items: DataFrame, lengths: Sequence[int], *keep: str) -> DataFrame:
+    """The masked hashes of items of the given lengths, each under its length's masks."""
+    own = [
+        F.when(F.size("tokens") == n, F.struct(F.lit(at).alias("at"), seed(k, lambda o, at=at: F.get("tokens", F.lit(at + o))).alias("seed")))
+        for n in lengths
+        for at, k in short_numbers(n)
+    ]
+    return items.select(*keep, F.explode(F.array(*own)).alias("own")).filter("own is not null").select(*keep, "own.at", "own.seed")
 
 
 def aligned(first: Column, document: Column, item: Column) -> Column:
@@ -84,14 +125,24 @@ def overlaps(
         F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("tokens")
     ).withColumn("item", F.xxhash64(F.col("item_id"), F.lit("|"), F.col("tokens"))).dropDuplicates(["item"])
     items = written(items, "items")
-    wanted = written(seeds(items, "item").withColumnRenamed("at", "item_at").distinct(), "seeds")
+    # At most WINDOW - 1 lengths; documents are hashed under the masks that some item has.
+    lengths = sorted(r["n"] for r in items.select(F.size("tokens").alias("n")).filter(F.col("n").between(1, WINDOW - 1)).distinct().collect())
+    marked = items.withColumn("exact", F.size("tokens").isin([n for n in SHORT if len(SHORT[n]) == 1]))
+    wanted = seeds(marked.filter(F.size("tokens") >= WINDOW), "item", "exact")
+    if lengths:
+        wanted = wanted.unionAll(short_seeds(marked, lengths, "item", "exact"))
+    numbers = sorted({*range(len(MASKS)), *[k for n in lengths for _, k in short_numbers(n)]})
+    wanted = written(wanted.withColumnRenamed("at", "item_at").distinct(), "seeds")
     if wanted.count() <= SEEDS_SENT:
         wanted = F.broadcast(wanted)
+    first = F.col("at") - F.col("item_at")
+    # All places of an exact copy are alike, so one of them is verified.
     hits = (
-        seeds(rows.select("row", tokens(F.col("text")).alias("tokens")), "row")
+        seeds(rows.select("row", tokens(F.col("text")).alias("tokens")), "row", numbers=numbers)
         .join(wanted, "seed")
-        .select("row", "item", (F.col("at") - F.col("item_at")).alias("first"))
-        .distinct()
+        .groupBy("row", "item", F.when(F.col("exact"), 0).otherwise(first).alias("place"))
+        .agg(F.min(first).alias("first"))
+        .drop("place")
     )
     hits = written(hits, "hits")
     width = F.least(F.lit(WINDOW), F.size("theirs"))
