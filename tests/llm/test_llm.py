@@ -321,6 +321,30 @@ def test_secret_network(spark, odd, empty):
     assert secrets.find(empty, secrets.fit(empty)).count() == 0
 
 
+def test_whole_candidates_are_scored(spark):
+    rng = np.random.default_rng(15)
+    value = lambda n: "".join(rng.choice(list("abcdefABCDEF0123456789ghXYZ"), n))
+    for n in (16, 40, 41, 60, 61, 99, 400):
+        text = f"go {value(n)} end"
+        seen = [w[0] for w in secrets.windows(text, 3, 3 + n)]
+        assert len(seen) <= n / secrets.STEP + 1
+        whole = secrets.codes(text[3 : 3 + n])
+        assert all(any(str(whole[k : k + 20])[1:-1] in str(w) for w in seen) for k in range(max(1, n - 19)))
+    rows = [doc(100 + i, f"some text token = {value(30)} and ann{i}@mail.example.com said wonderful things") for i in range(80)]
+    net = secrets.fit(spark.createDataFrame(rows, SCHEMA))
+    long = "go //hooks.example.com/services/deploy/production/teams/"
+    p = [net.best(long + tail, [(3, len(long + tail))])[0] for tail in ("some/more/plain/words/and/names/then/end", value(40))]
+    assert p[1] > p[0]  # what stands beyond the first 40 characters counts
+
+
+def test_user_and_password_of_a_url_are_candidates():
+    found = lambda t: [t[a:b] for a, b in secrets.candidates(t, [])]
+    assert found("see postgres://admin:Zx81Kq0LmPw92RtYv4@db.example.com/x now") == ["Zx81Kq0LmPw92RtYv4"]
+    assert found("https://ghp0Zx81Kq0LmPw92RtYv4@git.example.com") == ["//ghp0Zx81Kq0LmPw92RtYv4"]
+    assert found("mail:ann.smith.1234567890@mail1.example.com.org") == []
+    assert found("http://a.example.com/?to=ann.smith.1234567890@mail1.example.com.org") == []
+
+
 def test_network_slopes_are_right():
     net = secrets.Network.new()
     rng = np.random.default_rng(8)
