@@ -337,6 +337,12 @@ def test_whole_candidates_are_scored(spark):
     assert p[1] > p[0]  # what stands beyond the first 40 characters counts
 
 
+def test_rare_secrets_of_a_large_table_are_learned(spark):
+    rare = F.when(F.col("id") % 25_000 == 0, F.concat(F.lit("token = Ab9x"), F.md5(F.col("id").cast("string")))).otherwise(F.lit("wonderful things"))
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("number"), "id", rare).alias("text"))
+    assert secrets.fit(docs) is not None
+
+
 def test_user_and_password_of_a_url_are_candidates():
     found = lambda t: [t[a:b] for a, b in secrets.candidates(t, [])]
     assert found("see postgres://admin:Zx81Kq0LmPw92RtYv4@db.example.com/x now") == ["Zx81Kq0LmPw92RtYv4"]
