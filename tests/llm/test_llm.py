@@ -565,6 +565,42 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def plain_dice(words, template):
+    """The best Dice of any window of the words."""
+    pairs, own = list(zip(words, words[1:])), Counter(zip(template, template[1:]))
+    top = 0.0
+    for i in range(len(pairs)):
+        seen, common = Counter(), 0
+        for j in range(i, min(len(pairs), i + 2 * len(template))):
+            seen[pairs[j]] += 1
+            common += seen[pairs[j]] <= own[pairs[j]]
+            top = max(top, 2.0 * common / (j - i + len(template)))
+    return top
+
+
+def test_licenses_with_changed_clauses(spark):
+    rng = np.random.default_rng(16)
+    plain = lambda t: re.findall("[a-z0-9]+", t.lower())
+    template = plain(licenses.TEMPLATES["Apache-2.0-header"])
+    at = len(template) // 2
+    rows = [(0, [*template[:at], *"this one clause was put in by a lawyer".split(), *template[at:]])]
+    rows += [(1, [w for part in " ".join(template).split("www apache org licenses license 2 0") for w in [*part.split(), *"our own site example net some long path".split()]])]
+    for i in range(2, 60):
+        words = list(template)
+        for _ in range(int(rng.integers(1, 5))):
+            k, n = int(rng.integers(len(words))), int(rng.integers(3, 25))
+            words[k : k + int(rng.integers(10))] = [f"new{x}" for x in range(n)]
+        rows.append((i, ["before"] * 3 + words + ["after"] * 3))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(99, " ".join(rows[0][1] + ["x"] * 30 + rows[0][1]))], "doc_id long, text string")
+    found = licenses.license_scan(docs, {"A": licenses.TEMPLATES["Apache-2.0-header"]}).collect()
+    want = {i: d for i, w in rows if (d := plain_dice(w, template)) >= licenses.LEAST}
+    assert {0, 1} < set(want) and len(want) < len(rows)
+    assert {r["doc_id"] for r in found} == {*want, 99}
+    assert sum(r["doc_id"] == 99 for r in found) == 2
+    assert all(r["dice"] <= want[r["doc_id"]] + 1e-9 for r in found if r["doc_id"] != 99)
+    assert [r["dice"] for r in found if r["doc_id"] == 0] == [pytest.approx(want[0])]
+
+
 def test_native_operators_run_no_python(spark, odd, capsys):
     items = spark.createDataFrame([(1, EN)], "item_id long, text string")
     for df in (licenses.license_scan(odd), decontaminate.overlaps(odd, items)):

@@ -3,9 +3,12 @@
 Text and templates are normalised alike: lower case, runs of other signs than ASCII
 letters and digits are one space. Bigrams of a document that a template has are hits. Hits
 of a template make regions: runs of hits, and runs with a few other words between hits where
-no plain run in them is a finding. A region is compared with its template: twice the common bigrams (as multisets) over the bigrams of
+no plain run in them is a finding. Outside of these findings every other window that begins
+and ends with a hit is a region too, whatever lies between its hits. A region is compared with its template: twice the common bigrams (as multisets) over the bigrams of
 both. Regions whose size alone keeps the coefficient below the threshold are pruned
-before anything is compared: for sizes a and b it is at most 2 min(a, b) / (a + b).
+before anything is compared: for sizes a and b it is at most 2 min(a, b) / (a + b). Hits
+that are in no window with enough hits for its length are dropped first. Of windows that
+overlap, the one with the highest coefficient is told.
 
 Defined cases: a null or empty text has no findings; a template is found wherever it
 stands and however often; rows that repeat an id and a text are reported once; null ids
@@ -17,13 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from titlelake.llm.common import row_key
+from titlelake.llm.common import row_key, written
 
 #: Coefficient from which a region is a licence text.
 LEAST = 0.8
 #: Words between two hits of a region, at most.
 GAP = 4
 
+FOUND = ["key", "doc_id", "license", "first_word", "last_word", "dice"]
+
 # Short public licence notices, as authors put them in files.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -80,6 +85,67 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str] | None = Non
     return pairs.groupBy("license", "size", "first", "second").agg(F.count(F.lit(1)).alias("times"))
 
 
+def outside(hits: DataFrame, found: DataFrame) -> DataFrame:
+    """The hits in no finding, with the number of the ``stretch`` between findings they lie in."""
+    events = hits.select("key", "license", "at", F.lit(1).alias("step"), F.lit(0).alias("opens"), F.struct(*hits.columns).alias("hit"))
+    none = F.lit(None).cast(events.schema["hit"].dataType).alias("hit")
+    for at, step, opens in ((F.col("first_word"), 0, 1), (F.col("last_word") - 1, 2, -1)):
+        ends = found.select("key", "license", at.cast("int").alias("at"), F.lit(step).alias("step"), F.lit(opens).alias("opens"), none)
+        events = events.unionAll(ends)
+    own = Window.partitionBy("key", "license").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    marked = events.select("hit", F.sum("opens").over(own).alias("open"), F.sum(F.greatest("opens", F.lit(0))).over(own).alias("stretch"))
+    return marked.filter("open = 0 and hit is not null").select("hit.*", "stretch")
+
+
+def windows(hits: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """The best windows of hits outside of the findings that don't overlap each other."""
+    each = ["key", "license", "stretch"]
+    own = Window.partitionBy(*each).orderBy("at")
+    # A window's hits, twice, less ``least`` for each of its bigrams must reach ``least`` times the size.
+    sums = outside(hits, found).withColumn("sum", 2 * F.row_number().over(own) - least * F.col("at"))
+    to, on = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    most = F.max("sum").over(on) - F.min("sum").over(to) + 2 - least
+    kept = sums.withColumn("kept", most >= least * F.col("size") - 1e-6)
+    zones = kept.withColumn("zone", F.sum(F.when(F.col("kept"), 0).otherwise(1)).over(to)).filter("kept")
+    each = ["key", "doc_id", "license", "size", "stretch", "zone"]
+    # A hit adds to what is common unless the window holds as many of its bigram before as the template.
+    places = zones.groupBy(*each, "first", "second", "times").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    places = places.select(*each, F.posexplode("ats").alias("k", "at"), "ats", "times").withColumn(
+        "before", F.when(F.col("k") >= F.col("times"), F.get("ats", (F.col("k") - F.col("times")).cast("int")))
+    )
+    rows = places.groupBy(*each).agg(F.sort_array(F.collect_list(F.struct("at", "before"))).alias("hits"))
+    longest = F.floor(F.col("size") * ((2 - least) / least) + 1e-6).cast("int")
+
+    def best(start: Column, i: Column) -> Column:
+        def longer(a: Column, x: Column) -> Column:
+            adds = (x["before"].isNull() | (x["before"] < start["at"])).cast("int")
+            common, length = a["common"] + adds, x["at"] - start["at"] + 1
+            dice = 2.0 * common / (length + F.col("size"))
+            better = (length <= longest) & (dice > a["dice"])
+            return F.struct(
+                common.alias("common"),
+                F.when(better, dice).otherwise(a["dice"]).alias("dice"),
+                F.when(better, x["at"]).otherwise(a["high"]).alias("high"),
+            )
+
+        first = F.struct(F.lit(0).alias("common"), F.lit(0.0).alias("dice"), start["at"].alias("high"))
+        top = F.aggregate(F.slice("hits", i + 1, longest), first, longer)
+        return F.transform(F.array(top), lambda t: F.struct((-t["dice"]).alias("minus"), start["at"].alias("low"), t["high"].alias("high")))[0]
+
+    tried = rows.select("key", "doc_id", "license", F.transform("hits", best).alias("tried"))
+    good = tried.withColumn("tried", F.array_sort(F.filter("tried", lambda t: -t["minus"] >= least))).filter(F.size("tried") > 0)
+    apart = F.aggregate(
+        "tried",
+        F.slice("tried", 1, 1),
+        lambda a, x: F.when(F.exists(a, lambda y: (y["low"] <= x["high"]) & (x["low"] <= y["high"])), a).otherwise(F.concat(a, F.array(x))),
+    )
+    told = good.select("key", "doc_id", "license", F.explode(apart).alias("w"))
+    return told.select(
+        "key", "doc_id", "license", F.col("w.low").cast("long").alias("first_word"),
+        (F.col("w.high") + 1).cast("long").alias("last_word"), (-F.col("w.minus")).alias("dice"),
+    )
+
+
 def license_scan(
     docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", least: float = LEAST
 ) -> DataFrame:
@@ -94,7 +160,7 @@ def license_scan(
     places = rows.select("doc_id", "key", F.posexplode(bigrams(F.col("words"))).alias("at", "pair"))
     # The templates are fixed and few.
     hits = places.select("doc_id", "key", "at", "pair.first", "pair.second").join(F.broadcast(wanted), ["first", "second"])
-    hits = hits.dropDuplicates(["key", "license", "at"])
+    hits = written(hits.dropDuplicates(["key", "license", "at"]), "hits")
     own = Window.partitionBy("key", "license").orderBy("at")
     apart = F.col("at") - F.lag("at").over(own)
     # Runs of hits without a gap, and runs with small gaps that hold them.
@@ -123,4 +189,10 @@ def license_scan(
     # A run with gaps is told only if no run without gaps in it is a finding.
     closest = F.min("level").over(Window.partitionBy("key", "license", "loose"))
     found = compared.withColumn("closest", closest).filter("level = closest")
-    return found.select("doc_id", "license", "first_word", "last_word", "dice")
+    found = written(found.select(*FOUND), "found")
+    while True:
+        # What lies between findings may hold more; each round leaves less of it.
+        more = written(windows(hits, found, least).select(*FOUND), "more")
+        if more.isEmpty():
+            return found.drop("key")
+        found = found.unionAll(more)
