@@ -38,7 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, placed in training sequences."""
-    return packing.pack(docs, public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path(queries.TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN, added=added)
 
 
 STAGES = [

@@ -400,6 +400,22 @@ def test_packing(spark, empty):
     assert twice.agg(F.sum("length")).collect()[0][0] == 2 * len(want[6])
 
 
+def test_added_tokens_as_the_tokenizer_finds_them(spark, tmp_path):
+    import corpus_pipeline
+
+    from titlelake.llm import queries
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", None, EN * 3 + "<|endoftext|>" + LONG]
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], SCHEMA)
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [505, 50256, 11545, 1]
+    check_packed(corpus_pipeline.packed(spark, docs, "").collect(), want)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op3_pack_vectors(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(ids) for i, ids in want.items()}
+
+
 def test_packing_keeps_all_limits(spark):
     rows = [(i, "question " * (i % 50), "answer " * (i % 90 + 1)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, prompt string, text string")

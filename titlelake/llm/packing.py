@@ -9,12 +9,15 @@ padding. Each partition is packed on its own, in bounded memory and without a sh
 
 Defined cases: a null or empty text gives the end token alone; a very long one is cut into
 whole sequences; repeated rows are packed each; an empty table gives an empty result; extra
-columns are left alone. Special tokens' names in a text are ordinary text.
+columns are left alone. Names of added tokens in a text become their ids if they are given
+to ``pack``, and are ordinary text otherwise.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,16 +60,24 @@ class Encoder:
     memory; all others as a whole. The ids are the same.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: dict[str, int] | None = None):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
+        self.added = {name: np.array([i], dtype="<u4").tobytes() for name, i in (added or {}).items()}
+        # Of names that begin alike the longest is meant.
+        self.names = re.compile("(" + "|".join(re.escape(n) for n in sorted(self.added, key=len, reverse=True)) + ")")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if not any(name in text for name in self.added):
+            return self.ordinary(text)
+        return b"".join(self.added[part] if part in self.added else self.ordinary(part) for part in self.names.split(text) if part)
+
+    def ordinary(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if not first or first[-1].isspace():
             return self.whole(text)
@@ -83,6 +94,15 @@ class Encoder:
         return self.whole(first) + b"".join(out)
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, by name, as it finds them in texts."""
+    with open(vocabulary, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that depend on their surroundings")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Packer:
     """Pieces in, rows out: ``add`` pieces, ``ready`` gives rows as sequences close."""
 
@@ -197,12 +217,13 @@ def pack(
     text: str = "text",
     prompt: str | None = None,
     limits: Limits = Limits(),
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of the documents' tokens with their places in sequences.
 
     ``ranks`` is a rank file of a byte-level vocabulary that executors can open and
     ``pattern`` its split pattern. Tokens of the column ``prompt`` come first and bear no
-    loss. Columns: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian unsigned
+    loss. ``added`` has the ids of names that aren't encoded as text. Columns: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian unsigned
     32-bit numbers), ``doc_tokens``, ``loss_tokens``, ``sequence_id``, ``offset``.
     """
     rows = docs.select(
@@ -212,7 +233,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(ranks, pattern)
+        encode = Encoder(ranks, pattern, added)
         packer = Packer(limits, TaskContext.get().partitionId() * PER_PARTITION)
         end = np.array([END], dtype="<u4").tobytes()
 

@@ -14,6 +14,7 @@ from titlelake.llm.common import bucket
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 HELD_OUT_LANG = 5
 HELD_OUT_TOXIC = 3
 TOXIC_FROM = 0.7
@@ -36,7 +37,8 @@ def op2_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pack_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(VOCABULARY)
-    packed = packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path(TOKENIZER))
+    packed = packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, added=added)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
