@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelake.llm import decontaminate, langid, licenses, packing, pii, quality, secrets, sharding, simhash, statements, toxicity
+from titlelake.llm import (
+    decontaminate, langid, licenses, minhash, packing, pii, quality, search, secrets, sharding, simhash, spelling, statements, toxicity,
+)
 from titlelake.llm.common import bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,18 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_license_dice": op1_license_dice,
     "op2_secret_network": op2_secret_network,
@@ -111,8 +125,13 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_word_backoff_langid": op8_word_backoff_langid,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_simhash_ball": op10_simhash_ball,
+    "op11_limited_accumulators": op11_limited_accumulators,
+    "op12_tensored_minhash": op12_tensored_minhash,
+    "op13_frequency_trie": op13_frequency_trie,
 }
 LLM_ORACLE: dict[str, str] = {
     "op1_license_dice": statements.LICENSES,
     "op7_spaced_seed_decontamination": statements.DECONTAMINATION,
+    "op11_limited_accumulators": statements.SEARCH,
+    "op12_tensored_minhash": statements.NEAR_DUPLICATES,
 }

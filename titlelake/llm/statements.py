@@ -80,3 +80,41 @@ compared AS (
 found AS (
   SELECT *, min(level) OVER (PARTITION BY rid, license, loose) AS closest FROM compared WHERE dice >= {LEAST})
 SELECT doc_id, license, first_word, last_word, dice FROM found WHERE level = closest"""
+
+
+SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({ASCII_LOWER}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS t FROM documents),
+sizes AS (SELECT rid, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT count(*) AS docs, sum(n) AS terms FROM sizes),
+own AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY ALL),
+asked AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT item, item_id, unnest(regexp_extract_all({ASCII_LOWER}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term
+    FROM (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM own, whole WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scores AS (
+  SELECT item, item_id, rid, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN own USING (term) JOIN sizes USING (rid), whole
+  GROUP BY item, item_id, rid, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS own FROM d),
+g AS (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b USING (shingle) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id AS origin, doc_id AS node FROM s UNION SELECT origin, b FROM reached JOIN links ON a = node)
+SELECT doc_id, CAST(len(own) AS BIGINT) AS n_shingles, lowest AS component_id, doc_id = lowest AS kept
+FROM s JOIN (SELECT origin AS doc_id, min(node) AS lowest FROM reached GROUP BY origin) USING (doc_id)"""
