@@ -8,7 +8,8 @@ search spends a budget of one surplus and one deficit on its way down and verifi
 The trie is split by the counts of its first ``depth`` levels: each word is stored under its own
 path, and asks under all paths that the budget reaches, with what is left of it. ``depth`` is the smallest that leaves
 no more than ``SUBTRIE`` words under a path, as counted over all words. In a group all asking words go down the subtrie
-together: a node keeps, as arrays, those whose budget lasts, with what is left.
+together: a node keeps, as arrays, those whose budget lasts, with what is left; below a node of ``NODE`` words the rest of
+the path is compared at once.
 What a group returns per word (number of near words, best of them) is summed up; each near word has
 one path, so nothing is counted twice.
 
@@ -39,30 +40,39 @@ LENGTH, TIMES = 6, 5
 RATIO = 5
 #: Of the runs' hashes, one in so many deletes a code point.
 DELETES = 199
-#: Letter groups, most frequent letters apart so that the first levels divide well.
-GROUPS = 16
-#: Words under a path, and words that a task counts before it passes them on.
-SUBTRIE, HELD = 4096, 200_000
+#: Letter groups; the letters a to z have one each, most frequent first so that the first levels divide well.
+GROUPS = 40
+#: Words under a path, words of a node that are compared at once, and words that a task counts before it passes them on.
+SUBTRIE, NODE, HELD = 30_000, 64, 200_000
 #: Follows of forms, doubled each time: occurrences grow by RATIO a step, so 2**5 steps pass any 64-bit count.
 DOUBLINGS = 5
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-FREQUENT = "eariotnslcud"
+#: A run of at least LENGTH letters, in Latin-1 and lower-cased; shorter ones can't become words.
+RUN = re.compile(rb"[a-z\xc0-\xff]{%d,}" % LENGTH)
+FREQUENT = "entiarhouscldgbmfwypvkzqxj"
+
+
+def runs_of(text: str | None) -> Counter:
+    """The long runs of a text, A-Z as a-z. What Latin-1 lacks is no letter here and parts runs."""
+    found = Counter(RUN.findall((text or "").encode("latin-1", "replace").lower()))
+    return Counter({run.decode("latin-1"): n for run, n in found.items()})
 
 
 def group_of(letter: str) -> int:
-    """The most frequent letters have a group each, all others share the rest."""
+    """The letters a to z have a group each, all others share the rest."""
     at = FREQUENT.find(letter)
     return at if at >= 0 else len(FREQUENT) + ord(letter) % (GROUPS - len(FREQUENT))
 
 
+GROUP = {chr(c): group_of(chr(c)) for c in [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]}
+
+
 def vector(word: str) -> bytes:
-    """How many letters are in each group, four bytes a count."""
+    """How many letters are in each group, a byte a count. More than 255 count as 255: that only brings words nearer."""
     counts = [0] * GROUPS
     for letter in word:
-        counts[group_of(letter)] += 1
-    return b"".join(c.to_bytes(4, "big") for c in counts)
+        counts[GROUP[letter]] += 1
+    return bytes(min(c, 255) for c in counts)
 
 
 def words_of(doc_id, runs: Counter) -> Iterator[tuple[str, int]]:
@@ -88,9 +98,7 @@ def vocabulary(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         for batch in batches:
             for own, value in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
-                # Shorter runs can't become words.
-                runs = Counter(r for r in RUN.findall((value or "").translate(LOWER)) if len(r) >= LENGTH)
-                for word, n in words_of(own, runs):
+                for word, n in words_of(own, runs_of(value)):
                     held[word] += n
                 if len(held) >= HELD:
                     yield out()
@@ -135,11 +143,11 @@ def asked(depth: int):
                 path, at, left = [], [], []
                 part = batch.slice(start, 512)
                 for i, own in enumerate(part.column(2).to_pylist()):
-                    path.append(own[: 4 * depth])
+                    path.append(own[:depth])
                     at.append(i)
                     left.append(-1)
-                    for counts, surplus, deficit in reached(tuple(np.frombuffer(own, dtype=">u4", count=depth).tolist())):
-                        path.append(np.array(counts, dtype=">u4").tobytes())
+                    for counts, surplus, deficit in reached(tuple(own[:depth])):
+                        path.append(bytes(min(c, 255) for c in counts))
                         at.append(i)
                         left.append(2 * surplus + deficit)
                 at = pa.array(at, pa.int64())
@@ -160,8 +168,8 @@ class Search:
 
     def descend(self, low: int, high: int, level: int, who: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
         """Stored words ``low`` to ``high``, in order of their vectors, agree above ``level``; ``who`` may still reach them."""
-        if level == self.stored.shape[1] or high - low == 1:
-            return self.leaf(low, high, who)
+        if level == self.stored.shape[1] or high - low <= NODE:
+            return self.rest(low, high, level, who, surplus, deficit)
         column = self.stored[low:high, level]
         cuts = [low, *(low + 1 + np.flatnonzero(column[1:] != column[:-1])), high]
         own = self.asking[who, level]
@@ -172,10 +180,14 @@ class Search:
             if alive.any():
                 self.descend(a, b, level + 1, who[alive], s[alive], d[alive])
 
-    def leaf(self, low: int, high: int, who: np.ndarray) -> None:
+    def rest(self, low: int, high: int, level: int, who: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
+        """Go down to the leaves of a small node with those whose budget lasts, and verify the words there."""
         for i in range(low, high):
+            more = self.stored[i, level:] - self.asking[who, level:]
+            up = np.maximum(more, 0).sum(axis=1)
+            alive = (up <= surplus) & (up - more.sum(axis=1) <= deficit)
             word, n = self.words[i], self.n[i]
-            for w in who.tolist():
+            for w in who[alive].tolist():
                 if near(word, self.ask_words[w]):
                     self.near[w] += 1
                     if (best := self.best[w]) is None or (-n, word) < best:
@@ -186,14 +198,14 @@ def searched(depth: int):
     def run(table: pa.Table) -> pa.Table:
         left = table.column("left").to_numpy()
         n, words = table.column("n").to_pylist(), table.column("word").to_pylist()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=">u4").reshape(len(left), -1)[:, depth:].astype(np.int64)
+        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.uint8).reshape(len(left), -1)[:, depth:].astype(np.int16)
         stored, asking = np.flatnonzero(left < 0), np.flatnonzero(left >= 0)
-        if len(stored):
-            stored = stored[np.lexsort(vectors[stored].T[::-1])] if vectors.shape[1] else stored
+        if len(stored) and vectors.shape[1]:
+            stored = stored[np.lexsort(vectors[stored].T[::-1])]
         ask = [words[i] for i in asking]
         search = Search([words[i] for i in stored], [n[i] for i in stored], vectors[stored], vectors[asking], ask)
         if len(stored) and len(asking):
-            search.descend(0, len(stored), 0, np.arange(len(asking)), left[asking] >> 1, left[asking] & 1)
+            search.descend(0, len(stored), 0, np.arange(len(asking)), (left[asking] >> 1).astype(np.int16), (left[asking] & 1).astype(np.int16))
         hit = np.flatnonzero(search.near)
         return pa.table({
             "word": pa.array([ask[i] for i in hit], pa.string()),
@@ -208,7 +220,7 @@ def searched(depth: int):
 def near_words(words: DataFrame) -> DataFrame:
     """``word, n_near, best`` for the stored words (word, n, vector) that have near words; best is ``(-n, word)``."""
     for depth in range(3, GROUPS + 1):
-        path = F.substring("vector", 1, 4 * depth)
+        path = F.substring("vector", 1, depth)
         largest = words.groupBy(path.alias("path")).count().agg(F.max("count")).first()[0] or 0
         if largest <= SUBTRIE:
             break
