@@ -12,10 +12,11 @@ What is done at each step:
 1. Equal sets are one from the start, so copies cost nothing further.
 2. In a bucket all sets are compared with its first one only, which is linear in the bucket.
    Stars are begun before the shuffle, so a bucket with a third of all sets arrives as a few rows.
-3. The verified links give components. Where a bucket still holds sets of different
-   components, these are compared with each other, in cells of at most ``CELL`` by ``CELL`` sets, so a link that
-   no star has shown is found too.
-4. Pairs are pruned if their sizes exclude the similarity, or if fewer than ``AGREE`` of their 48 minhashes
+3. The verified links give components, and the candidate pairs give families. Where a family holds several
+   components, their sets are compared in full, in cells of about ``PART`` shingles on either side, so a link that
+   no star has shown is found too. Only links leave a cell, no pairs: a family of texts that are
+   alike but not linked costs comparisons inside tasks, not rows.
+4. Candidate pairs are pruned if their sizes exclude the similarity, or if fewer than ``AGREE`` of their 48 minhashes
    agree (for a similarity of 0.8 a chance below 1e-9).
 
 Full sets are needed for candidates only: a second scan sends those whose row is marked in a table of
@@ -50,8 +51,10 @@ HASHES = 2 * SIDE * ROWS
 AGREE = 20
 #: Shingles hashed at once, sets whose keys are made at once, table entries of one shuffle group.
 PIECE, SETS, GROUP = 4096, 4096, 2_000_000
-#: Sets of a bucket that are compared with each other at once.
-CELL = 2048
+#: Shingles on one side of a cell.
+PART = 500_000
+#: Links up to which one task joins them.
+FEW_LINKS = 300_000
 #: Bits of the table of rows whose sets are sent: for each one, and at most.
 BITS_EACH, MOST_BITS = 32, 1 << 27
 #: Words whose hashes are remembered.
@@ -264,42 +267,99 @@ def linked(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(similar("own_a", "own_b")).select("a", "b")
 
 
-def across(found: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a bucket but no component, and that the stars didn't compare."""
-    entry = found.select("key", F.explode(F.array("lead", "member")).alias("sid")).distinct()
-    entry = entry.join(roots, entry["sid"] == roots["node"], "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-    mixed_keys = (
-        entry.groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-        .filter("low <> high and size > 2")
-        .select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    )
-    open_ = entry.join(mixed_keys, "key").join(sets.select("sid", "n", "agree"), "sid")
-    # A bucket's sets fall in parts; each pair of parts is a cell, so no task gets a whole hot bucket.
-    part = F.pmod(F.xxhash64("sid"), "cells").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    cells = open_.withColumn("part", part).withColumn("other", other).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "root", "n", "agree"
+def connected(links: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the smallest reachable, for all nodes of stored links (a, b).
+
+    Up to ``FEW_LINKS`` links, a bound of some tens of megabytes, one task joins them; more take steps of stars over the cluster.
+    """
+    if links.count() > FEW_LINKS:
+        return written(components(links), "roots")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (x := find(a)) != (y := find(b)):
+                    root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+    return written(links.select("a", "b").coalesce(1).mapInArrow(joined, "node long, root long"), "roots")
+
+
+def families(pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sets that plausible pairs (a, b) connect though the links found so far don't: ``family, sid, root, n``."""
+    member = connected(pairs).withColumnRenamed("root", "family")
+    # Whether a root is among its nodes depends on how they were joined.
+    every = member.unionByName(member.select(F.col("family").alias("node"), "family")).distinct()
+    named = every.withColumnRenamed("node", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    named = named.withColumn("root", F.coalesce("root", "sid"))
+    open_ = named.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("family")
+    return named.join(open_, "family").join(sets.select("sid", "n"), "sid")
+
+
+def across(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a family (family, sid, root, n): enough to connect what is linked.
+
+    A family is divided in parts of about ``PART`` shingles, large components in parts of their own. All pairs of
+    parts are cells, but for two parts of one component. In a cell sets are compared in full, two that are connected by then
+    are not, and only links come out: at most one for each set.
+    """
+    sizes = members.groupBy("family", "root").agg(F.sum("n").alias("weight"))
+    large = F.col("weight") > PART
+    small = sizes.filter(~large).groupBy("family").agg(F.ceil(F.sum("weight") / PART).cast("long").alias("bins"))
+    placed = sizes.join(small, "family", "left").select(
+        "family", "root",
+        F.when(large, F.ceil(F.col("weight") / PART).cast("long")).otherwise(1).alias("pieces"),
+        F.when(large, F.concat_ws(":", F.lit("c"), "root")).otherwise(F.concat_ws(":", F.lit("b"), F.pmod(F.xxhash64("root"), "bins"))).alias("bin"),
     )
+    piece = F.pmod(F.xxhash64("sid"), "pieces")
+    entry = members.join(placed, ["family", "root"]).select("family", "sid", "root", "bin", F.concat_ws(":", "bin", piece).alias("part"))
+    parts = entry.select("family", "bin", "part").distinct()
+    other = parts.select("family", F.col("bin").alias("bin2"), F.col("part").alias("part2"))
+    cells = parts.join(other, "family").filter("part <= part2 and not (bin = bin2 and bin like 'c:%')").select("family", "part", "part2")
+    first = cells.select("family", "part", F.col("part").alias("i"), F.col("part2").alias("j"))
+    second = cells.filter("part < part2").select("family", F.col("part2").alias("part"), F.col("part").alias("i"), F.col("part2").alias("j"))
+    inside = entry.join(own, "sid").join(first.unionByName(second), ["family", "part"])
 
     def compared(table: pa.Table) -> pa.Table:
-        sid, root, n, part = (table.column(c).to_numpy() for c in ("sid", "root", "n", "part"))
-        agree = np.frombuffer(b"".join(table.column("agree").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-        between = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        a, b = [], []
-        for x in range(len(sid)):
-            fits = (sid > sid[x]) & (root != root[x]) & (100 * np.minimum(n, n[x]) >= LEAST * np.maximum(n, n[x]))
-            if between:
-                fits &= part != part[x]
+        sid, root = table.column("sid").to_numpy(), table.column("root").to_numpy()
+        n = np.array([len(x.as_py()) // 8 for x in table.column("own")])
+        _, column = np.unique(np.frombuffer(b"".join(table.column("own").to_pylist()), dtype=np.uint64), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        second = np.array(table.column("part").to_pylist()) != np.array(table.column("i").to_pylist())
+        between = bool(second.any())
+        _, root = np.unique(root, return_inverse=True)
+        mark = np.zeros(column.max() + 1, dtype=np.int32)
+        links = []
+        for x in np.flatnonzero(~second) if between else range(len(sid)):
+            fits = (root != root[x]) & (100 * np.minimum(n, n[x]) >= LEAST * np.maximum(n, n[x]))
+            fits &= second if between else np.arange(len(sid)) > x
             at = np.flatnonzero(fits)
-            at = at[agreeing(agree[at], agree[x]) >= AGREE]
-            a.append(np.full(len(at), sid[x]))
-            b.append(sid[at])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    pairs = cells.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long").distinct()
-    tested = found.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+            if not len(at):
+                continue
+            mine = column[starts[x] : starts[x + 1]]
+            mark[mine] = 1
+            if 2 * n[at].sum() > len(column):
+                both = np.add.reduceat(mark[column], starts[:-1])[at]
+            else:
+                both = np.array([mark[column[starts[y] : starts[y + 1]]].sum() for y in at])
+            mark[mine] = 0
+            for y in at[100 * both >= LEAST * (n[at] + n[x] - both)]:
+                if root[y] != root[x]:
+                    links.append((sid[x], sid[y]))
+                    root[root == root[y]] = root[x]
+        ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+    return inside.groupBy("family", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,19 +369,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same = rows.filter("n > 0").groupBy("high", "low", "n").agg(F.min(least).alias("lead"), F.first("sub").alias("sub"), F.first("agree").alias("agree"))
     sets = written(same.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        needed = written(sets.join(ends, "sid", "left_semi").select("sid", F.col("lead.row").alias("row"), "high", "low"), "needed")
-        return written(linked(pairs, full_sets(docs, needed, doc_id, text)), "linked")
-
-    found = written(buckets(sets), "buckets")
-    star_pairs = found.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
-    links = verified(plausible(star_pairs, sets))
-    roots = written(components(links), "roots")
-    more = verified(across(found, roots, sets))
+    star_pairs = buckets(sets).select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
+    pairs = written(plausible(star_pairs, sets), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = written(sets.join(ends, "sid", "left_semi").select("sid", F.col("lead.row").alias("row"), "high", "low"), "needed")
+    own = written(full_sets(docs, needed, doc_id, text), "own")
+    links = written(linked(pairs, own), "linked")
+    roots = connected(links)
+    more = written(across(written(families(pairs, roots, sets), "families"), own), "linked")
     if more.take(1):
-        roots = written(components(links.unionByName(more)), "roots")
+        roots = connected(written(links.unionByName(more), "linked"))
 
     joined = sets.join(roots, sets["sid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sid"))
     lead = joined.groupBy("root").agg(F.min(F.struct("lead.no_id", "lead.doc_id")).alias("first"))
