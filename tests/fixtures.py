@@ -7,42 +7,20 @@ from decimal import Decimal
 from titlelake import Catalog
 from titlelake.schemas import TABLES
 
-# Invented: id, type, name, first year, last year, minutes, rating, votes, genres.
-SEED_TITLES = """
-tt0001001|movie|Harbor of Glass|1994||131|9.1|900000|Drama
-tt0001002|movie|The Quiet Ledger|1972||118|8.9|410000|Drama,Crime
-tt0001003|movie|Night Courier|2006||109|9.0|1200000|Action,Crime,Drama
-tt0001004|movie|Winding River|1991||124|8.4|800000|Adventure,Drama
-tt0001005|movie|Paper Lanterns|1999||97|8.2|650000|Drama
-tt0001006|movie|Inland Empress|2014||140|8.6|650000|Drama,Sci-Fi
-tt0001007|tvSeries|Marsh County|2009|2012|45|9.3|700000|Crime,Drama
-tt0001008|tvSeries|The Tin Parliament|2017|2017|60|9.2|150000|Drama
-tt0001009|tvEpisode|Low Tide|2009||46|8.8|12000|
-tt0001010|tvEpisode|High Water|2009||47|8.5|9000|
-tt0001011|movie|Copper Moon|1966||101|8.0|60000|Adventure
-tt0001012|movie|Signal Ridge|1999||115|8.3|500000|Action,Sci-Fi
-"""
-# Invented: title, place, person id, person, category, role.
-SEED_CREDITS = """
-tt0001001|1|nm0000501|Ola Venn|actor|Keeper
-tt0001001|2|nm0000502|Mira Sandoz|actress|Ruth
-tt0001001|3|nm0000503|Teo Brandt|director|
-tt0001003|1|nm0000504|Ivo Lark|director|
-tt0001006|1|nm0000504|Ivo Lark|director|
-tt0001007|1|nm0000505|Pell Hadley|actor|Sheriff Dunn
-tt0001009|1|nm0000505|Pell Hadley|actor|Sheriff Dunn
-tt0001010|1|nm0000505|Pell Hadley|actor|Sheriff Dunn
-"""
-# Invented: episode, series, season, number.
-SEED_EPISODES = [("tt0001009", "tt0001007", 1, 1), ("tt0001010", "tt0001007", 1, 2)]
+# A catalogue made by rule. Film k of 1 to 9 is a television film if four divides k.
+FILMS = ["Tin Kettle", "Inkwell", "Orchard", "Winter Rye", "Salt", "Inlet", "Mandolin", "Harvest", "Plum"]
+SERIES, PARTS = "tt0007900", {"tt0007901": (1, 1), "tt0007902": (2, 1), "tt0007903": (2, 2)}
+PEOPLE = {"nm0000801": "Ruby Kemp", "nm0000802": "Sol Aster", "nm0000803": "Inez Holt", "nm0000804": "Dana Frisk", "nm0000805": "Olu Marsh"}
 
 
-def rows(text: str) -> list[list[str | None]]:
-    return [[cell or None for cell in line.split("|")] for line in text.strip().split("\n")]
+def film(k: int) -> str:
+    return f"tt{7000 + 10 * k:07d}"
 
 
-def whole(value: str | None) -> int | None:
-    return None if value is None else int(value)
+def film_genres(k: int) -> list[str]:
+    """By the divisors of k, the last films are of the war, and what is left is noir."""
+    found = [name for name, holds in (("Musical", k % 2 == 0), ("Western", k % 3 == 0), ("War", k > 6)) if holds]
+    return found or ["Noir"]
 
 
 def frames(spark, **tables) -> Catalog:
@@ -51,26 +29,34 @@ def frames(spark, **tables) -> Catalog:
 
 
 def seed_catalogue(spark) -> Catalog:
-    title, rating, pairs = [], [], []
-    for key, kind, name, start, end, minutes, mean, votes, genres in rows(SEED_TITLES):
-        title.append((key, kind, name, name, False, whole(start), whole(end), whole(minutes), None))
-        rating.append((key, Decimal(mean), int(votes)))
-        pairs += [(key, genre) for genre in (genres or "").split(",") if genre]
-    names = sorted({genre for _, genre in pairs})
-    ids = {genre: number for number, genre in enumerate(names, 1)}
-    people, principal = {}, []
-    for key, place, person, name, category, role in rows(SEED_CREDITS):
-        people[person] = (person, name, None, None)
-        principal.append((key, int(place), person, category, None, None if role is None else f'["{role}"]'))
+    """Nine films, nine years apart, and a series of three parts in two seasons."""
+    title, rating, links = [], [], []
+    for k, name in enumerate(FILMS, 1):
+        kind = "tvMovie" if k % 4 == 0 else "movie"
+        title.append((film(k), kind, name, name, False, 1921 + 9 * k, None, 60 + k, None))
+        rating.append((film(k), Decimal(50 + 7 * k % 30) / 10, 20_000 + 15_000 * (5 * k % 9)))
+        links += [(film(k), genre) for genre in film_genres(k)]
+    title.append((SERIES, "tvMiniSeries", "Lantern Row", "Lantern Row", False, 1987, 1988, 30, None))
+    rating.append((SERIES, Decimal("7.4"), 50_000))
+    links.append((SERIES, "Noir"))
+    for part, (season, number) in PARTS.items():
+        title.append((part, "tvEpisode", f"Part {season}.{number}", "Part", False, 1986 + season, None, 30, None))
+        rating.append((part, Decimal("8.9"), 300))
+    ids = {genre: number for number, genre in enumerate(sorted({genre for _, genre in links}), 1)}
+    cast = ["actor", "composer", "actress", "director"]
+    credits = [(film(4), place, f"nm000080{place}", role, None, None) for place, role in enumerate(cast, 1)]
+    credits += [(film(k), 1, "nm0000804", "director", None, None) for k in (2, 8)]
+    credits += [(film(3), 1, "nm0000805", "director", None, None)]
+    credits += [(key, 1, "nm0000803", "actress", None, '["Keeper"]') for key in (SERIES, "tt0007903")]
     return frames(
         spark,
         title=title,
         rating=rating,
         genre=[(number, genre) for genre, number in ids.items()],
-        title_genre=[(key, ids[genre]) for key, genre in pairs],
-        person=list(people.values()),
-        principal=principal,
-        episode=SEED_EPISODES,
+        title_genre=[(key, ids[genre]) for key, genre in links],
+        person=[(key, name, None, None) for key, name in PEOPLE.items()],
+        principal=credits,
+        episode=[(part, SERIES, season, number) for part, (season, number) in PARTS.items()],
     )
 
 

@@ -65,6 +65,17 @@ def test_numbers_are_dense_and_in_order(spark):
     assert found == list(enumerate(sorted(names), 11))
 
 
+def test_a_million_names_that_begin_alike_are_numbered_in_several_tasks(spark):
+    n = 1_000_000
+    name = F.concat(F.lit("same-start-"), F.lpad(F.pmod(F.col("id") * 7919, F.lit(n)).cast("string"), 7, "0"))
+    numbered = number_by(spark.range(n).select(name.alias("name"), F.spark_partition_id().alias("_read")), "name", "n", kind="bigint")
+    right = numbered.filter(F.col("n") == F.substring("name", 12, 7).cast("bigint") + 1)
+    assert right.count() == n
+    file = F.col("_metadata.file_path")
+    parts = [r["count"] for r in spark.read.parquet(*numbered.inputFiles()).groupBy(file).count().collect()]
+    assert len(parts) > 1 and max(parts) < 0.6 * n
+
+
 def test_caps_prune_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     found = cap_per_group(df, ["k"], [F.desc("id")], 2)

@@ -92,6 +92,89 @@ def test_a_late_older_change_loses_after_a_fold(spark, tmp_path):
     assert [r["url"] for r in links.current_links(spark, folded).collect()] == ["new"]
 
 
+@pytest.fixture
+def plenty(spark, base, tmp_path):
+    """A store and a source of 12 files of 30 changes, a file a batch."""
+    source, store = str(tmp_path / "source"), str(tmp_path / "store")
+    links.start_store(base, store)
+    for start in range(0, 360, 30):
+        changes(spark, spark.range(start, start + 30, 1, 1)).write.mode("append").parquet(source)
+    valid, _ = split_valid(changes(spark, spark.range(360)))
+    return source, store, rows(upsert_latest(base, valid, links.KEYS, links.newest()))
+
+
+def start(spark, source, store, **more):
+    stream = spark.readStream.schema(links.CHANGE).option("maxFilesPerTrigger", 1).parquet(source)
+    return links.stream_upsert(stream, store, f"{store}/checkpoint", **more)
+
+
+def test_compaction_inside_the_stream_bounds_what_a_read_opens(spark, plenty):
+    source, store, wanted = plenty
+    start(spark, source, store, compact_every=2).awaitTermination()
+    assert rows(links.current_links(spark, store)) == wanted
+    now = links.state(spark, store)
+    assert now["through"] == 11 and now["number"] == 6
+    # Base and six runs of two batches: levels hold three at most.
+    assert len(links.parts(spark, store)) == len(now["runs"]) <= 4
+    assert max(r["level"] for r in now["runs"]) == 1
+    links.vacuum(spark, store)
+    assert rows(links.current_links(spark, store)) == wanted
+    assert links.batches(spark, store) == []
+
+
+def test_compaction_beside_a_running_stream(spark, plenty):
+    source, store, wanted = plenty
+    query = start(spark, source, store)
+    seen = 0
+    while query.isActive:
+        seen = max(seen, links.compact(spark, store)["through"])
+    query.awaitTermination()
+    assert rows(links.current_links(spark, store)) == wanted
+    links.compact(spark, store)
+    assert links.state(spark, store)["through"] == 11
+    assert rows(links.current_links(spark, store)) == wanted
+    assert links.change_log(spark, store, "rejects").count() > 0
+
+
+def test_of_two_compactions_one_wins(spark, plenty, monkeypatch):
+    source, store, wanted = plenty
+    start(spark, source, store).awaitTermination()
+    inner = links.merged
+
+    def slow(*args):
+        monkeypatch.setattr(links, "merged", inner)
+        links.compact(spark, store)
+        return inner(*args)
+
+    monkeypatch.setattr(links, "merged", slow)
+    assert links.compact(spark, store)["number"] == 1
+    assert len(links.state(spark, store)["runs"]) == 2
+    assert rows(links.current_links(spark, store)) == wanted
+
+
+def test_a_failed_compaction_changes_nothing(spark, plenty, monkeypatch):
+    source, store, wanted = plenty
+    start(spark, source, store).awaitTermination()
+    monkeypatch.setattr(links, "merged", lambda *a: spark.range(1).select(F.raise_error(F.lit("stop")).alias("tconst"), F.lit("x").alias("platform")))
+    with pytest.raises(Exception, match="stop"):
+        links.compact(spark, store)
+    monkeypatch.undo()
+    assert links.state(spark, store)["number"] == 0
+    assert rows(links.current_links(spark, store)) == wanted
+
+
+def test_a_new_checkpoint_after_a_compaction_loses_nothing(spark, plenty, tmp_path):
+    source, store, wanted = plenty
+    start(spark, source, store, compact_every=3).awaitTermination()
+    more = str(tmp_path / "more")
+    late = "select 'tt3' tconst, 'view' platform, 'late' url, timestamp'2030-01-01' ts, bigint(999) event_id"
+    spark.sql(late).write.parquet(more)
+    stream = spark.readStream.schema(links.CHANGE).parquet(more)
+    links.stream_upsert(stream, store, f"{store}/other").awaitTermination()
+    found = {r[:2]: r[2] for r in rows(links.current_links(spark, store))}
+    assert found == {r[:2]: r[2] for r in wanted} | {("tt3", "view"): "late"}
+
+
 def test_a_missing_store_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         links.current_links(spark, str(tmp_path / "nothing"))

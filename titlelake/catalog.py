@@ -16,8 +16,9 @@ class Catalog:
     query plans only the tables it names.
     """
 
-    def __init__(self, opener: Callable[[str], DataFrame]):
+    def __init__(self, opener: Callable[[str], DataFrame], copies: Callable[[str, str], DataFrame | None] | None = None):
         self._opener = opener
+        self._copies = copies
         self._open: dict[str, DataFrame] = {}
 
     @classmethod
@@ -31,6 +32,11 @@ class Catalog:
             self._open[name] = self._opener(name)
         return self._open[name]
 
+    def clustered(self, name: str, column: str) -> DataFrame:
+        """A table for lookups by a column: its copy that is sorted by it, if the catalogue has one."""
+        copy = self._copies(name, column) if self._copies else None
+        return self[name] if copy is None else copy
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

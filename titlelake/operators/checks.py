@@ -67,28 +67,93 @@ def check_domain(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return count_where(df, rules)
 
 
-def violations(cat: Catalog, tables: list[str]) -> DataFrame:
-    """One row per constraint of the given tables: ``table_name, rule, violations``.
+def row_rules(name: str) -> dict[str, Column]:
+    """The rules of a table that one row can break."""
+    rules = not_null_rules(REQUIRED[name]) | length_rules(TEXT_LIMITS[name])
+    return rules | rating_rules() if name == "rating" else rules
+
+
+def key_text(columns: list[str]) -> Column:
+    """A key as one text, null where a single column is null."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _key_rules(tables: list[str]) -> list[tuple[str, str, str]]:
+    """(table, rule, key) of the key rules; ``key`` names what is unique."""
+    return [
+        (name, f"{', '.join(keys)} repeated", f"{name}.{','.join(keys)}")
+        for name in tables
+        for keys in [PRIMARY_KEYS[name]] + [[c] for c in UNIQUE.get(name, [])]
+    ]
+
+
+def _uses(name: str) -> list[tuple[str, Column, str]]:
+    """(key, value, measure) that each row of a table counts for: its own keys, and the parent keys it refers to."""
+    own = [(f"{name}.{','.join(PRIMARY_KEYS[name])}", key_text(PRIMARY_KEYS[name]), "own")]
+    own += [(f"{name}.{c}", key_text([c]), "own") for c in UNIQUE.get(name, [])]
+    refers = [(f"{parent}.{key}", key_text([column]), f"ref{i}") for i, (child, column, parent, key) in enumerate(REFERENCES) if child == name]
+    return own + refers
+
+
+#: What is counted per key value: rows that have it, and rows of each reference that use it.
+MEASURES = ["own", *(f"ref{i}" for i in range(len(REFERENCES)))]
+
 
-    Null and domain rules of a table share one pass; each key and each reference is one
-    aggregation.
+def key_counts(rows: dict[str, DataFrame]) -> DataFrame:
+    """Per key value ``key, value`` the rows that have it and, by reference, that use it.
+
+    Each table is read once for all its keys and references. A parent key and its uses meet in one row, so neither
+    needs a join, and a frequent value is one row per task before anything moves. A unique column that is null may repeat
+    and is not counted, nor is a null reference.
     """
     parts = []
-    for name in tables:
-        df = cat[name]
-        rules = not_null_rules(REQUIRED[name]) | length_rules(TEXT_LIMITS[name])
-        if name == "rating":
-            rules |= rating_rules()
-        found = [count_where(df, rules)]
-        for keys in [PRIMARY_KEYS[name]] + [[c] for c in UNIQUE.get(name, [])]:
-            found.append(_summary(f"{', '.join(keys)} repeated", check_pk(df, keys)))
-        for child, column, parent, key in REFERENCES:
-            if child == name:
-                orphans = check_fk(df, column, cat[parent], key)
-                found.append(_summary(f"{column} not in {parent}", orphans))
-        parts += [part.select(F.lit(name).alias("table_name"), "rule", "violations") for part in found]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _summary(rule: str, broken: DataFrame) -> DataFrame:
-    return broken.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    for name, df in rows.items():
+        # A key of several columns is a text even if some are null; of one column it may be null.
+        uses = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit(m).alias("measure")) for k, v, m in _uses(name)])
+        entry = df.select(F.inline(uses))
+        optional = [f"{name}.{c}" for c in UNIQUE.get(name, [])]
+        parts.append(entry.filter(F.col("value").isNotNull() | ((F.col("measure") == "own") & ~F.col("key").isin(optional))))
+    measures = [F.count(F.when(F.col("measure") == m, 1)).alias(m) for m in MEASURES]
+    return reduce(DataFrame.unionByName, parts).groupBy("key", "value").agg(*measures)
+
+
+def key_violations(counts: DataFrame, tables: list[str]) -> DataFrame:
+    """Broken key and reference rules by the counts per key value: ``table_name, rule, violations`` (values) and ``rows``."""
+    found = []
+    for name, rule, key in _key_rules(tables):
+        found.append((name, rule, (F.col("key") == key) & (F.col("own") > 1), F.col("own")))
+    for i, (child, column, parent, key) in enumerate(REFERENCES):
+        if child in tables:
+            rows = F.col(f"ref{i}")
+            found.append((child, f"{column} not in {parent}", (F.col("key") == f"{parent}.{key}") & (F.col("own") < 1) & (rows > 0), rows))
+    rules = [
+        F.struct(
+            F.lit(name).alias("table_name"),
+            F.lit(rule).alias("rule"),
+            F.count(F.when(bad, 1)).alias("violations"),
+            F.coalesce(F.sum(F.when(bad, rows)), F.lit(0)).alias("rows"),
+        )
+        for name, rule, bad, rows in found
+    ]
+    return counts.agg(F.array(*rules).alias("found")).select(F.inline("found"))
+
+
+def row_violations(rows: dict[str, DataFrame]) -> DataFrame:
+    """Broken rules of single rows, a pass per table: ``table_name, rule, violations`` and ``rows``, which are the same."""
+    parts = [count_where(df, row_rules(name)).select(F.lit(name).alias("table_name"), "rule", "violations") for name, df in rows.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("rows", F.col("violations"))
+
+
+def violations(cat: Catalog, tables: list[str]) -> DataFrame:
+    """One row per constraint of the given tables: ``table_name, rule, violations, rows``.
+
+    ``violations`` counts rows for null and domain rules, and distinct keys for key and reference rules;
+    ``rows`` counts the rows concerned for all. Null and domain rules of a table share a pass; all keys and references
+    of all tables share one aggregation.
+    """
+    own = {name: cat[name] for name in tables}
+    parents = {parent: cat[parent] for child, _, parent, _ in REFERENCES if child in tables}
+    counts = key_counts(own | parents)
+    return row_violations(own).unionByName(key_violations(counts, tables))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,23 @@ def attach(
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
+# Keys that are named in a filter, and how many together: Spark passes so many on to the files one by one.
+NAMED_KEYS, TOGETHER = 1000, 10
+
+
+def by_few_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is in a table of unique keys that is expected to be small.
+
+    Up to ``NAMED_KEYS`` keys become a filter that skips row groups of a table sorted by the key; more are joined.
+    """
+    few = [r[0] for r in keys.limit(NAMED_KEYS + 1).collect()]
+    if len(few) > NAMED_KEYS:
+        return by_keys(df, key, keys)
+    few.sort()
+    named = [F.col(key).isin(few[i : i + TOGETHER]) for i in range(0, len(few), TOGETHER)]
+    return df.filter(reduce(lambda a, b: a | b, named, F.lit(False)))
+
+
 def by_keys(df: DataFrame, key: str, keys: None | str | list[str] | DataFrame) -> DataFrame:
     """Rows of one key, of several keys, or of a table of keys; ``None`` keeps all rows.
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from titlelake.sources.shared import Files, stored
 
 DISCOVER_PAGE_CAP = 500
 
@@ -22,29 +27,33 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return cap_per_group(df, keys, order, 1)
 
 
-def number_by(df: DataFrame, column: str, number: str, start: int = 0) -> DataFrame:
-    """Dense numbers ``start + 1, start + 2, ...`` in the order of a unique text column.
+def placed(df: DataFrame, order: list[Column], place: str, start: int = 0, kind: str = "bigint") -> DataFrame:
+    """The rows with their place ``start + 1, start + 2, ...`` in a total order.
 
-    Rows are numbered inside their first character and shifted by the count of rows
-    under smaller first characters. Only that per-character count, at most one row per
-    Unicode character, is put in one global order.
+    Rows are range-partitioned by the whole order and sorted inside each partition, and stored with
+    their partition and place there. A place is that plus the rows of all partitions before; only these
+    counts, one per partition, are put in one order. Rows that begin alike are still
+    divided, so no task gets more than its share.
     """
-    lead = F.substring(F.coalesce(F.col(column), F.lit("")), 1, 1)
-    leads = df.groupBy(lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.coalesce(
-        F.sum("_rows").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    offsets = leads.select("_lead", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_lead").orderBy(column))
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     return (
-        df.withColumn("_lead", lead)
-        .withColumn("_inside", inside)
-        .join(offsets, "_lead")
-        .withColumn(number, (F.lit(start) + F.col("_before") + F.col("_inside")).cast("int"))
-        .drop("_lead", "_inside", "_before")
+        kept.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(place, (F.lit(start + 1) + F.col("_before") + inside).cast(kind))
+        .drop("_part", "_before", "_at")
     )
 
 
+def number_by(df: DataFrame, column: str, number: str, start: int = 0, kind: str = "int") -> DataFrame:
+    """Dense numbers ``start + 1, start + 2, ...`` in the order of a unique column, see :func:`placed`."""
+    return placed(df, [F.asc(column)], number, start, kind)
+
+
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
     """One page of ``size`` rows in a total ``order``, with ``place``, ``has_more`` and ``total_pages``.
 
@@ -98,6 +107,33 @@ def page_info(df: DataFrame, size: int, cap: int = DISCOVER_PAGE_CAP) -> DataFra
     )
 
 
+def save_listing(df: DataFrame, order: list[Column], path: str) -> None:
+    """Store a listing in a total order, each row with its ``place``, for :func:`page_jump`.
+
+    Files are sorted by place, so their statistics are a directory of ranks; beside them a small file keeps the number of rows.
+    """
+    spark = df.sparkSession
+    ranked = placed(df, order, "place")
+    ranked.repartitionByRange("place").sortWithinPartitions("place").write.parquet(f"{path}/rows")
+    schema = spark.read.parquet(f"{path}/rows").schema
+    rows = spark.read.schema(schema).parquet(f"{path}/rows").count()
+    Files(spark, path).create("listing", json.dumps({"rows": rows, "schema": schema.json()}))
+
+
+def page_jump(spark: SparkSession, path: str, size: int, number: int) -> DataFrame:
+    """Any page of a saved listing, with the columns of :func:`page`; only blocks that hold its places are read."""
+    number = page_number(number)
+    listing = json.loads(Files(spark, path).read("listing"))
+    first, last = (number - 1) * size + 1, number * size
+    rows = spark.read.schema(StructType.fromJson(json.loads(listing["schema"]))).parquet(f"{path}/rows")
+    more = listing["rows"] > last
+    return (
+        rows.filter(F.col("place").between(first, last))
+        .withColumns({"has_more": F.lit(more), "total_pages": F.lit(number + int(more))})
+        .orderBy("place")
+    )
+
+
 def page_number(number: int) -> int:
     """Pages count from 1; lower numbers mean the first page."""
     return max(1, number)

@@ -15,8 +15,10 @@ from titlelake.functions.media import NO_POSTER, platform_field
 from titlelake.functions.roles import CAST, CREDIT_ROLES, CREW, FILMOGRAPHY_ROLES, role_rank
 from titlelake.functions.text import contains_ci, prefix_ci
 from titlelake.operators import merge
-from titlelake.operators.joins import attach, by_keys
+from titlelake.operators.grams import NameIndex, matches
+from titlelake.operators.joins import attach, by_few_keys, by_keys
 from titlelake.operators.ranking import cap_per_group, page, page_after, page_number
+from titlelake.sources.shared import stored
 
 Keys = None | str | list[str] | DataFrame
 
@@ -217,8 +219,17 @@ def person_info(cat: Catalog, ids: Keys = None) -> DataFrame:
 
 
 def person_credits(cat: Catalog, ids: Keys = None) -> DataFrame:
-    """Credits with their title and rating. Joined by title, so no person is gathered."""
+    """Credits with their title and rating. Joined by title, so no person is gathered.
+
+    Of people given by key the credits come from a copy sorted by person, if the catalogue has one, and then only their titles are read.
+    """
     title = cat.title.select("tconst", "primary_title", "title_type", "start_year")
+    copy = cat.clustered("principal", "nconst")
+    if isinstance(ids, (str, list)) and copy is not cat.principal:
+        credits = by_keys(copy, "nconst", ids)
+        wanted = credits.select("tconst").distinct()
+        found = credits.join(by_few_keys(title, "tconst", wanted), "tconst")
+        return with_rating(found, by_few_keys(cat.rating, "tconst", wanted), "left")
     return with_rating(by_keys(cat.principal, "nconst", ids).join(title, "tconst"), cat.rating, "left")
 
 
@@ -268,10 +279,32 @@ def search_titles(
     ``prefix_first`` puts names that start with the query before all others.
     """
     query = check_query(query)
-    found = adult_filter(cat.title, include_adult).filter(
-        contains_ci(F.col("primary_title"), query, literal) & (F.col("title_type") != "tvEpisode")
-    )
-    rows = cards(with_rating(found, cat.rating, "left")).withColumn("result_type", F.lit("title"))
+    found = cat.title.filter(contains_ci(F.col("primary_title"), query, literal))
+    return _title_page(found, cat.rating, query, number, include_adult, prefix_first, literal, size)
+
+
+def search_titles_indexed(
+    cat: Catalog,
+    index: NameIndex,
+    query: str,
+    number: int = 1,
+    include_adult: bool = False,
+    prefix_first: bool = True,
+    literal: bool = False,
+    size: int = PAGE_SIZE,
+) -> DataFrame:
+    """As :func:`search_titles`, by an index of the titles' names: reads posting lists, and the titles found."""
+    query = check_query(query)
+    ids = stored(matches(index, query, literal).select("id"), "found")
+    title, rating = by_few_keys(cat.title, "tconst", ids), by_few_keys(cat.rating, "tconst", ids)
+    return _title_page(title, rating, query, number, include_adult, prefix_first, literal, size)
+
+
+def _title_page(
+    matching: DataFrame, rating: DataFrame, query: str, number: int, include_adult: bool, prefix_first: bool, literal: bool, size: int
+) -> DataFrame:
+    found = adult_filter(matching, include_adult).filter(F.col("title_type") != "tvEpisode")
+    rows = cards(with_rating(found, rating, "left")).withColumn("result_type", F.lit("title"))
     order = [F.desc_nulls_last("votes"), F.asc("id")]
     if prefix_first:
         order.insert(0, F.when(prefix_ci(F.col("title"), query, literal), 0).otherwise(1))
@@ -288,7 +321,27 @@ def search_people(
 ) -> DataFrame:
     """People whose name contains the query, by name."""
     query = check_query(query)
-    found = cat.person.filter(contains_ci(F.col("primary_name"), query, literal)).select(
+    found = cat.person.filter(contains_ci(F.col("primary_name"), query, literal))
+    return _person_page(found, query, number, prefix_first, literal, size)
+
+
+def search_people_indexed(
+    cat: Catalog,
+    index: NameIndex,
+    query: str,
+    number: int = 1,
+    prefix_first: bool = True,
+    literal: bool = False,
+    size: int = PAGE_SIZE,
+) -> DataFrame:
+    """As :func:`search_people`, by an index of the people's names."""
+    query = check_query(query)
+    ids = stored(matches(index, query, literal).select("id"), "found")
+    return _person_page(by_few_keys(cat.person, "nconst", ids), query, number, prefix_first, literal, size)
+
+
+def _person_page(matching: DataFrame, query: str, number: int, prefix_first: bool, literal: bool, size: int) -> DataFrame:
+    found = matching.select(
         F.col("nconst").alias("id"),
         F.col("primary_name").alias("name"),
         "birth_year",

@@ -1,13 +1,26 @@
-"""Saved catalogues: parquet clustered by key, or bucketed tables."""
+"""Saved catalogues: versions of parquet tables clustered by key, changed file by file, or bucketed tables.
+
+A catalogue is a folder. ``versions/<number>`` is a small text file with one line per table: either the
+folder that holds its files, or ``files/<name>``, a list of its files with the first and
+last cluster key of each. A version never changes; a new one may share files with those before.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from bisect import bisect_right
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from titlelake.catalog import Catalog
-from titlelake.schemas import TABLES
+from titlelake.operators import grams
+from titlelake.operators.grams import NameIndex
+from titlelake.operators.ranking import first_per_key
+from titlelake.schemas import PRIMARY_KEYS, TABLES
+from titlelake.sources.shared import Files, stored
 
 # The column each table is mostly joined and looked up by.
 CLUSTER = {
@@ -21,21 +34,21 @@ CLUSTER = {
     "streaming_link": "tconst",
 }
 
+VERSIONS, LISTS, SEARCH, COPIES = "versions", "files", "search", "copies"
 
-VERSIONS = "versions"
+# Columns that tables are looked up by besides their cluster column.
+SECOND_KEYS = [("principal", "nconst"), ("title_genre", "genre_id"), ("episode", "tconst")]
 
+# Tables with names to search: key and name.
+NAMED = {"title": ("tconst", "primary_title"), "person": ("nconst", "primary_name")}
 
-def _folder(spark: SparkSession, path: str):
-    """The file system of a path, and the path as that system's object."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+#: Up to this many keys, the files that a change touches are found one key at a time.
+FEW_KEYS = 10_000
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions of a saved catalogue, oldest first."""
-    system, place = _folder(spark, f"{path}/{VERSIONS}")
-    found = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
-    return sorted(int(name) for name in found if name.isdigit())
+    return sorted(int(name) for name in Files(spark, path).names(VERSIONS) if name.isdigit())
 
 
 def folders(spark: SparkSession, path: str, version: int | None = None) -> dict[str, str]:
@@ -43,16 +56,67 @@ def folders(spark: SparkSession, path: str, version: int | None = None) -> dict[
     known = versions(spark, path)
     if not known:
         return {}
-    lines = spark.read.text(f"{path}/{VERSIONS}/{version or known[-1]:08d}").collect()
-    return dict(line["value"].split("=", 1) for line in lines)
+    lines = Files(spark, path).read(f"{VERSIONS}/{version or known[-1]:08d}").splitlines()
+    return dict(line.split("=", 1) for line in lines)
+
+
+def _listed(spark: SparkSession, path: str, place: str) -> list[dict]:
+    """The files of a table: ``file``, its first and last cluster key ``low`` and ``high``, and its ``rows``."""
+    return [json.loads(line) for line in Files(spark, path).read(place).splitlines()]
+
+
+def _file(folder: str) -> Column:
+    """The file of a row, relative to a folder above it."""
+    whole = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return F.substring_index(whole, f"{folder.rstrip('/')}/", -1)
+
+
+def _ranges(spark: SparkSession, path: str, name: str, folder: str) -> list[dict]:
+    """The files of a folder with their ranges; reads the cluster column only."""
+    key = F.col(CLUSTER[name])
+    rows = spark.read.option("recursiveFileLookup", "true").schema(TABLES[name]).parquet(f"{path}/{folder}")
+    found = rows.groupBy(_file(folder).alias("file")).agg(
+        F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("rows")
+    )
+    return [r.asDict() | {"file": f"{folder}/{r['file']}"} for r in found.collect()]
+
+
+def _open(spark: SparkSession, path: str, name: str, place: str) -> DataFrame:
+    if not place.startswith(f"{LISTS}/"):
+        return spark.read.schema(TABLES[name]).parquet(f"{path}/{place}")
+    return _read(spark, name, [f"{path}/{f['file']}" for f in _listed(spark, path, place)])
+
+
+def _read(spark: SparkSession, name: str, files: list[str], below: str | None = None) -> DataFrame:
+    """Rows of some files, with their ``_file`` below a folder if that is given."""
+    if not files:
+        return spark.createDataFrame([], TABLES[name] + (", _file string" if below else ""))
+    rows = spark.read.option("recursiveFileLookup", "true").schema(TABLES[name]).parquet(*files)
+    return rows.withColumn("_file", _file(below)) if below else rows
 
 
 def load_catalog(spark: SparkSession, path: str, version: int | None = None) -> Catalog:
-    """A saved catalogue in its latest version or an earlier one."""
+    """A saved catalogue in its latest version or an earlier one; takes no Spark job."""
     where = folders(spark, path, version)
     if not where:
         raise FileNotFoundError(f"no saved catalogue in {path}")
-    return Catalog(lambda name: spark.read.schema(TABLES[name]).parquet(f"{path}/{where[name]}"))
+    number = version or versions(spark, path)[-1]
+    copies = set(Files(spark, path).names(f"{COPIES}/{number:08d}"))
+
+    def copy(name: str, column: str) -> DataFrame | None:
+        folder = f"{name}-{column}"
+        return spark.read.schema(TABLES[name]).parquet(f"{path}/{COPIES}/{number:08d}/{folder}") if folder in copies else None
+
+    return Catalog(lambda name: _open(spark, path, name, where[name]), copy)
+
+
+def _commit(spark: SparkSession, path: str, number: int, where: dict[str, str]) -> int:
+    Files(spark, path).create(f"{VERSIONS}/{number:08d}", "\n".join(f"{k}={v}" for k, v in sorted(where.items())))
+    return number
+
+
+def _order(name: str) -> list[str]:
+    return [CLUSTER[name], *[c.split()[0] for c in TABLES[name].split(", ") if c.split()[0] != CLUSTER[name]]]
 
 
 def save_catalog(cat: Catalog, path: str, names: list[str]) -> int:
@@ -61,8 +125,8 @@ def save_catalog(cat: Catalog, path: str, names: list[str]) -> int:
     All tables are written to new folders first; then one small file is created that says
     which folder each table has, and tables not named keep theirs. Readers see the old
     version or the new one, never a mixture, a failed save changes nothing, and tables
-    may be derived from the very catalogue they replace. Two writers that take the same
-    number can't both succeed.
+    may be derived from the very catalogue they replace. Of two writers that take the same
+    number one raises ``Taken``.
 
     Each table is range-partitioned and sorted by its cluster column, so the row-group
     statistics let a key lookup skip almost all of the data. All columns take part in
@@ -73,30 +137,187 @@ def save_catalog(cat: Catalog, path: str, names: list[str]) -> int:
     number = max(versions(spark, path), default=0) + 1
     batch = uuid.uuid4().hex[:12]
     for name in names:
-        df = cat[name]
-        rest = [c for c in df.columns if c != CLUSTER[name]]
-        order = [CLUSTER[name], *rest]
+        order = _order(name)
         where[name] = f"{name}/{batch}"
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{where[name]}")
-    system, place = _folder(spark, f"{path}/{VERSIONS}/{number:08d}")
-    out = system.create(place, False)
-    try:
-        out.write(bytearray("\n".join(f"{k}={v}" for k, v in sorted(where.items())), "utf-8"))
-    finally:
-        out.close()
-    return number
+        cat[name].repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{where[name]}")
+    return _commit(spark, path, number, where)
+
+
+def merge_catalog(
+    spark: SparkSession,
+    path: str,
+    changes: dict[str, DataFrame] | None = None,
+    deletes: dict[str, DataFrame] | None = None,
+    order: dict[str, list[Column]] | None = None,
+) -> int:
+    """Upsert and delete rows of tables as a new version and return its number.
+
+    ``changes`` holds rows by table; of several for a key the first in ``order`` counts, by default the smallest by all columns.
+    ``deletes`` holds primary keys by table; a key that is also changed is kept as changed.
+
+    Only files whose key range holds a changed key are read and written anew; the new version shares
+    all others with the one before. New files keep to the ranges of the files
+    they replace, so ranges stay narrow however many merges follow. Keys are looked up one by one up to
+    ``FEW_KEYS``; beyond, all files between the smallest and the largest are rewritten.
+
+    Of two merges into the same version one raises ``Taken`` and changes nothing; it may be run again.
+    """
+    number = max(versions(spark, path), default=0)
+    where = folders(spark, path)
+    if not where:
+        raise FileNotFoundError(f"no saved catalogue in {path}")
+    changes, deletes = changes or {}, deletes or {}
+    for name in sorted({*changes, *deletes}):
+        new = _merge_table(spark, path, name, where[name], changes.get(name), deletes.get(name), (order or {}).get(name))
+        where[name] = f"{LISTS}/{name}-{uuid.uuid4().hex[:12]}"
+        Files(spark, path).create(where[name], "\n".join(json.dumps(f) for f in new))
+    return _commit(spark, path, number + 1, where)
+
+
+def _merge_table(
+    spark: SparkSession, path: str, name: str, place: str, changes: DataFrame | None, deletes: DataFrame | None, order: list[Column] | None
+) -> list[dict]:
+    """The files of a table after a merge."""
+    keys, cluster = PRIMARY_KEYS[name], CLUSTER[name]
+    files = _listed(spark, path, place) if place.startswith(f"{LISTS}/") else _ranges(spark, path, name, place)
+    files.sort(key=lambda f: (f["low"], f["high"], f["file"]))
+    new = spark.createDataFrame([], TABLES[name])
+    if changes is not None:
+        first = first_per_key(changes, keys, order or [F.asc(c) for c in _order(name)])
+        new = stored(first.select(*new.columns), f"changes-{name}")
+    gone = new.select(*keys)
+    if deletes is not None:
+        gone = stored(gone.unionByName(deletes.select(*keys)).distinct(), f"keys-{name}")
+
+    marks = [new.select(cluster)]
+    if cluster in keys:
+        marks.append(gone.select(cluster))
+    else:
+        # The row that a key has now may lie elsewhere; only the two columns are read.
+        now = _open(spark, path, name, place).select(*keys, cluster)
+        marks.append(now.join(gone, keys, "left_semi").select(cluster))
+    marked = reduce(DataFrame.unionByName, marks).distinct()
+    few = [r[0] for r in marked.limit(FEW_KEYS + 1).collect()]
+    held = sorted(few)
+    if len(few) <= FEW_KEYS:
+        touched = [f for f in files if _any_between(held, f["low"], f["high"])]
+    else:
+        low, high = marked.agg(F.min(cluster), F.max(cluster)).first()
+        touched = [f for f in files if f["low"] <= high and f["high"] >= low]
+
+    # Rows stay in the range of the file they come from; new ones go to the last file that begins at or before them, and between
+    # two files that stay they make one of their own.
+    place_of = {f["file"]: i for i, f in enumerate(files)}
+    file = spark.createDataFrame([(f["file"], place_of[f["file"]]) for f in touched], "_file string, _range int")
+    now = _read(spark, name, [f"{path}/{f['file']}" for f in touched], path).join(gone, keys, "left_anti").join(F.broadcast(file), "_file")
+    if len(few) <= FEW_KEYS:
+        lows = [f["low"] for f in files]
+        kind = new.schema[cluster].dataType.simpleString()
+        slots = spark.createDataFrame([(k, max(bisect_right(lows, k) - 1, 0)) for k in held], f"{cluster} {kind}, _range int")
+        new = new.join(F.broadcast(slots), cluster)
+    else:
+        new = new.withColumn("_range", F.lit(0))
+    columns = [*_order(name), "_range"]
+    rows = now.select(*columns).unionByName(new.select(*columns))
+    folder = f"{name}/{uuid.uuid4().hex[:12]}"
+    by = ["_range", *_order(name)]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("_range").parquet(f"{path}/{folder}")
+    names = {f["file"] for f in touched}
+    return [f for f in files if f["file"] not in names] + _ranges(spark, path, name, folder)
+
+
+def _any_between(held: list, low, high) -> bool:
+    """Whether a sorted list has a value from ``low`` to ``high``."""
+    at = bisect_right(held, high)
+    return at > 0 and held[at - 1] >= low
+
+
+def differences(spark: SparkSession, path: str, old: int, new: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Rows that went and rows that came between two versions, by table.
+
+    Only files that one of the versions has alone are read; rows that such files have in common are on both sides.
+    """
+    before, after = folders(spark, path, old), folders(spark, path, new)
+
+    def files(name: str, place: str | None) -> set[str]:
+        if place is None:
+            return set()
+        if place.startswith(f"{LISTS}/"):
+            return {f["file"] for f in _listed(spark, path, place)}
+        return {f"{place}/{n}" for n in Files(spark, path).names(place) if n.endswith(".parquet")}
+
+    removed, added = {}, {}
+    for name in TABLES:
+        if before.get(name) != after.get(name):
+            a, b = files(name, before.get(name)), files(name, after.get(name))
+            removed[name] = _read(spark, name, [f"{path}/{f}" for f in sorted(a - b)])
+            added[name] = _read(spark, name, [f"{path}/{f}" for f in sorted(b - a)])
+    return removed, added
+
+
+def save_copies(spark: SparkSession, path: str) -> int:
+    """Copies of the latest version's tables for lookups by a second key, and its number.
+
+    A copy is sorted by that key, so a lookup skips the files and row groups of all others. It belongs to its version: a
+    later one reads the table itself until it has copies of its own.
+    """
+    version = versions(spark, path)[-1]
+    cat = load_catalog(spark, path, version)
+    for name, column in SECOND_KEYS:
+        order = [column, *[c for c in _order(name) if c != column]]
+        copy = cat[name].repartitionByRange(*order).sortWithinPartitions(*order)
+        copy.write.parquet(f"{path}/{COPIES}/{version:08d}/{name}-{column}")
+    return version
+
+
+def save_search(spark: SparkSession, path: str) -> int:
+    """Index the names of the latest version for search, and return its number."""
+    version = versions(spark, path)[-1]
+    cat = load_catalog(spark, path, version)
+    for name, (key, text) in NAMED.items():
+        names = cat[name].select(F.col(key).alias("id"), F.col(text).alias("name"))
+        grams.save(grams.build(names), f"{path}/{SEARCH}/{version:08d}/{name}")
+    return version
+
+
+def load_search(spark: SparkSession, path: str, version: int | None = None) -> dict[str, NameIndex]:
+    """The indexes of a version, by table."""
+    version = version or versions(spark, path)[-1]
+    if not Files(spark, path).exists(f"{SEARCH}/{version:08d}"):
+        raise FileNotFoundError(f"version {version} of {path} has no search index")
+    return {name: grams.load(spark, f"{path}/{SEARCH}/{version:08d}/{name}") for name in NAMED}
 
 
 def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Remove all versions but the latest ``keep``, with the table folders only they have."""
+    """Remove all versions but the latest ``keep``, with the files only they have."""
+    store = Files(spark, path)
     known = versions(spark, path)
     old, kept = known[: -keep or None], known[-keep:]
-    used = {f for v in kept for f in folders(spark, path, v).values()}
+
+    def places(numbers: list[int]) -> set[str]:
+        return {p for v in numbers for p in folders(spark, path, v).values()}
+
+    def files(listed: set[str]) -> set[str]:
+        return {f["file"] for p in listed if p.startswith(f"{LISTS}/") for f in _listed(spark, path, p)}
+
+    used = places(kept)
+    in_use = files(used)
+    gone = places(old) - used
+    used_folders = {"/".join(f.split("/")[:2]) for f in in_use} | used
+    for file in files(gone) - in_use:
+        folder = "/".join(file.split("/")[:2])
+        store.delete(file if folder in used_folders else folder)
+    for place in gone:
+        if place.startswith(f"{LISTS}/") or place not in used_folders:
+            store.delete(place)
+        elif place not in used:
+            for name in store.names(place):
+                if f"{place}/{name}" not in in_use and not name.startswith("_"):
+                    store.delete(f"{place}/{name}")
     for version in old:
-        gone = {f for f in folders(spark, path, version).values() if f not in used}
-        for folder in [f"{VERSIONS}/{version:08d}", *sorted(gone)]:
-            system, place = _folder(spark, f"{path}/{folder}")
-            system.delete(place, True)
+        store.delete(f"{VERSIONS}/{version:08d}")
+        store.delete(f"{SEARCH}/{version:08d}")
+        store.delete(f"{COPIES}/{version:08d}")
 
 
 def save_bucketed(cat: Catalog, names: list[str], buckets: int, prefix: str = "") -> None:

@@ -21,8 +21,10 @@ from titlelake.testing.queries import (
     AFTER,
     DIRECTOR_MIN,
     DISCOVER,
+    FACETS,
     GENRES_GONE,
     GENRE_MIN_LINKS,
+    INDEXED,
     PEOPLE_SEARCH,
     PROVIDER_NAMES,
     SEARCH,
@@ -193,39 +195,113 @@ def _not_null(table: str, columns: list[str]) -> str:
     )
 
 
-def _violations() -> str:
+def _violations(tables: str, source: dict[str, str]) -> str:
+    """All constraints; ``source`` holds what stands for a table where that isn't the table itself."""
     parts = []
     for name in NAMES:
-        rules = [(f"{c} is null", f"SELECT 1 FROM {name} WHERE {c} IS NULL") for c in REQUIRED[name]]
-        rules += [
-            (f"{c} longer than {n}", f"SELECT 1 FROM {name} WHERE length({c}) > {n}")
-            for c, n in TEXT_LIMITS[name].items()
-        ]
+        own = source.get(name, name)
+        rules = [(f"{c} is null", f"{c} IS NULL") for c in REQUIRED[name]]
+        rules += [(f"{c} longer than {n}", f"length({c}) > {n}") for c, n in TEXT_LIMITS[name].items()]
         if name == "rating":
-            rules.append(
-                ("average_rating out of range", "SELECT 1 FROM rating WHERE abs(average_rating) >= 100")
-            )
+            rules.append(("average_rating out of range", "abs(average_rating) >= 100"))
+        found = [(rule, f"SELECT count(*) AS violations, count(*) AS rows FROM {own} WHERE {bad}") for rule, bad in rules]
         for keys in [PRIMARY_KEYS[name]] + [[c] for c in UNIQUE.get(name, [])]:
             key = ", ".join(keys)
-            rules.append((f"{key} repeated", f"SELECT 1 FROM {name} GROUP BY {key} HAVING count(*) > 1"))
+            repeated = f"SELECT count(*) AS n FROM {own} GROUP BY {key} HAVING count(*) > 1"
+            found.append((f"{key} repeated", f"SELECT count(*) AS violations, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM ({repeated})"))
         for child, column, parent, key in REFERENCES:
             if child == name:
-                source = "solvent" if parent == "person" else parent
-                rules.append(
-                    (
-                        f"{column} not in {parent}",
-                        f"SELECT DISTINCT {column} FROM {name} WHERE {column} NOT IN (SELECT {key} FROM {source})",
-                    )
-                )
-        # The checked catalogue knows the solvent people only.
-        shown = "(SELECT * FROM person SEMI JOIN solvent USING (nconst))"
+                orphan = f"{column} NOT IN (SELECT {key} FROM {source.get(parent, parent)})"
+                found.append((f"{column} not in {parent}", f"SELECT count(DISTINCT {column}) AS violations, count(*) AS rows FROM {own} WHERE {orphan}"))
+        parts += [f"SELECT '{name}' AS table_name, '{rule}' AS rule, violations, rows FROM ({q})" for rule, q in found]
+    return sql(tables, "\nUNION ALL\n".join(parts))
+
+
+# What the changes of the merge queries leave.
+MERGED = {
+    "rating": """(SELECT tconst, CAST(CASE WHEN num_votes % 2 = 0 THEN 5 ELSE average_rating END AS DECIMAL(3,1)) AS average_rating,
+      CASE WHEN num_votes % 2 = 0 THEN num_votes - 1 ELSE num_votes END AS num_votes
+    FROM rating WHERE num_votes % 2 = 0 OR num_votes % 11 <> 0)""",
+    "episode": """(SELECT tconst, CASE WHEN episode_number % 6 = 0 THEN 'tt0000001' ELSE parent_tconst END AS parent_tconst,
+      season_number, episode_number FROM episode WHERE episode_number % 6 = 0 OR episode_number % 5 <> 0)""",
+    "person": """(SELECT nconst, CASE WHEN nconst LIKE '%0' THEN 'Renamed' ELSE primary_name END AS primary_name, birth_year, death_year
+    FROM person)""",
+    "title": "(SELECT * FROM title WHERE title_type <> 'videoGame')",
+}
+EVERYONE = "(SELECT * FROM person SEMI JOIN solvent USING (nconst))"
+
+def _trends() -> str:
+    """The trend tables of the merged catalogue in one list."""
+    title, rating, person = MERGED["title"], MERGED["rating"], MERGED["person"]
+    decade, null = "(start_year // 10) * 10", "CAST(NULL AS {})"
+    no_name, no_decade, no_mean = null.format("VARCHAR"), null.format("BIGINT"), null.format("DOUBLE")
+    chart = "title_type IN ('movie', 'tvSeries', 'tvMovie')"
+
+    def row(kind: str, name: str, dec: str, n: str, average: str) -> str:
+        return f"SELECT '{kind}' AS kind, {name} AS name, {dec} AS decade, {n} AS n, {average} AS mean"
+
+    every = mean(f"sum({TENTHS})", "count(*)")
+    rated = mean(f"sum({TENTHS})", "count(average_rating)")
+    return sql(
+        "title rating principal person genre title_genre",
+        f"""
+, r AS {rating}, t AS {title}, p AS {person}
+{row('rated', no_name, decade, 'count(*)', every)} FROM t JOIN r USING (tconst) WHERE start_year >= 1890 AND {chart} GROUP BY {decade}
+UNION ALL {row('dated', no_name, decade, 'count(*)', no_mean)} FROM t WHERE start_year IS NOT NULL GROUP BY {decade}
+UNION ALL ({row('director', 'primary_name', no_decade, 'count(*)', every)}
+  FROM principal JOIN p USING (nconst) JOIN r USING (tconst) WHERE category = 'director'
+  GROUP BY primary_name HAVING count(*) >= {DIRECTOR_MIN} ORDER BY mean DESC, name LIMIT 20)
+UNION ALL {row('genre', 'name', decade, 'count(*)', no_mean)}
+  FROM t JOIN title_genre USING (tconst) JOIN genre USING (genre_id) WHERE start_year >= 1950 AND {chart}
+  AND name IN (SELECT name FROM title_genre JOIN genre USING (genre_id) GROUP BY name HAVING count(*) >= {GENRE_MIN_LINKS})
+  GROUP BY name, {decade}
+UNION ALL ({row('actor', 'primary_name', no_decade, 'count(DISTINCT tconst)', rated)}
+  FROM principal JOIN p USING (nconst) LEFT JOIN r USING (tconst) WHERE category IN ('actor', 'actress')
+  GROUP BY primary_name HAVING count(DISTINCT tconst) >= {ACTOR_MIN_TITLES} ORDER BY n DESC, name LIMIT 20)""",
+    )
+
+
+def _indexed() -> str:
+    """A page of each search of the index query."""
+    pages = []
+    for query in INDEXED:
+        # A backslash before an ordinary character means that character.
+        pattern = query.strip().replace("\\r", "r")
+        where = f"title ILIKE '%{pattern}%' AND type <> 'tvEpisode'"
+        order = f"CASE WHEN title ILIKE '{pattern}%' THEN 0 ELSE 1 END, votes DESC NULLS LAST, id"
+        pages.append(f"""
+(SELECT '{query}' AS query, row_number() OVER (ORDER BY {order}) AS place, id, title, year, rating, votes,
+  (SELECT count(*) FROM card WHERE {where}) > 20 AS has_more FROM card WHERE {where} ORDER BY {order} LIMIT 20)""")
+    where = f"primary_name ILIKE '%{PEOPLE_SEARCH}%'"
+    order = f"CASE WHEN primary_name ILIKE '{PEOPLE_SEARCH}%' THEN 0 ELSE 1 END, primary_name, nconst"
+    pages.append(f"""
+(SELECT '{PEOPLE_SEARCH}' AS query, row_number() OVER (ORDER BY {order}) AS place, nconst AS id, primary_name AS title,
+  birth_year AS year, CAST(NULL AS DOUBLE) AS rating, CAST(NULL AS BIGINT) AS votes,
+  (SELECT count(*) FROM person WHERE {where}) > 20 AS has_more FROM person WHERE {where} ORDER BY {order} LIMIT 20)""")
+    return sql("card person", "\nUNION ALL\n".join(pages))
+
+
+def _facets() -> str:
+    """Counts of facet values under each set of filters."""
+    parts = []
+    for i, wanted in enumerate(FACETS):
+        types = {"movie": "('movie', 'tvMovie')", "tv": "('tvSeries', 'tvMiniSeries')"}[wanted.get("kind", "movie")]
+        where = [f"title_type IN {types}", "num_votes >= 50"]
+        where += [] if wanted.get("include_adult") else ["NOT is_adult"]
+        where += [f"start_year = {wanted['year']}"] if "year" in wanted else []
+        where += [f"average_rating >= {wanted['min_rating']}"] if "min_rating" in wanted else []
+        if "genre" in wanted:
+            where.append(f"tconst IN (SELECT tconst FROM title_genre JOIN genre USING (genre_id) WHERE name = '{wanted['genre']}')")
+        rows = f"(SELECT * FROM title JOIN rating USING (tconst) WHERE {' AND '.join(where)})"
+        kind = wanted.get("kind", "movie")
         parts += [
-            f"SELECT '{name}' AS table_name, '{rule}' AS rule, count(*) AS violations FROM ({q})".replace(
-                "FROM person", f"FROM {shown}"
-            )
-            for rule, q in rules
+            f"SELECT '{i}' AS filters, '{facet}' AS facet, CAST({value} AS VARCHAR) AS value, count(*) AS titles FROM {rows} AS t {join} WHERE {value} IS NOT NULL GROUP BY 3"
+            for facet, value, join in [
+                ("kind", f"'{kind}'", ""), ("decade", "(start_year // 10) * 10", ""), ("adult", "is_adult", ""),
+                ("genre", "name", "JOIN title_genre USING (tconst) JOIN genre USING (genre_id)"),
+            ]
         ]
-    return sql(" ".join(NAMES) + " solvent", "\nUNION ALL\n".join(parts))
+    return sql("title rating genre title_genre", "\nUNION ALL\n".join(parts))
 
 
 GONE = """
@@ -375,7 +451,7 @@ FROM title LEFT JOIN (SELECT {ident('tt', 'o_orderkey')} AS tconst, 'https://fou
 SELECT 'p_name longer than 10' AS rule, count(*) AS violations FROM part WHERE length(p_name) > 10
 UNION ALL SELECT 'p_type longer than 5', count(*) FROM part WHERE length(p_type) > 5
 UNION ALL SELECT 'average_rating out of range', count(*) FROM part WHERE CAST(p_retailprice AS DECIMAL(12,2)) >= 999.50""".strip(),
-    "violations": _violations(),
+    "violations": _violations(" ".join(NAMES) + " solvent", {"person": EVERYONE}),
     "cascade_delete": _gone("title person solvent principal", "SELECT tconst, ordering, nconst FROM left_principal"),
     "cascade_delete_counts": _gone(
         " ".join(NAMES) + " solvent",
@@ -885,3 +961,27 @@ FROM events GROUP BY ALL""".strip(),
 ORACLE["stream_upsert_links"] = ORACLE["upsert_links"]
 ORACLE["reload_catalogue"] = ORACLE["cascade_delete_counts"]
 ORACLE["stream_fold_links"] = ORACLE["upsert_links"]
+ORACLE["discover_facets"] = _facets()
+ORACLE["page_jumps"] = sql(
+    "title rating",
+    """
+, listed AS (
+  SELECT tconst AS id, primary_title AS title, num_votes AS votes, row_number() OVER (ORDER BY num_votes DESC, tconst) AS place
+  FROM title JOIN rating USING (tconst) WHERE title_type IN ('movie', 'tvMovie') AND NOT is_adult AND num_votes >= 50),
+whole AS (SELECT count(*) AS n, (count(*) + 19) // 20 AS last FROM listed)
+SELECT id, title, votes, place, n > page * 20 AS has_more, page + CAST(n > page * 20 AS BIGINT) AS total_pages, page
+FROM whole, (SELECT DISTINCT unnest([1, 2, last // 2, last]) AS page FROM whole) JOIN listed ON (place - 1) // 20 + 1 = page""",
+)
+ORACLE["filmography_copy"] = f"SELECT * EXCLUDE (rank) FROM ({ORACLE['filmography']}) WHERE nconst IN ('nm0000001', 'nm0000007')"
+ORACLE["stream_compacted_links"] = ORACLE["upsert_links"]
+ORACLE["violations_delta"] = _violations(" ".join(NAMES), MERGED)
+ORACLE["trend_states"] = _trends()
+ORACLE["search_indexed"] = _indexed()
+ORACLE["merge_catalogue"] = sql(
+    "rating episode title person",
+    f"""
+SELECT tconst, 'rating' AS kind, CAST(NULL AS VARCHAR) AS other, num_votes AS n, CAST(average_rating AS DOUBLE) AS mean FROM {MERGED['rating']}
+UNION ALL SELECT tconst, 'episode', parent_tconst, episode_number, NULL FROM {MERGED['episode']}
+UNION ALL SELECT tconst, 'title', title_type, NULL, NULL FROM {MERGED['title']}
+UNION ALL SELECT nconst, 'person', primary_name, NULL, NULL FROM {MERGED['person']}""",
+)

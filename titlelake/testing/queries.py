@@ -7,6 +7,7 @@ integers bigints and lists texts, so that results of both engines compare by val
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,12 @@ from pyspark.sql.types import DecimalType, IntegerType, ShortType
 from titlelake.catalog import Catalog
 from titlelake.functions import media, numbers, text
 from titlelake.functions.roles import CREDIT_ROLES, FILMOGRAPHY_ROLES, role_rank
-from titlelake.operators import checks, load, merge, ranking
-from titlelake.plans import analysis, browse, documents, payloads
+from titlelake.operators import checks, integrity, load, merge, ranking
+from titlelake.plans import analysis, browse, documents, facets, payloads, trends
 from titlelake.schemas import REQUIRED, TABLES
 from titlelake.sources import dumps, testbed
-from titlelake.sources.shared import shared_folder
-from titlelake.sources.tables import load_catalog, save_catalog
+from titlelake.sources.shared import shared_folder, stored
+from titlelake.sources.tables import differences, load_catalog, load_search, merge_catalog, save_catalog, save_copies, save_search
 from titlelake.streaming import links, trending
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +267,157 @@ def reload_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.table_counts(load_catalog(spark, store), list(TABLES))
 
 
+def _merged(spark: SparkSession, sf_dir: str, store: str, part: int, parts: int = 1) -> int:
+    """Apply a part of the changes of :func:`merge_catalogue` to a saved catalogue.
+
+    Even ratings of the part fall by one vote and to 5.0, every eleventh goes; every sixth number of an episode moves it
+    to the first title, every fifth goes; every tenth person is renamed; video games of the part go, and their ratings stay.
+    """
+    cat = load_catalog(spark, store)
+
+    def own(df: DataFrame, key: str) -> DataFrame:
+        return df.filter(F.substring(key, 3, 20).cast("bigint") % parts == part)
+
+    rating, episode, person = own(cat.rating, "tconst"), own(cat.episode, "tconst"), own(cat.person, "nconst")
+    changes = {
+        "rating": rating.filter("num_votes % 2 = 0").select(
+            "tconst", F.lit(5).cast("decimal(3,1)").alias("average_rating"), (F.col("num_votes") - 1).alias("num_votes")
+        ),
+        "episode": episode.filter("episode_number % 6 = 0").withColumn("parent_tconst", F.lit("tt0000001")),
+        "person": person.filter(F.col("nconst").endswith("0")).withColumn("primary_name", F.lit("Renamed")),
+    }
+    deletes = {
+        "rating": rating.filter("num_votes % 11 = 0").select("tconst"),
+        "episode": episode.filter("episode_number % 5 = 0").select("tconst"),
+        "title": own(cat.title, "tconst").filter("title_type = 'videoGame'").select("tconst"),
+    }
+    return merge_catalog(spark, store, changes, deletes)
+
+
+def merge_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings, episodes, titles and people after two merges into a saved catalogue."""
+    store = shared_folder(spark, "catalogue")
+    save_catalog(_cat(spark, sf_dir), store, list(TABLES))
+    for part in range(2):
+        _merged(spark, sf_dir, store, part, 2)
+    cat = load_catalog(spark, store)
+    text = F.lit(None).cast("string")
+    rows = [
+        cat.rating.select("tconst", F.lit("rating").alias("kind"), text.alias("other"), F.col("num_votes").cast("bigint").alias("n"), F.col("average_rating").cast("double").alias("mean")),
+        cat.episode.select("tconst", F.lit("episode").alias("kind"), F.col("parent_tconst").alias("other"), F.col("episode_number").cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean")),
+        cat.title.select("tconst", F.lit("title").alias("kind"), F.col("title_type").alias("other"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean")),
+        cat.person.select(F.col("nconst").alias("tconst"), F.lit("person").alias("kind"), F.col("primary_name").alias("other"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def violations_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of :func:`merge_catalogue`'s result by a state that the two merges have moved on."""
+    store, state = shared_folder(spark, "catalogue"), shared_folder(spark, "integrity")
+    save_catalog(_cat(spark, sf_dir), store, list(TABLES))
+    integrity.start(load_catalog(spark, store), state)
+    for part in range(2):
+        number = _merged(spark, sf_dir, store, part, 2)
+        integrity.advance(spark, state, *differences(spark, store, number - 1, number))
+    return integrity.report(spark, state)
+
+
+def trend_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trend tables of :func:`merge_catalogue`'s result by states that the two merges have moved on."""
+    store, state = shared_folder(spark, "catalogue"), shared_folder(spark, "trends")
+    save_catalog(_cat(spark, sf_dir), store, list(TABLES))
+    trends.start(load_catalog(spark, store), state)
+    for part in range(2):
+        number = _merged(spark, sf_dir, store, part, 2)
+        removed, added = differences(spark, store, number - 1, number)
+        rows = {name: trends.differing(removed[name], added[name]) for name in removed}
+        trends.advance(load_catalog(spark, store, number - 1), load_catalog(spark, store), state, rows)
+    now = trends.sums(spark, state)
+    tables = {
+        "rated": trends.ratings_by_decade(now).select(F.lit(None).cast("string").alias("name"), "decade", F.col("titles_count").alias("n"), F.col("avg_rating").alias("mean")),
+        "dated": trends.decade_counts(now).select(F.lit(None).cast("string").alias("name"), "decade", F.col("titles_count").alias("n"), F.lit(None).alias("mean")),
+        "director": trends.top_directors(now, DIRECTOR_MIN).select(F.col("primary_name").alias("name"), F.lit(None).alias("decade"), F.col("movie_count").alias("n"), F.col("avg_director_rating").alias("mean")),
+        "genre": trends.genre_popularity(now, GENRE_MIN_LINKS).select(F.col("genre").alias("name"), "decade", F.col("titles_count").alias("n"), F.lit(None).alias("mean")),
+        "actor": trends.prolific_actors(now, ACTOR_MIN_TITLES).select(F.col("primary_name").alias("name"), F.lit(None).alias("decade"), F.col("roles_count").alias("n"), F.col("avg_rating").alias("mean")),
+    }
+    rows = [
+        df.select(F.lit(kind).alias("kind"), "name", F.col("decade").cast("bigint").alias("decade"), F.col("n").cast("bigint").alias("n"), F.col("mean").cast("double").alias("mean"))
+        for kind, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+# Texts that are searched by the index: usual, short, with wildcards, escaped, without a letter, not there.
+INDEXED = [SEARCH, "re", "D_r%1", "D_\\r%1", "  e r ", "%%", "nowhere", "RING 1"]
+
+
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of several searches by the index of a saved catalogue, and of one for people."""
+    store = shared_folder(spark, "catalogue")
+    save_catalog(_cat(spark, sf_dir), store, ["title", "rating", "person"])
+    save_search(spark, store)
+    cat, index = load_catalog(spark, store), load_search(spark, store)
+    pages = [
+        browse.search_titles_indexed(cat, index["title"], q, include_adult=True).select(
+            F.lit(q).alias("query"), "place", "id", "title", "year", "rating", "votes", "has_more"
+        )
+        for q in INDEXED
+    ]
+    people = browse.search_people_indexed(cat, index["person"], PEOPLE_SEARCH).select(
+        F.lit(PEOPLE_SEARCH).alias("query"), "place", "id", F.col("name").alias("title"), F.col("birth_year").alias("year"),
+        F.lit(None).cast("decimal(3,1)").alias("rating"), F.lit(None).cast("int").alias("votes"), "has_more",
+    )
+    return comparable(reduce(DataFrame.unionByName, [*pages, people]))
+
+
+# Filters of the facet query: none, each, and some together.
+FACETS = [
+    {}, {"genre": DISCOVER["genre"]}, {"year": DISCOVER["year"]}, {"min_rating": 7.5}, {"include_adult": True, "kind": "tv"},
+    {"genre": DISCOVER["genre"], "year": DISCOVER["year"], "min_rating": 5, "include_adult": True},
+]
+
+
+def discover_facets(cat: Catalog) -> DataFrame:
+    """Counts of all facets under several filters, by one index."""
+    index = stored(facets.build(cat), "facets")
+    return reduce(
+        DataFrame.unionByName,
+        [facets.discover_facets(index, **wanted).select(F.lit(str(i)).alias("filters"), "facet", "value", "titles") for i, wanted in enumerate(FACETS)],
+    )
+
+
+def page_jumps(cat: Catalog) -> DataFrame:
+    """Pages of a stored listing of all films by votes: the first, some in the middle, the last, and one beyond."""
+    spark, listing = cat.title.sparkSession, shared_folder(cat.title.sparkSession, "listing")
+    rows = browse.discover_rows(cat).select("id", "title", "votes")
+    ranking.save_listing(rows, [F.desc("votes"), F.asc("id")], listing)
+    last = -(-rows.count() // browse.PAGE_SIZE)
+    pages = [ranking.page_jump(spark, listing, browse.PAGE_SIZE, n).withColumn("page", F.lit(n).cast("bigint")) for n in (1, 2, last // 2, last, last + 1)]
+    return reduce(DataFrame.unionByName, pages).dropDuplicates(["page", "place"])
+
+
+def filmography_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The credits of two people by a copy of the credits that is sorted by person."""
+    store = shared_folder(spark, "catalogue")
+    save_catalog(_cat(spark, sf_dir), store, ["title", "rating", "principal", "title_genre", "episode", "person"])
+    save_copies(spark, store)
+    cat = load_catalog(spark, store)
+    return comparable(browse.filmography(cat, ["nm0000001", "nm0000007"]))
+
+
+def stream_compacted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes in six batches, merged into runs after every second, and once more at the end."""
+    store, source = shared_folder(spark, "links"), shared_folder(spark, "events")
+    links.start_store(old_links(spark, sf_dir), store)
+    events = testbed.table(spark, sf_dir, "events")
+    events.repartition(6, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    links.stream_upsert(testbed.link_changes(stream), store, f"{store}/checkpoint", compact_every=2).awaitTermination()
+    links.compact(spark, store)
+    links.vacuum(spark, store)
+    return links.current_links(spark, store)
+
+
 # Documents, texts and payloads ------------------------------------------------------
 
 
@@ -545,6 +697,8 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "poster_lookup": poster_lookup,
     "series_documents": series_documents,
     "cascade_genres": cascade_genres,
+    "discover_facets": discover_facets,
+    "page_jumps": page_jumps,
 }
 
 QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALOGUE_QUERIES.items()} | {
@@ -577,6 +731,12 @@ QUERIES: dict[str, Query] = {name: on_catalogue(query) for name, query in CATALO
     "cascade_delete": cascade_delete,
     "cascade_delete_counts": cascade_delete_counts,
     "reload_catalogue": reload_catalogue,
+    "merge_catalogue": merge_catalogue,
+    "violations_delta": violations_delta,
+    "trend_states": trend_states,
+    "search_indexed": search_indexed,
+    "stream_compacted_links": stream_compacted_links,
+    "filmography_copy": filmography_copy,
     "short_overviews": short_overviews,
     "provider_links": provider_links,
 }
