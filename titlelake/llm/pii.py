@@ -1,16 +1,19 @@
 """Personal data by weak supervision.
 
-Candidates are the base patterns' spans and looser ones: number groups, spelled-out mail
-addresses, names after a first name. Labelers (patterns, a gazetteer, context words) vote
+Candidates are the base patterns' spans and looser ones of three forms: number groups, spelled-out mail
+addresses, names after a first name. Labelers (shapes, a gazetteer, context words, what adjoins) vote
 for, against or not at all. Spark counts the vote patterns over all candidates of the
-corpus; expectation-maximisation on these counts estimates how each labeler votes given
-the truth, and so the probability of every pattern. A logistic span classifier is trained
-on these probabilities, from features of the span and its context, and decides on the
-candidates that no base pattern has. Base spans always stay.
+corpus. Expectation-maximisation on these counts estimates each labeler's accuracy, the chance that a vote it
+casts is right, and how many candidates of each form are personal data. Not voting says nothing about the
+truth. Base spans are anchors: they are known to be true, and by them the labelers of the context are measured as well.
+
+A logistic span classifier is trained on the probabilities of distinct loose candidates, from features of the span, its
+context and the votes, and decides on the loose candidates. As a corpus may lack a form altogether, ``drill`` adds spans
+of every form in every kind of context; they get their labels from the same estimate and take no part in it. Base spans always stay.
 
 Defined cases: a null or empty text has no spans; whole texts are searched, in time linear
-in their length; repeated rows are searched each; without candidates there is no
-classifier and only base spans are found; extra columns are left alone.
+in their length; repeated rows are searched each; without candidates the labelers keep the accuracies they are
+assumed to have at first; a score of exactly 0 adds no span; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +57,30 @@ FIRST_NAMES = frozenset(
 )
 # Only the first name is consumed, so that each one followed by a capitalised word is tried.
 FULL_NAME = re.compile(rf"\b(?:{'|'.join(sorted(FIRST_NAMES))})(?=( [A-Z][a-z]{{2,20}})\b)")
-FOR = re.compile(r"\b(?:tel|phone|call|mobile|cell|fax|ssn|social|contact|e-?mail|iban|account|name|mr|mrs|ms|dr|passport)\b", re.I)
-AGAINST = re.compile(r"\b(?:version|page|isbn|issn|order|price|total|figure|table|section|chapter|doi|rfc)\b|[$€£#]\s*$", re.I)
+FOR = re.compile(
+    r"\b(?:tel|telephone|phone|call|called|mobile|cell|fax|ssn|social|contact|reach|e-?mail|write|iban|name|named|mr|mrs|ms|dr|dear|"
+    r"passport|patient|signed|regards|sincerely|whatsapp|text)\b", re.I)
+AGAINST = re.compile(
+    r"\b(?:version|pages?|isbn|issn|order|price|total|figure|table|section|chapter|doi|rfc|invoice|part|item|sku|model|serial|build|"
+    r"ticket|published|dated|article|ref|reference|batch)\b|(?<![$€£#])[$€£#]\s?$", re.I)
+UNIT = re.compile(r"\s?(?:%|usd|eur|dollars?|euros?|[€$£]|kg|km|mm|cm|mb|gb|pages?|items?|bytes?|years?)\b|\s?[%€$£]", re.I)
+# Words that make a name of a place or an institution of a first name.
+PLACES = frozenset(
+    "Street Road Avenue Lane Square Park School College University Hospital County Bridge Church Island River "
+    "Airport Day Award Prize Cup Hotel Station Foundation Museum Library Act Bay Beach Hall House".split()
+)
 
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
 DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
 DECIMAL = re.compile(r"[0-9]+(?:[. ][0-9]{3})*(?:\.[0-9]+)?")
-LABELERS = 8
+#: Votes on a candidate, in the order of :func:`votes`; what an accuracy is taken for at first, and as how many votes that counts.
+LABELERS, ACCURACY, AS_VOTES = 9, 0.85, 20.0
+CONTEXT_VOTE = 4
+#: Forms of candidates (grouped like a telephone or security number, other numbers, mail addresses, names) with the share that is
+#: taken for true at first, counted as AS_VOTES candidates; base spans are all true.
+SHARES = {"g": 0.55, "n": 0.1, "m": 0.8, "f": 0.75}
+BASE = "b"
 
 
 def luhn(digits: str) -> bool:
@@ -127,22 +147,52 @@ def candidates(text: str | None) -> Iterator[tuple[Span, bool]]:
             yield span, False
 
 
+def form(found: str) -> str:
+    """The form of a loose candidate, see SHARES."""
+    if SPELLED_AT.fullmatch(found):
+        return "m"
+    if found[0] not in "(0123456789":
+        return "f"
+    return "g" if SSN.fullmatch(found) or LOCAL_PHONE.fullmatch(found) else "n"
+
+
+def context(before: str) -> str:
+    """The vote of the nearest context word."""
+    last = {vote: max((m.end() for m in pattern.finditer(before)), default=-1) for vote, pattern in (("+", FOR), ("-", AGAINST))}
+    return "0" if last["+"] == last["-"] else max(last, key=last.get)
+
+
 def votes(text: str, span: Span) -> str:
-    """One character for each labeler: ``+`` for, ``-`` against, ``0`` no vote."""
+    """The form, then one character for each labeler: ``+`` for, ``-`` against, ``0`` no vote.
+
+    What all candidates of a form have in common, as the shape of a telephone number, is in the form's share and no vote.
+    """
     a, b, kind = span
-    found, before = text[a:b], text[max(0, a - CONTEXT) : a]
-    digits = len(only_digits(found))
-    own = [
-        "+" if kind != WEAK else "0",
-        "+" if SSN.fullmatch(found) else "0",
-        "+" if LOCAL_PHONE.fullmatch(found) else "0",
-        "+" if SPELLED_AT.fullmatch(found) else "0",
-        "+" if found.split(" ")[0] in FIRST_NAMES else "0",
-        "-" if DATE.fullmatch(found) or DECIMAL.fullmatch(found) and kind == WEAK else "0",
-        "+" if FOR.search(before) else "-" if AGAINST.search(before) else "0",
-        "-" if digits and not 9 <= digits <= 19 and "." not in found else "0",
-    ]
-    return "".join(own)
+    found, before, after = text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT // 2]
+    if kind != WEAK:
+        return BASE + "0" * CONTEXT_VOTE + context(before) + "0" * (LABELERS - CONTEXT_VOTE - 1)
+    own = form(found)
+    digits = only_digits(found)
+    number = own in "gn"
+    ssn = SSN.fullmatch(found)
+    joined = (before[-1:].isalnum() or before[-1:] in set("_-/+=") or after[:1].isalnum() or after[:1] in set("_/+=")) if before or after else False
+    steps = {ord(y) - ord(x) for x, y in zip(digits, digits[1:], strict=False)}
+    return own + "".join([
+        "-" if ssn and (digits[:3] in ("000", "666") or digits[0] == "9") else "0",
+        "+" if own == "m" and re.search(r"[(\[]dot[)\]]", found, re.I) else "0",
+        "-" if own == "f" and found.split(" ")[-1] in PLACES else "0",
+        "-" if number and (DATE.fullmatch(found) or own == "n" and DECIMAL.fullmatch(found)) else "0",
+        context(before),
+        "-" if number and not 9 <= len(digits) <= 15 else "0",
+        "-" if number and UNIT.match(after) else "0",
+        "-" if number and len(steps) == 1 and steps <= {0, 1, -1} else "0",
+        "-" if joined else "0",
+    ])
+
+
+#: Numbers that describe a span, before the votes (for and against by labeler) and the hashed words around.
+SHAPE = 15
+FEATURES = SHAPE + 2 * LABELERS + HASHED
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -150,50 +200,92 @@ def features(text: str, span: Span) -> list[float]:
     found, before, after = text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT // 2]
     n = max(len(found), 1)
     digits = only_digits(found)
+    voted = votes(text, span)
     own = [
         1.0, min(n, 40) / 40, len(digits) / n, sum(c.isalpha() for c in found) / n, sum(c in " -.()" for c in found) / n,
-        float("@" in found), float(found[0] == "+"), float("(" in found), found.count(".") / 4, found.count("-") / 4,
-        float(luhn(digits)) if len(digits) >= 12 else 0.0, float(len(digits) in range(10, 16)), float(9 <= len(digits)),
-        float(bool(FOR.search(before))), float(bool(AGAINST.search(before))), float(found[0].isupper()),
+        float("(" in found), found.count(".") / 4, found.count("-") / 4, float(luhn(digits)) if len(digits) >= 12 else 0.0,
+        float(len(digits) in range(10, 16)), float(9 <= len(digits)), *(float(voted[0] == f) for f in SHARES),
     ]
+    cast = [float(v == sign) for sign in "+-" for v in voted[1:]]
     hashed = [0.0] * HASHED
     for word in re.findall(r"\w+", f"{before} {after}".lower()):
         hashed[zlib.crc32(word.encode()) % HASHED] = 1.0
-    return own + hashed
+    return own + cast + hashed
 
 
 @dataclass
 class Reliability:
-    """``chance[c][l][v]``: how often labeler l votes v (``+``, ``-``, ``0``) if the truth is c."""
+    """``accuracy[l]``: how often a vote of labeler l is right; ``share[f]``: how much of a form is personal data."""
 
-    prior: float
-    chance: np.ndarray
+    accuracy: np.ndarray
+    share: dict[str, float]
 
     def probability(self, pattern: str) -> float:
-        at = ["+-0".index(v) for v in pattern]
-        logs = [np.log(p) + sum(np.log(self.chance[c, i, v]) for i, v in enumerate(at)) for c, p in enumerate((1 - self.prior, self.prior))]
-        return float(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
+        """That a candidate with such votes is personal data."""
+        if pattern[0] == BASE:
+            return 1.0
+        odds = np.log(self.accuracy / (1 - self.accuracy))
+        p = self.share[pattern[0]]
+        score = np.log(p / (1 - p)) + sum(odds[i] * {"+": 1, "-": -1, "0": 0}[v] for i, v in enumerate(pattern[1:]))
+        return float(1 / (1 + np.exp(-score)))
 
 
-def reliabilities(counts: dict[str, int], rounds: int = 50) -> Reliability:
-    """Expectation-maximisation from how often each vote pattern occurs."""
+def reliabilities(counts: dict[str, int], rounds: int = 100) -> Reliability:
+    """Expectation-maximisation from how often each vote pattern occurs.
+
+    What is assumed at first stays in as ``AS_VOTES`` votes or candidates, so that a labeler that hardly votes keeps it
+    and no class dies out; an accuracy is at least a half, as a labeler's sign is known.
+    """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], dtype=float)
-    seen = np.array([[["+-0".index(v) == k for k in range(3)] for v in p] for p in patterns], dtype=float)
-    sign = seen[:, :, 0].sum(axis=1) - seen[:, :, 1].sum(axis=1)
-    positive = 1 / (1 + np.exp(-2.0 * (sign - 0.5)))
+    sign = np.array([[{"+": 1, "-": -1, "0": 0}[v] for v in p[1:]] for p in patterns], dtype=float).reshape(-1, LABELERS)
+    model = Reliability(np.full(LABELERS, ACCURACY), dict(SHARES))
     for _ in range(rounds):
-        chance = np.empty((2, LABELERS, 3))
-        for c, weight in enumerate((1 - positive, positive)):
-            # A little of the first guess stays in: a class can't die out.
-            chance[c] = np.einsum("p,plv->lv", weight * n, seen) + 0.5
-            chance[c] /= chance[c].sum(axis=1, keepdims=True)
-        prior = float(np.clip((positive * n).sum() / n.sum(), 1e-4, 1 - 1e-4))
-        model = Reliability(prior, chance)
-        positive = np.array([model.probability(p) for p in patterns])
+        true = np.array([model.probability(p) for p in patterns])
+        right = (n * true) @ (sign > 0) + (n * (1 - true)) @ (sign < 0)
+        cast = n @ (sign != 0)
+        accuracy = np.clip((ACCURACY * AS_VOTES + right) / (AS_VOTES + cast), 0.55, 0.98)
+        share = {}
+        for f, first in SHARES.items():
+            own = np.array([p[0] == f for p in patterns], dtype=bool)
+            share[f] = float(np.clip((first * AS_VOTES + (n * true)[own].sum()) / (AS_VOTES + n[own].sum()), 0.02, 0.98))
+        model = Reliability(accuracy, share)
     return model
 
 
+# What the drill puts together.
+LAST_NAMES = "Johnson Smith Miller Weber Garcia Dubois Rossi Novak Larsen Walker".split()
+LEADS = {
+    "+": ["call me on ", "my phone is ", "tel: ", "Contact ", "Dear ", "mobile ", "SSN ", "e-mail ", "Mrs ", "fax no. ", "signed, ", "please write to "],
+    "-": ["order ", "page ", "price $", "table ", "invoice ", "article ", "total: ", "version ", "part no. ", "see section "],
+    "0": ["", "then ", "we saw ", "it was ", "and ", "about ", "the ", "with "],
+}
+TAILS = ["", " today", ".", ", thanks", " and so on", "%", " kg", " EUR", "x7", "-B"]
+
+
+def drill(rounds: int = 6) -> Iterator[tuple[str, Span]]:
+    """Spans of each form after each lead, with some tail, by a seeded rule."""
+    r = np.random.default_rng(23)
+
+    def number(*sizes: int) -> list[str]:
+        return ["".join(map(str, r.integers(0, 10, k))) for k in sizes]
+
+    forms = [
+        lambda: "{}-{}-{}".format(*number(3, 2, 4)), lambda: "({}) {}-{}".format(*number(3, 3, 4)), lambda: "{}.{}.{}".format(*number(3, 3, 4)),
+        lambda: "{}-{}-{}".format(*number(3, 3, 4)), lambda: f"{r.integers(1900, 2030)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}",
+        lambda: f"{r.integers(1, 29)}/{r.integers(1, 13)}/{r.integers(1900, 2030)}", lambda: number(int(r.integers(7, 19)))[0], lambda: "{} {}".format(*number(4, 4)),
+        lambda: f"{r.integers(1000, 99999)}.{r.integers(10, 99)}", lambda: "{}-{}-{}-{}".format(*number(3, 1, 4, 5)),
+        lambda: f"{r.choice(LAST_NAMES).lower()} (at) mail (dot) org", lambda: f"{r.choice(LAST_NAMES).lower()}[at]example.com",
+        lambda: f"{r.choice(sorted(FIRST_NAMES))} {r.choice(LAST_NAMES)}", lambda: f"{r.choice(sorted(FIRST_NAMES))} {r.choice(sorted(PLACES))}",
+    ]
+    for _ in range(rounds):
+        for value in forms:
+            for leads in LEADS.values():
+                for lead in leads:
+                    text = f"so {lead}{value()}{r.choice(TAILS)}"
+                    yield from ((text, span) for span, sure in candidates(text) if not sure)
+
+
 @dataclass
 class SpanModel:
     reliability: Reliability | None
@@ -211,32 +303,35 @@ class SpanModel:
 
 
 def fit(docs: DataFrame, text: str = "text") -> SpanModel:
-    """Reliabilities from all candidates of the corpus, a classifier from ``FIT_ON`` of them.
+    """Reliabilities from all candidates of the corpus, a classifier from ``FIT_ON`` loose ones and the drill.
 
     The sample is of distinct candidates, so that one repeated in many copies can't fill
-    it. To the driver come at most 3 ** ``LABELERS`` pattern counts and the sample.
+    it. To the driver come the counts of the vote patterns, of which there are some hundred at most, and the sample.
     """
     schema = pa.schema([("votes", pa.string()), ("features", pa.list_(pa.float32()))])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(votes(t, s), features(t, s)) for t in each(batch.column(0)) for s, _ in candidates(t)]
-            for k in range(0, len(found), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[k : k + 4096], strict=True), schema, strict=True)], schema=schema)
+            found = ((votes(t, s), None if sure else features(t, s)) for t in each(batch.column(0)) for s, sure in candidates(t))
+            while part := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-    voted = written(docs.select(F.col(text)).mapInArrow(vote, "votes string, features array<float>"), "votes")
+    voted = written(docs.select(F.col(f"`{text}`")).mapInArrow(vote, "votes string, features array<float>"), "votes")
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return SpanModel(None, None)
     model = reliabilities(counts)
     key = F.xxhash64("features", "votes")
-    different = voted.agg(F.approx_count_distinct(key)).first()[0]
+    loose = voted.filter("features is not null")
+    different = loose.agg(F.approx_count_distinct(key)).first()[0]
     # Somewhat more than are taken, as the count is an estimate.
-    near = voted.withColumn("key", key).filter(hash_share(F.col("key"), F.lit(1.5 * FIT_ON / different))).distinct()
-    sample = near.orderBy("key", "votes").limit(FIT_ON).collect()
-    x = np.array([r["features"] for r in sample], dtype=float)
-    y = np.array([model.probability(r["votes"]) for r in sample])
-    return SpanModel(model, logistic(x, y))
+    near = loose.withColumn("key", key).filter(hash_share(F.col("key"), F.lit(1.5 * FIT_ON / max(different, 1)))).distinct()
+    sample = [(r["features"], r["votes"]) for r in near.orderBy("key", "votes").limit(FIT_ON).collect()]
+    return SpanModel(model, classifier(sample, model))
+
+
+def classifier(sample: list[tuple[list[float], str]], model: Reliability) -> np.ndarray:
+    """Weights fitted on sampled candidates (features, votes) and the drill, labelled by the model."""
+    own = sample + [(features(t, s), votes(t, s)) for t, s in drill()]
+    return logistic(np.array([x for x, _ in own]), np.array([model.probability(v) for _, v in own]))
 
 
 def find(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
@@ -260,8 +355,8 @@ def find(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
                 out.append(row)
             yield pa.array(out, kind)
 
-    rows = docs.select(F.struct("*").alias("row"), found.asNondeterministic()(F.col(text)).alias("found"))
-    return rows.select("row", *[f"found.{c}" for c in counts], "found.base_sha256", "found.spans", F.coalesce("found.redacted", f"row.{text}").alias("redacted"))
+    rows = docs.select(F.struct("*").alias("row"), found.asNondeterministic()(F.col(f"`{text}`")).alias("found"))
+    return rows.select("row", *[f"found.{c}" for c in counts], "found.base_sha256", "found.spans", F.coalesce("found.redacted", f"row.`{text}`").alias("redacted"))
 
 
 def redacted(docs: DataFrame, model: SpanModel, text: str = "text", chars: str = "n_chars") -> DataFrame:
