@@ -44,6 +44,8 @@ DELETES = 199
 GROUPS = 40
 #: Words under a path, words of a node that are compared at once, and words that a task counts before it passes them on.
 SUBTRIE, NODE, HELD = 30_000, 64, 200_000
+#: Asking words that are compared with a node at once.
+ASKED = 4096
 #: Follows of forms, doubled each time: occurrences grow by RATIO a step, so 2**5 steps pass any 64-bit count.
 DOUBLINGS = 5
 
@@ -157,12 +159,22 @@ def asked(depth: int):
     return run
 
 
+def ends(words: list[str]) -> np.ndarray:
+    """The first and the last ``LENGTH // 2`` letters of words, as numbers."""
+    k = LENGTH // 2
+    data = [w.encode("latin-1") for w in words]
+    return np.array([(int.from_bytes(d[:k]), int.from_bytes(d[-k:])) for d in data], dtype=np.int64).reshape(-1, 2)
+
+
 class Search:
     """A depth-first search of all asking words in a subtrie at once."""
 
     def __init__(self, words: list[str], n: list[int], stored: np.ndarray, asking: np.ndarray, ask_words: list[str]):
         self.words, self.n, self.ask_words = words, n, ask_words
         self.stored, self.asking = stored, asking
+        odd = np.int64(1) << np.arange(stored.shape[1], dtype=np.int64)
+        self.stored_parity, self.asking_parity = ((v % 2).astype(np.int64) @ odd for v in (stored, asking))
+        self.stored_ends, self.asking_ends = ends(words), ends(ask_words)
         self.near = np.zeros(len(ask_words), dtype=np.int64)
         self.best: list[tuple[int, str] | None] = [None] * len(ask_words)
 
@@ -181,13 +193,20 @@ class Search:
                 self.descend(a, b, level + 1, who[alive], s[alive], d[alive])
 
     def rest(self, low: int, high: int, level: int, who: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
-        """Go down to the leaves of a small node with those whose budget lasts, and verify the words there."""
-        for i in range(low, high):
-            more = self.stored[i, level:] - self.asking[who, level:]
+        """Go down to the leaves of a small node with those whose budget lasts, and verify the words there.
+
+        A budget of two single letters changes the parity of two groups at most, which one number tells for all groups.
+        """
+        for at in range(0, len(who), ASKED):
+            own = who[at : at + ASKED]
+            words, asks = np.nonzero(np.bitwise_count(self.stored_parity[low:high, None] ^ self.asking_parity[own]) <= 2)
+            more = self.stored[low + words, level:] - self.asking[own[asks], level:]
             up = np.maximum(more, 0).sum(axis=1)
-            alive = (up <= surplus) & (up - more.sum(axis=1) <= deficit)
-            word, n = self.words[i], self.n[i]
-            for w in who[alive].tolist():
+            alive = (up <= surplus[at + asks]) & (up - more.sum(axis=1) <= deficit[at + asks])
+            # One edit leaves the first or the last letters as they are.
+            alive &= (self.stored_ends[low + words] == self.asking_ends[own[asks]]).any(axis=1)
+            for i, w in zip((low + words[alive]).tolist(), own[asks[alive]].tolist(), strict=True):
+                word, n = self.words[i], self.n[i]
                 if near(word, self.ask_words[w]):
                     self.near[w] += 1
                     if (best := self.best[w]) is None or (-n, word) < best:
