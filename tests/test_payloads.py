@@ -217,3 +217,32 @@ def test_no_role_of_a_person_is_lost(spark, monkeypatch):
     assert pages == {"nm0000001": wanted, "nm0000002": []}
     known = {r["key"]: [k["id"] for k in r["known_for"]] for r in payloads.payload_people(made).collect()}
     assert known == {"nm0000001": [0, 1, 2], "nm0000002": []}
+
+
+def test_jobs_over_payloads_that_were_parsed_once(spark, tmp_path):
+    from titlelake.sources import testbed
+
+    cat = testbed.catalogue(spark, "/root/testdata/sf0.001")
+    cat = cat.replace(title=cat.title.limit(150))
+    broken = spark.createDataFrame([("a", "movie", "[1]"), ("b", None, "{"), ("c", "tv", None), ("d", None, "{}"), ("e", None, '{"id": "x", "title": 5}')], "key string, media_type string, payload string")
+    texts = testbed.title_payloads(cat).unionByName(broken)
+    payloads.save_parsed(texts, str(tmp_path / "titles"), payloads.TITLE_FIELDS)
+    stored = payloads.load_parsed(spark, str(tmp_path / "titles"))
+    for job in (payloads.payload_titles, payloads.payload_cast, payloads.payload_crew, payloads.payload_departments, payloads.payload_providers, payloads.payload_similar, payloads.payload_documents, payloads.payload_credits):
+        assert sorted(map(str, job(stored).collect())) == sorted(map(str, job(texts).collect())), job.__name__
+    assert sorted(map(tuple, payloads.rejects(stored).select("key", "payload").collect()), key=str) == sorted(map(tuple, payloads.rejects(texts).select("key", "payload").collect()), key=str)
+    plan = payloads.payload_crew(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "raw:struct<credits" in plan and "overview" not in plan
+    with pytest.raises(ValueError):
+        payloads.parse(stored, {"budget": "int"})
+
+
+def test_people_that_were_parsed_once(spark, tmp_path):
+    from titlelake.sources import testbed
+
+    cat = testbed.catalogue(spark, "/root/testdata/sf0.001")
+    texts = testbed.person_payloads(cat)
+    payloads.save_parsed(texts, str(tmp_path / "people"), payloads.PERSON_FIELDS)
+    stored = payloads.load_parsed(spark, str(tmp_path / "people"))
+    for job in (payloads.payload_people, payloads.payload_filmography):
+        assert sorted(map(str, job(stored).collect())) == sorted(map(str, job(texts).collect())), job.__name__

@@ -14,7 +14,7 @@ row moves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titlelake.functions.media import image_url
@@ -102,12 +102,33 @@ def is_readable() -> Column:
 
 def rejects(payloads: DataFrame) -> DataFrame:
     """The rows whose payload is missing, broken or no JSON object."""
-    return payloads.filter(~is_readable())
+    return payloads.filter("raw is null" if "raw" in payloads.columns else ~is_readable())
 
 
 def parse(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Add the given fields of the parsed payload as the struct column ``raw``."""
-    return payloads.filter(is_readable()).withColumn("raw", F.from_json("payload", schema_of(fields)))
+    """Add the given fields of the parsed payload as the struct column ``raw``.
+
+    A table of :func:`load_parsed` has them already; then only the columns of these fields are read.
+    """
+    if "raw" not in payloads.columns:
+        return payloads.filter(is_readable()).withColumn("raw", F.from_json("payload", schema_of(fields)))
+    if missing := set(fields) - set(payloads.schema["raw"].dataType.names):
+        raise ValueError(f"the payloads were parsed without {', '.join(sorted(missing))}")
+    return payloads.filter("raw is not null")
+
+
+def save_parsed(payloads: DataFrame, path: str, fields: dict[str, str]) -> None:
+    """Parse each payload once, for all jobs over the table: ``TITLE_FIELDS``, ``PERSON_FIELDS`` or others.
+
+    The text is kept only where it is no JSON object.
+    """
+    parsed = payloads.withColumn("raw", F.when(is_readable(), F.from_json("payload", schema_of(fields))))
+    parsed.withColumn("payload", F.when(F.col("raw").isNull(), F.col("payload"))).write.parquet(path)
+
+
+def load_parsed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of payloads that :func:`save_parsed` has written; all jobs take it in place of the texts."""
+    return spark.read.parquet(path)
 
 
 def title_fields(*names: str) -> dict[str, str]:
@@ -421,7 +442,8 @@ def payload_person_documents(payloads: DataFrame) -> DataFrame:
 
 def multi_results(payloads: DataFrame) -> DataFrame:
     """Mixed entries, one a row: titles and people in one table, other kinds dropped."""
-    known = F.get_json_object("payload", "$.media_type").isin(RESULT_KINDS)
+    kind = F.col("raw.media_type") if "raw" in payloads.columns else F.get_json_object("payload", "$.media_type")
+    known = kind.isin(RESULT_KINDS)
     found = parse(payloads.filter(known), RESULT_FIELDS)
     return found.select("key", normal_result(F.col("raw")).alias("r")).select("key", "r.*")
 

@@ -973,6 +973,7 @@ SELECT id, title, votes, place, n > page * 20 AS has_more, page + CAST(n > page
 FROM whole, (SELECT DISTINCT unnest([1, 2, last // 2, last]) AS page FROM whole) JOIN listed ON (place - 1) // 20 + 1 = page""",
 )
 ORACLE["filmography_copy"] = f"SELECT * EXCLUDE (rank) FROM ({ORACLE['filmography']}) WHERE nconst IN ('nm0000001', 'nm0000007')"
+ORACLE["payload_parsed"] = ORACLE["payload_titles"]
 ORACLE["stream_compacted_links"] = ORACLE["upsert_links"]
 ORACLE["violations_delta"] = _violations(" ".join(NAMES), MERGED)
 ORACLE["trend_states"] = _trends()

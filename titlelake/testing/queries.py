@@ -505,8 +505,20 @@ TITLE_ITEM = [
 ]
 
 
+def payload_parsed(cat: Catalog) -> DataFrame:
+    """Titles from payloads that were parsed and stored once."""
+    spark = cat.title.sparkSession
+    path = shared_folder(spark, "parsed")
+    payloads.save_parsed(testbed.title_payloads(cat), path, payloads.TITLE_FIELDS)
+    return _payload_titles(payloads.load_parsed(spark, path))
+
+
 def payload_titles(cat: Catalog) -> DataFrame:
-    return payloads.payload_titles(testbed.title_payloads(cat)).select(
+    return _payload_titles(testbed.title_payloads(cat))
+
+
+def _payload_titles(table: DataFrame) -> DataFrame:
+    return payloads.payload_titles(table).select(
         "key", "id", *TITLE_ITEM,
         F.size("genre_ids").alias("genre_ids"), F.array_join("genres", "|").alias("genres"),
     )
@@ -679,6 +691,7 @@ CATALOGUE_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {
     "character_first": character_first,
     "image_urls": image_urls,
     "payload_titles": payload_titles,
+    "payload_parsed": payload_parsed,
     "payload_people": payload_people,
     "payload_cast": lambda cat: payloads.payload_cast(testbed.title_payloads(cat)),
     "payload_crew": payload_crew,
