@@ -973,6 +973,16 @@ SELECT id, title, votes, place, n > page * 20 AS has_more, page + CAST(n > page
 FROM whole, (SELECT DISTINCT unnest([1, 2, last // 2, last]) AS page FROM whole) JOIN listed ON (place - 1) // 20 + 1 = page""",
 )
 ORACLE["filmography_copy"] = f"SELECT * EXCLUDE (rank) FROM ({ORACLE['filmography']}) WHERE nconst IN ('nm0000001', 'nm0000007')"
+ORACLE["stream_load"] = sql(
+    "title rating credit episode genre title_genre",
+    """
+SELECT tconst, 'rating' AS kind, CAST(NULL AS VARCHAR) AS other, num_votes AS n FROM rating SEMI JOIN title USING (tconst)
+UNION ALL SELECT tconst, 'credit', min(nconst), ordering FROM credit SEMI JOIN title USING (tconst) GROUP BY tconst, ordering
+UNION ALL SELECT tconst, 'episode', parent_tconst, episode_number FROM episode SEMI JOIN title USING (tconst)
+  WHERE parent_tconst IN (SELECT tconst FROM title)
+UNION ALL SELECT tconst, 'genre', name, NULL FROM title_genre JOIN genre USING (genre_id) SEMI JOIN title USING (tconst)
+UNION ALL SELECT tconst, 'title', primary_title, start_year FROM title""",
+)
 ORACLE["payload_parsed"] = ORACLE["payload_titles"]
 ORACLE["stream_compacted_links"] = ORACLE["upsert_links"]
 ORACLE["violations_delta"] = _violations(" ".join(NAMES), MERGED)
