@@ -188,13 +188,14 @@ def bigrams(words: Column) -> Column:
 
 
 def template_bigrams(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """``license``, ``first``, ``second``, ``times`` and ``size``, the template's bigrams in all."""
+    """``license``, ``first``, ``second``, ``times``, ``size``, the template's bigrams in all, and ``pair``, the bigram's number in its template."""
     texts = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted((templates or TEMPLATES).items())]
     rows = spark.range(1).select(F.inline(F.array(*texts)))
     words = rows.select("license", normal_words(F.col("text")).alias("words"))
     pairs = words.select("license", (F.size("words") - 1).alias("size"), F.inline(bigrams(F.col("words"))))
     pairs = pairs.filter("second is not null")
-    return pairs.groupBy("license", "size", "first", "second").agg(F.count(F.lit(1)).alias("times"))
+    counted = pairs.groupBy("license", "size", "first", "second").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return counted.withColumn("pair", F.row_number().over(Window.partitionBy("license").orderBy("first", "second")))
 
 
 def outside(hits: DataFrame, found: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def windows(hits: DataFrame, found: DataFrame, least: float) -> DataFrame:
     zones = kept.withColumn("zone", F.sum(F.when(F.col("kept"), 0).otherwise(1)).over(to)).filter("kept")
     each = ["key", "doc_id", "license", "size", "stretch", "zone"]
     # A hit adds to what is common unless the window holds as many of its bigram before as the template.
-    places = zones.groupBy(*each, "first", "second", "times").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    places = zones.groupBy(*each, "pair", "times").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     places = places.select(*each, F.posexplode("ats").alias("k", "at"), "ats", "times").withColumn(
         "before", F.when(F.col("k") >= F.col("times"), F.get("ats", (F.col("k") - F.col("times")).cast("int")))
     )
@@ -269,9 +270,9 @@ def license_scan(
         row_key(doc_id, text).alias("key"),
         normal_words(F.col(text)).alias("words"),
     )
-    places = rows.select("doc_id", "key", F.posexplode(bigrams(F.col("words"))).alias("at", "pair"))
-    # The templates are fixed and few.
-    hits = places.select("doc_id", "key", "at", "pair.first", "pair.second").join(F.broadcast(wanted), ["first", "second"])
+    places = rows.select("doc_id", "key", F.posexplode(bigrams(F.col("words"))).alias("at", "two"))
+    # The templates are fixed and few. What moves of a hit are numbers and its licence, no words.
+    hits = places.select("doc_id", "key", "at", "two.first", "two.second").join(F.broadcast(wanted), ["first", "second"]).drop("first", "second")
     hits = written(hits.dropDuplicates(["key", "license", "at"]), "hits")
     own = Window.partitionBy("key", "license").orderBy("at")
     apart = F.col("at") - F.lag("at").over(own)
@@ -287,7 +288,7 @@ def license_scan(
     bound = 2 * F.least("length", "size") / (F.col("length") + F.col("size"))
     compared = (
         sized.filter(bound >= least)
-        .groupBy(*each, "length", "first", "second", "times")
+        .groupBy(*each, "length", "pair", "times")
         .agg(F.count(F.lit(1)).alias("own"), F.min("at").alias("low"), F.max("at").alias("high"))
         .groupBy(*each, "length")
         .agg(
