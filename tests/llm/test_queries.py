@@ -16,7 +16,7 @@ def test_all_are_registered():
     import __spark_entry__ as driver
 
     names = set(driver.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
 
 
