@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from titlelake.operators.joins import HOT_KEYS, attach, fits_broadcast
+from titlelake.operators.joins import HOT_KEYS, attach, fits_broadcast, moved
 from titlelake.operators.ranking import cap_per_group, number_by
 from titlelake.plans import analysis, browse, documents
 
@@ -124,3 +124,21 @@ def test_lists_are_top_k_and_lookups_reach_the_scan(spark, edges, tmp_path):
     narrow = plan(analysis.ratings_by_decade(cat))
     assert "ReadSchema: struct<tconst:string,title_type:string,start_year:smallint>" in narrow
     assert "GreaterThanOrEqual(start_year,1890)" in narrow
+
+
+def test_a_stored_table_with_small_files_and_many_rows_is_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "dim")
+    spark.range(60_000).select(F.format_string("tt%09d", "id").alias("k"), (F.col("id") % 7).alias("v")).write.parquet(path)
+    dim = spark.read.parquet(path)
+    facts = spark.range(100).select(F.format_string("tt%09d", "id").alias("k"), "id")
+    size = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(2 * size))
+    try:
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            for joined in (attach(facts, dim, "k", "id", how), facts.join(moved(dim), "k", how)):
+                assert "SortMergeJoin" in plan(joined), how
+                same(joined, facts.join(dim, "k", how))
+    finally:
+        spark.conf.set(name, before)

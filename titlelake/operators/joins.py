@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Rows of a stored table take about so many times the size that Spark estimates for it, which is that of its compressed files.
+STORED_FACTOR = 16
+
 # Any key holding more than 1/HOT_KEYS of the rows is among the HOT_KEYS most frequent.
 HOT_KEYS = 256
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate is within its broadcast limit.
+    """Whether the rows, by Spark's own size estimate times ``STORED_FACTOR``, are within its broadcast limit.
 
     A client that cannot see the estimate counts as not fitting.
     """
@@ -20,7 +23,12 @@ def fits_broadcast(df: DataFrame) -> bool:
         return False
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+    return int(str(size)) * STORED_FACTOR <= limit
+
+
+def moved(df: DataFrame) -> DataFrame:
+    """The right side of a join by key, broadcast by Spark only if its rows are small, not just its files."""
+    return df if fits_broadcast(df) else df.hint("merge")
 
 
 def attach(
@@ -73,7 +81,8 @@ def attach(
         )
         .drop("_hot")
     )
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    # The dim is too large to broadcast, whatever Spark estimates for it.
+    return salted.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 # Keys that are named in a filter, and how many together: Spark passes so many on to the files one by one.

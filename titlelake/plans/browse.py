@@ -16,7 +16,7 @@ from titlelake.functions.roles import CAST, CREDIT_ROLES, CREW, FILMOGRAPHY_ROLE
 from titlelake.functions.text import contains_ci, prefix_ci
 from titlelake.operators import merge
 from titlelake.operators.grams import NameIndex, matches
-from titlelake.operators.joins import attach, by_few_keys, by_keys
+from titlelake.operators.joins import attach, by_few_keys, by_keys, moved
 from titlelake.operators.ranking import cap_per_group, page, page_after, page_number
 from titlelake.sources.shared import stored
 
@@ -40,7 +40,7 @@ HOME = ["id", "title", "year", "runtime", "type", "rating", "votes", "genres"]
 
 
 def with_rating(title: DataFrame, rating: DataFrame, how: str = "inner") -> DataFrame:
-    return title.join(rating, "tconst", how)
+    return title.join(moved(rating), "tconst", how)
 
 
 def adult_filter(title: DataFrame, include_adult: bool) -> DataFrame:

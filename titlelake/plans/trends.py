@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from titlelake.catalog import Catalog
 from titlelake.functions.numbers import decade, mean_2dp, tenths
 from titlelake.functions.roles import CAST
-from titlelake.operators.joins import attach, by_few_keys
+from titlelake.operators.joins import attach, by_few_keys, moved
 from titlelake.plans.analysis import CHART_TYPES
 from titlelake.sources.shared import Files, stored
 
@@ -50,7 +50,7 @@ def added_by(cat: Catalog, titles: DataFrame | None = None) -> DataFrame:
     def of(name: str) -> DataFrame:
         return cat[name] if titles is None else by_few_keys(cat[name], "tconst", titles)
 
-    rating = of("rating").select("tconst", tenths(F.col("average_rating")).alias("tenths"))
+    rating = moved(of("rating").select("tconst", tenths(F.col("average_rating")).alias("tenths")))
     dated = of("title").filter("start_year is not null").select("tconst", "start_year", "title_type", decade(F.col("start_year")).alias("decade"))
     chart = dated.filter(F.col("title_type").isin(CHART_TYPES))
     credits = of("principal").select("tconst", "nconst", "category")
@@ -61,7 +61,7 @@ def added_by(cat: Catalog, titles: DataFrame | None = None) -> DataFrame:
     per_person = directed.groupBy("nconst").agg(
         F.sum("tenths").alias("tenths"), F.count("tenths").alias("rated"), F.count(F.lit(1)).alias("n")
     )
-    directors = per_person.join(people, "nconst")
+    directors = per_person.join(moved(people), "nconst")
 
     acted = credits.filter(F.col("category").isin(CAST))
     per_credit = acted.join(rating, "tconst", "left").groupBy("tconst", "nconst")
@@ -75,7 +75,7 @@ def added_by(cat: Catalog, titles: DataFrame | None = None) -> DataFrame:
         _row(dated, "dated", dec="decade"),
         _row(directors, "director", "primary_name", n="n", total="tenths", rated="rated"),
         _row(named_links, "links", "name"),
-        _row(chart.filter(F.col("start_year") >= GENRES_FROM).join(named_links, "tconst"), "genre", "name", "decade"),
+        _row(chart.filter(F.col("start_year") >= GENRES_FROM).join(moved(named_links), "tconst"), "genre", "name", "decade"),
         _row(actors, "actor", "primary_name", total="tenths", rated="rated"),
     ]
     return _summed(reduce(DataFrame.unionByName, parts))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from titlelake.catalog import Catalog
 from titlelake.operators import grams
 from titlelake.operators.grams import NameIndex
+from titlelake.operators.joins import moved
 from titlelake.operators.ranking import first_per_key
 from titlelake.schemas import PRIMARY_KEYS, TABLES
 from titlelake.sources.shared import Files, stored
@@ -195,14 +196,16 @@ def _merge_table(
     else:
         # The row that a key has now may lie elsewhere; only the two columns are read.
         now = _open(spark, path, name, place).select(*keys, cluster)
-        marks.append(now.join(gone, keys, "left_semi").select(cluster))
-    marked = reduce(DataFrame.unionByName, marks).distinct()
-    few = [r[0] for r in marked.limit(FEW_KEYS + 1).collect()]
+        marks.append(now.join(moved(gone), keys, "left_semi").select(cluster))
+    every = reduce(DataFrame.unionByName, marks)
+    few = [r[0] for r in every.distinct().limit(FEW_KEYS + 1).collect()]
     held = sorted(few)
     if len(few) <= FEW_KEYS:
         touched = [f for f in files if _any_between(held, f["low"], f["high"])]
     else:
-        low, high = marked.agg(F.min(cluster), F.max(cluster)).first()
+        low, high = every.agg(F.min(cluster), F.max(cluster)).first()
+        # Many keys in small files: a broadcast would hold all of them in the driver.
+        gone = gone.hint("merge")
         touched = [f for f in files if f["low"] <= high and f["high"] >= low]
 
     # Rows stay in the range of the file they come from; new ones go to the last file that begins at or before them, and between
