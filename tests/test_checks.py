@@ -78,3 +78,8 @@ def test_every_constraint_is_reported(spark):
     }
     # Eight tables: 22 required columns, 12 lengths and one range, 9 keys, 8 references.
     assert len(found) == 22 + 12 + 1 + 9 + 8
+
+
+def test_large_tables_are_dealt_out_before_their_keys_are_counted(spark, edges, no_broadcast):
+    counts = checks.key_counts({"principal": edges.principal, "title": edges.title})
+    assert counts._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titlelake.catalog import Catalog
+from titlelake.operators.joins import fits_broadcast
 from titlelake.schemas import PRIMARY_KEYS, REFERENCES, REQUIRED, TEXT_LIMITS, UNIQUE
 
 # Range of decimal(3,1).
@@ -101,21 +102,30 @@ def _uses(name: str) -> list[tuple[str, Column, str]]:
 MEASURES = ["own", *(f"ref{i}" for i in range(len(REFERENCES)))]
 
 
+def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows, of a large table in even shares of all shuffle partitions.
+
+    What Spark puts in one task by the size of compressed rows may be millions of them, whose distinct values a task holds in memory.
+    """
+    return df if fits_broadcast(df) else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def key_counts(rows: dict[str, DataFrame]) -> DataFrame:
     """Per key value ``key, value`` the rows that have it and, by reference, that use it.
 
     Each table is read once for all its keys and references. A parent key and its uses meet in one row, so neither
     needs a join, and a frequent value is one row per task before anything moves. A unique column that is null may repeat
-    and is not counted, nor is a null reference.
+    and is not counted, nor is a null reference. Rows with a column ``_n`` count so many times.
     """
     parts = []
     for name, df in rows.items():
         # A key of several columns is a text even if some are null; of one column it may be null.
         uses = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit(m).alias("measure")) for k, v, m in _uses(name)])
-        entry = df.select(F.inline(uses))
+        weighted = "_n" in df.columns
+        entry = (df if weighted else dealt(df, df.columns)).select((F.col("_n") if weighted else F.lit(1)).alias("_n"), F.inline(uses))
         optional = [f"{name}.{c}" for c in UNIQUE.get(name, [])]
         parts.append(entry.filter(F.col("value").isNotNull() | ((F.col("measure") == "own") & ~F.col("key").isin(optional))))
-    measures = [F.count(F.when(F.col("measure") == m, 1)).alias(m) for m in MEASURES]
+    measures = [F.sum(F.when(F.col("measure") == m, F.col("_n")).otherwise(0)).cast("long").alias(m) for m in MEASURES]
     return reduce(DataFrame.unionByName, parts).groupBy("key", "value").agg(*measures)
 
 
