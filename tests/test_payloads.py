@@ -246,3 +246,11 @@ def test_people_that_were_parsed_once(spark, tmp_path):
     stored = payloads.load_parsed(spark, str(tmp_path / "people"))
     for job in (payloads.payload_people, payloads.payload_filmography):
         assert sorted(map(str, job(stored).collect())) == sorted(map(str, job(texts).collect())), job.__name__
+
+
+def test_a_payload_that_a_query_makes_is_made_once_a_row(spark):
+    text = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.when(F.col("id") != 2, "}").otherwise(""))
+    made = spark.range(4).select(F.col("id").cast("string").alias("key"), F.lit("movie").alias("media_type"), text.alias("payload"))
+    found = payloads.payload_titles(made)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count('concat({"id": ') == 1
+    assert sorted((r["key"], r["id"]) for r in found.collect()) == [("0", 0), ("1", 1), ("3", 3)]

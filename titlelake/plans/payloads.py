@@ -109,9 +109,12 @@ def parse(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Add the given fields of the parsed payload as the struct column ``raw``.
 
     A table of :func:`load_parsed` has them already; then only the columns of these fields are read.
+
+    A payload that a query puts together is put together once a row: a filter would be moved below the column and make it again.
     """
     if "raw" not in payloads.columns:
-        return payloads.filter(is_readable()).withColumn("raw", F.from_json("payload", schema_of(fields)))
+        readable = F.when(is_readable(), F.array(F.from_json("payload", schema_of(fields))))
+        return payloads.select("*", F.explode(readable).alias("raw"))
     if missing := set(fields) - set(payloads.schema["raw"].dataType.names):
         raise ValueError(f"the payloads were parsed without {', '.join(sorted(missing))}")
     return payloads.filter("raw is not null")
