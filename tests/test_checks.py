@@ -81,5 +81,5 @@ def test_every_constraint_is_reported(spark):
 
 
 def test_large_tables_are_dealt_out_before_their_keys_are_counted(spark, edges, no_broadcast):
-    counts = checks.key_counts({"principal": edges.principal, "title": edges.title})
-    assert counts._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    found = checks.violations(edges, ["title", "rating"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2

@@ -115,17 +115,16 @@ def key_counts(rows: dict[str, DataFrame]) -> DataFrame:
 
     Each table is read once for all its keys and references. A parent key and its uses meet in one row, so neither
     needs a join, and a frequent value is one row per task before anything moves. A unique column that is null may repeat
-    and is not counted, nor is a null reference. Rows with a column ``_n`` count so many times.
+    and is not counted, nor is a null reference.
     """
     parts = []
     for name, df in rows.items():
         # A key of several columns is a text even if some are null; of one column it may be null.
         uses = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit(m).alias("measure")) for k, v, m in _uses(name)])
-        weighted = "_n" in df.columns
-        entry = (df if weighted else dealt(df, df.columns)).select((F.col("_n") if weighted else F.lit(1)).alias("_n"), F.inline(uses))
+        entry = df.select(F.inline(uses))
         optional = [f"{name}.{c}" for c in UNIQUE.get(name, [])]
         parts.append(entry.filter(F.col("value").isNotNull() | ((F.col("measure") == "own") & ~F.col("key").isin(optional))))
-    measures = [F.sum(F.when(F.col("measure") == m, F.col("_n")).otherwise(0)).cast("long").alias(m) for m in MEASURES]
+    measures = [F.count(F.when(F.col("measure") == m, 1)).alias(m) for m in MEASURES]
     return reduce(DataFrame.unionByName, parts).groupBy("key", "value").agg(*measures)
 
 
@@ -165,5 +164,5 @@ def violations(cat: Catalog, tables: list[str]) -> DataFrame:
     """
     own = {name: cat[name] for name in tables}
     parents = {parent: cat[parent] for child, _, parent, _ in REFERENCES if child in tables}
-    counts = key_counts(own | parents)
+    counts = key_counts({name: dealt(df, df.columns) for name, df in (own | parents).items()})
     return row_violations(own).unionByName(key_violations(counts, tables))
