@@ -22,9 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from titlelake.catalog import Catalog
 from titlelake.functions.text import clean
 from titlelake.operators import load
+from titlelake.operators.joins import moved
 from titlelake.operators.ranking import first_per_key
 from titlelake.schemas import DUMPS, TABLES
-from titlelake.sources.shared import Files, stored
+from titlelake.sources.shared import Files, shared_folder, stored
 from titlelake.sources.tables import load_catalog, merge_catalog, save_catalog
 
 #: Dumps whose rows wait for what they refer to.
@@ -57,9 +58,12 @@ def load_batch(spark: SparkSession, store: str, lines: DataFrame, number: int, o
     files = Files(spark, store)
     if files.exists(f"batches/{number:08d}"):
         return
-    lines = stored(lines.select("dump", "value"), "lines")
+    # Each dump has a folder of its own, and its lines are split once; all that follows reads the columns it needs.
+    folder = shared_folder(spark, "lines")
+    lines.select("dump", "value").filter(F.col("dump").isin(list(DUMPS))).write.partitionBy("dump").parquet(folder)
+    lines = spark.read.schema("value string, dump string").option("basePath", folder).parquet(folder)
     cat = load_catalog(spark, f"{store}/catalogue")
-    raw = {dump: _rows(lines, dump) for dump in DUMPS}
+    raw = {dump: stored(_rows(lines, dump), "raw") for dump in DUMPS}
     for dump in DUMPS:
         load.quarantine(raw[dump], dump).write.mode("overwrite").parquet(f"{store}/quarantine/{dump}/batch={number}")
     for dump, folder in _last(spark, store, number)["pending"].items():
@@ -70,13 +74,13 @@ def load_batch(spark: SparkSession, store: str, lines: DataFrame, number: int, o
     person = stored(load.load_people(raw["name.basics"], lenient=True), "people")
     links = load.explode_genres(raw["title.basics"])
     genre = load.build_genre_dim(links, cat.genre)
-    known = cat.title.select("tconst").unionByName(title.select("tconst")).distinct()
-    people = cat.person.select("nconst").unionByName(person.select("nconst")).distinct()
+    known = moved(stored(cat.title.select("tconst").unionByName(title.select("tconst")).distinct(), "known"))
+    people = moved(stored(cat.person.select("nconst").unionByName(person.select("nconst")).distinct(), "known"))
 
-    ratings = load.load_ratings(raw["title.ratings"], known, lenient=True)
-    rated = cat.rating.join(ratings.select("tconst"), "tconst", "left_semi")
-    credits = load.load_principals(raw["title.principals"], known, people, order, lenient=True)
-    credited = cat.principal.join(credits.select("tconst", "ordering"), ["tconst", "ordering"], "left_semi")
+    ratings = stored(load.load_ratings(raw["title.ratings"], known, lenient=True), "ratings")
+    rated = cat.rating.join(moved(ratings.select("tconst")), "tconst", "left_semi")
+    credits = stored(load.load_principals(raw["title.principals"], known, people, order, lenient=True), "credits")
+    credited = cat.principal.join(moved(credits.select("tconst", "ordering")), ["tconst", "ordering"], "left_semi")
     changes = {
         "title": title,
         "person": person,
@@ -88,7 +92,7 @@ def load_batch(spark: SparkSession, store: str, lines: DataFrame, number: int, o
         "episode": load.load_episodes(raw["title.episode"], known, lenient=True),
     }
     # A title that is sent again has the genres of its last row.
-    replaced = cat.title_genre.join(title.select("tconst"), "tconst", "left_semi")
+    replaced = cat.title_genre.join(moved(title.select("tconst")), "tconst", "left_semi")
     parents = known.withColumnRenamed("tconst", "parentTconst")
     waiting = {
         "title.ratings": raw["title.ratings"].filter("averageRating is not null and numVotes is not null").join(known, "tconst", "left_anti"),
