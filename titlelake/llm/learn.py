@@ -9,11 +9,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic model for labels in [0, 1], by gradient steps with momentum."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 1e-4, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic model for labels in [0, 1], by gradient steps with momentum; rows weigh alike, or as given (1 in all)."""
+    share = 1 / len(x) if weight is None else weight
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(rounds):
-        slope = x.T @ (sigmoid(x @ w) - y) / len(x) + decay * w
+        slope = x.T @ ((sigmoid(x @ w) - y) * share) + decay * w
         speed = 0.9 * speed - rate * slope
         w = w + speed
     return w
