@@ -538,6 +538,8 @@ def calibrated(found: DataFrame, net: Network) -> Network:
 
     Scores are counted in cells, so only these counts travel. Corpus and drill have the same weight, whatever their number.
     """
+    # Scored as in the search, with half the bytes.
+    net = Network([a.astype(np.float32) for a in net.arrays], net.scale, net.thresholds)
     shared = found.sparkSession.sparkContext.broadcast((net.arrays, net.scale, net.thresholds))
     names = ("kind", "secret", "cell", "n")
 
