@@ -13,12 +13,19 @@ class Catalog:
     """Tables by name, as items (``cat["title"]``) or attributes (``cat.title``).
 
     ``opener`` maps a table name to its DataFrame and is called once per table, so a
-    query plans only the tables it names.
+    query plans only the tables it names. ``copies`` finds copies by table and column, and ``ranged`` has tables that
+    come in ranges of their first columns at the cost of one shuffle.
     """
 
-    def __init__(self, opener: Callable[[str], DataFrame], copies: Callable[[str, str], DataFrame | None] | None = None):
+    def __init__(
+        self,
+        opener: Callable[[str], DataFrame],
+        copies: Callable[[str, str], DataFrame | None] | None = None,
+        ranged: Mapping[str, Callable[[], DataFrame]] | None = None,
+    ):
         self._opener = opener
         self._copies = copies
+        self._ranged = ranged or {}
         self._open: dict[str, DataFrame] = {}
 
     @classmethod
@@ -37,6 +44,10 @@ class Catalog:
         copy = self._copies(name, column) if self._copies else None
         return self[name] if copy is None else copy
 
+    def ranged(self, name: str, order: list[str]) -> DataFrame:
+        """A table in ranges of ``order``; a table that can be derived in ranges of its first columns isn't moved again."""
+        return self._ranged[name]() if name in self._ranged else self[name].repartitionByRange(*order)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from bisect import bisect_right
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from titlelake.operators.grams import NameIndex
 from titlelake.operators.joins import moved
 from titlelake.operators.ranking import first_per_key
 from titlelake.schemas import PRIMARY_KEYS, TABLES
-from titlelake.sources.shared import Files, stored
+from titlelake.sources.shared import Files, stored, together
 
 # The column each table is mostly joined and looked up by.
 CLUSTER = {
@@ -137,10 +137,13 @@ def save_catalog(cat: Catalog, path: str, names: list[str]) -> int:
     where = folders(spark, path)
     number = max(versions(spark, path), default=0) + 1
     batch = uuid.uuid4().hex[:12]
-    for name in names:
+    where |= {name: f"{name}/{batch}" for name in names}
+
+    def save(name: str) -> None:
         order = _order(name)
-        where[name] = f"{name}/{batch}"
-        cat[name].repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{where[name]}")
+        cat.ranged(name, order).sortWithinPartitions(*order).write.parquet(f"{path}/{where[name]}")
+
+    together(spark, [partial(save, name) for name in names])
     return _commit(spark, path, number, where)
 
 
@@ -266,10 +269,13 @@ def save_copies(spark: SparkSession, path: str) -> int:
     """
     version = versions(spark, path)[-1]
     cat = load_catalog(spark, path, version)
-    for name, column in SECOND_KEYS:
+
+    def save(name: str, column: str) -> None:
         order = [column, *[c for c in _order(name) if c != column]]
         copy = cat[name].repartitionByRange(*order).sortWithinPartitions(*order)
         copy.write.parquet(f"{path}/{COPIES}/{version:08d}/{name}-{column}")
+
+    together(spark, [partial(save, *second) for second in SECOND_KEYS])
     return version
 
 
@@ -277,9 +283,12 @@ def save_search(spark: SparkSession, path: str) -> int:
     """Index the names of the latest version for search, and return its number."""
     version = versions(spark, path)[-1]
     cat = load_catalog(spark, path, version)
-    for name, (key, text) in NAMED.items():
+
+    def save(name: str, key: str, text: str) -> None:
         names = cat[name].select(F.col(key).alias("id"), F.col(text).alias("name"))
         grams.save(grams.build(names), f"{path}/{SEARCH}/{version:08d}/{name}")
+
+    together(spark, [partial(save, name, *columns) for name, columns in NAMED.items()])
     return version
 
 
