@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -805,3 +806,27 @@ def test_windows_of_many_findings_are_those_of_each():
     every = secrets.Findings(*map(list, zip(*found, strict=True)))
     rows = [r.tolist() for r in (every.inside(every.at, every.of), every.around(every.of))]
     assert list(zip(*rows, strict=True)) == [w for f in found for w in secrets.windows(*f)]
+
+
+def test_searches_that_pass_over_short_words_find_what_plain_patterns_find():
+    mail, other = r"[A-Za-z0-9._%+-]{1,40}@[A-Za-z0-9.-]{1,40}", r"[A-Za-z]{9,}|[0-9][0-9 ().-]{8,20}[0-9]|[A-Za-z0-9+/_.=-]{16,}"
+    rng = np.random.default_rng(17)
+    parts = ["a", "Bc", "hello", "wonderful", "abcdefgh", "1", "2024", "12-34 (56).7", "@", "x@y.z", "%", "+", "/", "_", ".", "=", "-", " ", "  ", "(", "é", "\n", "A" * 39, "0" * 12, "%a@b"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 14))))
+        for plain, pattern in ((mail + "|" + other, secrets.OTHERS), (other, secrets.OTHERS_NO_MAIL)):
+            assert [m.span(1) for m in pattern.finditer(text) if m[1]] == [m.span() for m in re.finditer(plain, text)], text
+        assert secrets.token_runs(text) == [m.span() for m in re.finditer("[A-Za-z0-9+/_=.-]{16,}", text)], text
+        assert sorted(secrets.base_spans(text, secrets.token_runs(text))) == plain_secrets(text), text
+
+
+def test_a_step_of_training_uses_the_memory_of_the_last_one():
+    net, rng = secrets.Network.new(), np.random.default_rng(18)
+    x, c, y = rng.integers(0, 40, (120, 40)), rng.integers(0, 40, (120, 40)), rng.integers(0, 2, 120).astype(float)
+    before = net.slopes(x, c, y)
+    tracemalloc.start()
+    again = net.slopes(x, c, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The patches alone are 120 * 36 * 40 numbers of 8 bytes.
+    assert peak < 120 * 36 * 40 * 8 and all((a == b).all() for a, b in zip(before, again, strict=True))
