@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from titlelake import Catalog
@@ -87,6 +89,71 @@ def test_all_keys_at_once(spark, lake, monkeypatch):
     assert len(files_of(spark, lake, "title")) >= 9
 
 
+def test_a_store_named_with_its_scheme_keeps_all_rows(spark, lake, monkeypatch):
+    path = f"file://{lake}"
+    episode = spark.createDataFrame([("tt0000004", "tt0000049", 2, 1)], TABLES["episode"])
+    for few in (tables.FEW_KEYS, 0):
+        monkeypatch.setattr(tables, "FEW_KEYS", few)
+        tables.merge_catalog(spark, path, {"title": titles(spark, [7], f"limit{few}"), "episode": episode})
+        cat = tables.load_catalog(spark, path)
+        assert len(names(cat)) == 1001 and names(cat)["tt0000007"] == f"limit{few} 7"
+        assert cat.episode.count() == 500
+
+
+@pytest.mark.parametrize("few", [tables.FEW_KEYS, 0])
+def test_replaced_and_competing_rows(spark, tmp_path, monkeypatch, few):
+    """As many keys and as few: rows that leave with their title, rows that compete, keys that go, keys with a null, keys that repeat."""
+    path = str(tmp_path / "lake")
+    kinds = {n: TABLES[n] for n in ("title_genre", "rating", "principal")}
+
+    def frame(name, *rows):
+        return spark.createDataFrame(list(rows), kinds[name])
+
+    def rating(key, mean, votes):
+        return (key, Decimal(mean), votes)
+
+    there = {
+        "title_genre": frame("title_genre", ("t1", 1), ("t1", 2), ("t2", 1), ("t3", 3)),
+        "rating": frame("rating", rating("t1", "5.0", 10), rating("t2", "5.0", 10), rating("t4", "5.0", 1), rating("t4", "5.0", 1), rating("t5", "1.0", 1)),
+        "principal": frame("principal", ("t1", 1, "n2", "a", None, None), ("t1", None, "n3", "a", None, None), ("t1", None, "n4", "a", None, None), ("t2", 1, "n1", "a", None, None)),
+    }
+    tables.save_catalog(Catalog.of(there), path, list(there))
+    monkeypatch.setattr(tables, "FEW_KEYS", few)
+    tables.merge_catalog(
+        spark, path,
+        {
+            "title_genre": frame("title_genre", ("t1", 2), ("t1", 4), ("t2", 1), ("t2", 2)),
+            "rating": frame("rating", rating("t1", "6.0", 9), rating("t2", "6.0", 20), rating("t2", "7.0", 20), rating("t3", "1.0", 1)),
+            "principal": frame("principal", ("t1", 1, "n1", "a", None, None), ("t2", 1, "n5", "a", None, None), ("t2", 1, "n1", "a", None, None)),
+        },
+        {"rating": spark.createDataFrame([("t5",), ("t1",)], "tconst string")},
+        {"rating": [F.desc("num_votes"), F.desc("average_rating")]},
+        {"title_genre": spark.createDataFrame([("t1",), ("t1",), ("t9",)], "tconst string")},
+        ["rating"],
+    )
+    cat = tables.load_catalog(spark, path)
+    found = {n: sorted(tuple(str(v) for v in r) for r in cat[n].select(*there[n].columns).collect()) for n in kinds}
+    assert found["title_genre"] == [("t1", "2"), ("t1", "4"), ("t2", "1"), ("t2", "2"), ("t3", "3")]
+    assert found["rating"] == [("t1", "5.0", "10"), ("t2", "7.0", "20"), ("t3", "1.0", "1"), ("t4", "5.0", "1"), ("t4", "5.0", "1")]
+    assert [r[:3] for r in found["principal"]] == [("t1", "1", "n1"), ("t1", "None", "n3"), ("t1", "None", "n4"), ("t2", "1", "n1")]
+
+
+def test_many_keys_move_once(spark, lake, monkeypatch):
+    """A merge of many keys has one shuffle of rows: no join to find those that are replaced."""
+    monkeypatch.setattr(tables, "FEW_KEYS", 3)
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def seen(writer, path, *args, **kwargs):
+        if path.startswith(f"{lake}/title/"):
+            plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    tables.merge_catalog(spark, lake, {"title": titles(spark, range(100, 200), "second")})
+    assert len(plans) == 1 and plans[0].count("Exchange ") == 1 and "Join" not in plans[0]
+
+
 def test_a_row_moves_with_its_cluster_key(spark, lake):
     moved = spark.createDataFrame([("tt0000004", "tt0000049", 2, 1)], TABLES["episode"])
     tables.merge_catalog(spark, lake, {"episode": moved}, {"episode": spark.createDataFrame([("tt0000008",)], "tconst string")})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from titlelake.operators import load
 from titlelake.schemas import DUMPS
 from titlelake.sources.dumps import read_dump
+from titlelake.sources import tables as tables_of_files
 from titlelake.sources.tables import load_catalog, versions
 from titlelake.streaming import dumps
 
@@ -75,6 +76,28 @@ def test_three_batches_end_in_one_load_of_all(spark, tmp_path, want):
     assert [tuple(r) for r in bad.collect()] == [("tt2", "19x0")]
 
 
+def test_many_keys_a_batch_in_a_store_named_with_its_scheme(spark, tmp_path, want, monkeypatch):
+    """Each table is merged by ranges, and the rows that are there stay."""
+    monkeypatch.setattr(tables_of_files, "FEW_KEYS", 0)
+    store = f"file://{tmp_path}/store"
+    dumps.start_load(spark, store)
+    for number, batch in enumerate(BATCHES):
+        put(tmp_path / "incoming", batch, number)
+        run(spark, tmp_path / "incoming", store)
+    assert tables(load_catalog(spark, f"{store}/catalogue")) == want
+
+
+def test_rows_are_compared_with_known_keys_once(spark, tmp_path, monkeypatch):
+    asked = []
+    inner = load.mark_known
+    monkeypatch.setattr(load, "mark_known", lambda raw, references, mark: asked.append(sorted(references)) or inner(raw, references, mark))
+    store = str(tmp_path / "store")
+    dumps.start_load(spark, store)
+    put(tmp_path / "incoming", BATCHES[0], 0)
+    run(spark, tmp_path / "incoming", store)
+    assert sorted(asked) == [["nconst", "tconst"], ["parentTconst", "tconst"], ["tconst"]]
+
+
 def test_a_batch_that_fails_after_its_merge_is_run_again(spark, tmp_path, want, monkeypatch):
     store = str(tmp_path / "store")
     dumps.start_load(spark, store)

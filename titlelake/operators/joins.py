@@ -13,6 +13,9 @@ STORED_FACTOR = 16
 # Any key holding more than 1/HOT_KEYS of the rows is among the HOT_KEYS most frequent.
 HOT_KEYS = 256
 
+# A derived table of so many rows is broadcast once it is counted.
+FEW_ROWS = 10_000
+
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the rows, by Spark's own size estimate times ``STORED_FACTOR``, are within its broadcast limit.
@@ -31,6 +34,21 @@ def moved(df: DataFrame) -> DataFrame:
     return df if fits_broadcast(df) else df.hint("merge")
 
 
+def few_rows(dim: DataFrame) -> bool:
+    """Whether a table has at most ``FEW_ROWS`` rows, by a count of no more than these, whatever Spark estimates for it."""
+    return len(dim.select(F.lit(1)).limit(FEW_ROWS + 1).collect()) <= FEW_ROWS
+
+
+def attach_few(facts: DataFrame, dim: DataFrame, key: str, spread: str | list[str], how: str = "inner") -> DataFrame:
+    """:func:`attach` for a ``dim`` that is derived and has few rows as a rule, such as the genres.
+
+    Spark estimates far more rows than such a table has. It is counted, and up to ``FEW_ROWS`` rows are broadcast, so no facts move.
+    """
+    if fits_broadcast(dim) or not few_rows(dim):
+        return attach(facts, dim, key, spread, how)
+    return facts.join(F.broadcast(dim), key, how)
+
+
 def attach(
     facts: DataFrame,
     dim: DataFrame,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from titlelake.catalog import Catalog
 from titlelake.functions.text import clean, scrub
-from titlelake.operators.joins import attach
+from titlelake.operators.joins import attach, attach_few, moved
 from titlelake.operators.merge import upsert_latest
 from titlelake.operators.ranking import first_per_key, number_by
 
@@ -88,20 +88,39 @@ def build_genre_dim(links: DataFrame, existing: DataFrame | None = None) -> Data
 
 def build_title_genre(links: DataFrame, genre: DataFrame) -> DataFrame:
     """Distinct title–genre pairs; names without an id are dropped."""
-    return attach(links, genre, "name", "tconst").select("tconst", "genre_id").distinct()
+    return attach_few(links, genre, "name", "tconst").select("tconst", "genre_id").distinct()
+
+
+def mark_known(raw: DataFrame, references: dict[str, DataFrame], mark: str) -> DataFrame:
+    """Add whether the values of some columns are all among given keys, a table of unique keys by column.
+
+    The rows move once per column, and Spark splits the partitions of a very frequent value.
+    """
+    marked, flags = raw, []
+    for column, keys in references.items():
+        flags.append(f"_known_{column}")
+        known = keys.select(F.col(keys.columns[0]).alias(column), F.lit(True).alias(flags[-1]))
+        marked = marked.join(moved(known), column, "left")
+    return marked.select(*raw.columns, reduce(Column.__and__, [F.col(f).isNotNull() for f in flags]).alias(mark))
+
+
+def rating_order() -> list[Column]:
+    """More votes first, then the higher mean."""
+    return [F.desc("num_votes"), F.desc("average_rating")]
 
 
 def load_ratings(
     raw: DataFrame,
-    title: DataFrame,
+    title: DataFrame | None,
     existing: DataFrame | None = None,
     lenient: bool = False,
     order: list[Column] | None = None,
+    repeated: bool = False,
 ) -> DataFrame:
     """Ratings with both values, of known titles, one per title.
 
     If a dump rates a title twice, the first in ``order`` counts, by default the one with
-    more votes.
+    more votes. Without ``title`` all rows are of known titles; ``repeated`` keeps all ratings of a title, for a merge to choose from.
     """
     kinds = NUMBERS["title.ratings"]
     rated = raw.select(
@@ -109,8 +128,12 @@ def load_ratings(
         number("averageRating", kinds["averageRating"], lenient).alias("average_rating"),
         number("numVotes", kinds["numVotes"], lenient).alias("num_votes"),
     ).dropna()
-    known = attach(rated, title.select("tconst"), "tconst", ["average_rating", "num_votes"], "left_semi")
-    order = order or [F.desc("num_votes"), F.desc("average_rating")]
+    known = rated
+    if title is not None:
+        known = attach(rated, title.select("tconst"), "tconst", ["average_rating", "num_votes"], "left_semi")
+    if repeated:
+        return known
+    order = order or rating_order()
     if existing is None:
         return first_per_key(known, ["tconst"], order)
     return upsert_latest(existing, known, ["tconst"], order)
@@ -127,11 +150,17 @@ def load_people(raw: DataFrame, lenient: bool = False) -> DataFrame:
 
 
 def load_principals(
-    raw: DataFrame, title: DataFrame, person: DataFrame, order: list[Column], lenient: bool = False
+    raw: DataFrame,
+    title: DataFrame | None,
+    person: DataFrame | None,
+    order: list[Column],
+    lenient: bool = False,
+    repeated: bool = False,
 ) -> DataFrame:
     """Credits whose title and person exist; the first row in ``order`` per (tconst, ordering).
 
-    ``order`` may use any raw column, for example a line number.
+    ``order`` may use any raw column, for example a line number. Without ``title`` and ``person`` those of all rows are known;
+    ``repeated`` keeps all rows of a key, for a merge to choose from.
     """
     kinds = NUMBERS["title.principals"]
     typed = raw.withColumns(
@@ -144,15 +173,18 @@ def load_principals(
     )
     if lenient:
         typed = typed.filter("ordering is not null")
-    known = attach(typed, title.select("tconst"), "tconst", ["nconst", "ordering"], "left_semi", count_on=raw)
-    known = attach(known, person.select("nconst"), "nconst", ["tconst", "ordering"], "left_semi", count_on=raw)
-    return first_per_key(known, ["tconst", "ordering"], order).select(
-        "tconst", "ordering", "nconst", "category", "job", "characters"
-    )
-
-
-def load_episodes(raw: DataFrame, title: DataFrame, lenient: bool = False) -> DataFrame:
-    """Episodes whose own title and parent title exist."""
+    known = typed
+    if title is not None:
+        known = attach(known, title.select("tconst"), "tconst", ["nconst", "ordering"], "left_semi", count_on=raw)
+    if person is not None:
+        known = attach(known, person.select("nconst"), "nconst", ["tconst", "ordering"], "left_semi", count_on=raw)
+    if not repeated:
+        known = first_per_key(known, ["tconst", "ordering"], order)
+    return known.select("tconst", "ordering", "nconst", "category", "job", "characters")
+
+
+def load_episodes(raw: DataFrame, title: DataFrame | None, lenient: bool = False) -> DataFrame:
+    """Episodes whose own title and parent title exist; without ``title`` those of all rows do."""
     kinds = NUMBERS["title.episode"]
     typed = raw.select(
         "tconst",
@@ -160,6 +192,8 @@ def load_episodes(raw: DataFrame, title: DataFrame, lenient: bool = False) -> Da
         number("seasonNumber", kinds["seasonNumber"], lenient).alias("season_number"),
         number("episodeNumber", kinds["episodeNumber"], lenient).alias("episode_number"),
     )
+    if title is None:
+        return typed
     own = typed.join(title.select("tconst"), "tconst", "left_semi")
     parents = title.select(F.col("tconst").alias("parent_tconst"))
     return attach(own, parents, "parent_tconst", "tconst", "left_semi", count_on=typed).select(*typed.columns)

@@ -16,7 +16,7 @@ from titlelake.functions.roles import CAST, CREDIT_ROLES, CREW, FILMOGRAPHY_ROLE
 from titlelake.functions.text import contains_ci, prefix_ci
 from titlelake.operators import merge
 from titlelake.operators.grams import NameIndex, matches
-from titlelake.operators.joins import attach, by_few_keys, by_keys, moved
+from titlelake.operators.joins import attach, attach_few, by_few_keys, by_keys, moved
 from titlelake.operators.ranking import cap_per_group, page, page_after, page_number
 from titlelake.sources.shared import stored
 
@@ -70,7 +70,7 @@ def genre_lists(title_genre: DataFrame, genre: DataFrame) -> DataFrame:
 
     A title has at most one link per genre, which bounds the list.
     """
-    named = attach(title_genre, genre, "genre_id", "tconst")
+    named = attach_few(title_genre, genre, "genre_id", "tconst")
     return named.groupBy("tconst").agg(F.array_sort(F.collect_set("name")).alias("genre_names"))
 
 

@@ -8,11 +8,13 @@ last cluster key of each. A version never changes; a new one may share files wit
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from bisect import bisect_right
+from collections.abc import Collection
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titlelake.catalog import Catalog
@@ -67,7 +69,11 @@ def _listed(spark: SparkSession, path: str, place: str) -> list[dict]:
 
 
 def _file(folder: str) -> Column:
-    """The file of a row, relative to a folder above it."""
+    """The file of a row, relative to a folder above it.
+
+    Spark may spell the scheme of a path in another way (``file:/`` for ``file:///``), so only what follows it is compared.
+    """
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder)
     whole = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     return F.substring_index(whole, f"{folder.rstrip('/')}/", -1)
 
@@ -153,16 +159,19 @@ def merge_catalog(
     changes: dict[str, DataFrame] | None = None,
     deletes: dict[str, DataFrame] | None = None,
     order: dict[str, list[Column]] | None = None,
+    replaced: dict[str, DataFrame] | None = None,
+    competing: Collection[str] = (),
 ) -> int:
     """Upsert and delete rows of tables as a new version and return its number.
 
     ``changes`` holds rows by table; of several for a key the first in ``order`` counts, by default the smallest by all columns.
-    ``deletes`` holds primary keys by table; a key that is also changed is kept as changed.
+    ``deletes`` holds primary keys by table; a key that is also changed is kept as changed. ``replaced`` holds cluster keys by
+    table, of which all rows go that are there now. In a ``competing`` table a row that is there now counts for its key with those that come.
 
     Only files whose key range holds a changed key are read and written anew; the new version shares
     all others with the one before. New files keep to the ranges of the files
     they replace, so ranges stay narrow however many merges follow. Keys are looked up one by one up to
-    ``FEW_KEYS``; beyond, all files between the smallest and the largest are rewritten.
+    ``FEW_KEYS``; beyond, all files between the smallest and the largest are rewritten. Tables are merged at once, four at a time.
 
     Of two merges into the same version one raises ``Taken`` and changes nothing; it may be run again.
     """
@@ -170,38 +179,66 @@ def merge_catalog(
     where = folders(spark, path)
     if not where:
         raise FileNotFoundError(f"no saved catalogue in {path}")
-    changes, deletes = changes or {}, deletes or {}
-    for name in sorted({*changes, *deletes}):
-        new = _merge_table(spark, path, name, where[name], changes.get(name), deletes.get(name), (order or {}).get(name))
+    changes, deletes, order, replaced = changes or {}, deletes or {}, order or {}, replaced or {}
+    names = sorted({*changes, *deletes, *replaced})
+
+    def merge(name: str) -> list[dict]:
+        parts = (changes.get(name), deletes.get(name), order.get(name), replaced.get(name), name in competing)
+        return _merge_table(spark, path, name, where[name], *parts)
+
+    for name, new in zip(names, together(spark, [partial(merge, name) for name in names]), strict=True):
         where[name] = f"{LISTS}/{name}-{uuid.uuid4().hex[:12]}"
         Files(spark, path).create(where[name], "\n".join(json.dumps(f) for f in new))
     return _commit(spark, path, number + 1, where)
 
 
 def _merge_table(
-    spark: SparkSession, path: str, name: str, place: str, changes: DataFrame | None, deletes: DataFrame | None, order: list[Column] | None
+    spark: SparkSession,
+    path: str,
+    name: str,
+    place: str,
+    changes: DataFrame | None,
+    deletes: DataFrame | None,
+    order: list[Column] | None,
+    replaced: DataFrame | None = None,
+    competing: bool = False,
 ) -> list[dict]:
     """The files of a table after a merge."""
     keys, cluster = PRIMARY_KEYS[name], CLUSTER[name]
+    order = order or [F.asc(c) for c in _order(name)]
     files = _listed(spark, path, place) if place.startswith(f"{LISTS}/") else _ranges(spark, path, name, place)
     files.sort(key=lambda f: (f["low"], f["high"], f["file"]))
     new = spark.createDataFrame([], TABLES[name])
     if changes is not None:
-        first = first_per_key(changes, keys, order or [F.asc(c) for c in _order(name)])
-        new = stored(first.select(*new.columns), f"changes-{name}")
+        new = stored(changes.select(*new.columns), f"changes-{name}")
+    if deletes is not None:
+        deletes = stored(deletes.select(*keys).distinct(), f"keys-{name}")
+    if replaced is not None:
+        replaced = replaced.select(F.col(replaced.columns[0]).alias(cluster))
+    every = reduce(DataFrame.unionByName, [df.select(cluster) for df in (new, deletes, replaced) if df is not None and cluster in df.columns])
+    if cluster in keys:
+        few = [r[0] for r in every.distinct().limit(FEW_KEYS + 1).collect()]
+        if len(few) > FEW_KEYS:
+            return _merge_ranges(spark, path, name, files, every, new, deletes, order, replaced, competing)
+
+    # Few keys, or rows that may move to another file: what is there now is looked up by key.
+    now = _open(spark, path, name, place)
+    if competing:
+        new = new.unionByName(now.join(moved(new.select(*keys).distinct()), keys, "left_semi").select(*new.columns))
+    if changes is not None:
+        new = stored(first_per_key(new, keys, order), f"changes-{name}")
     gone = new.select(*keys)
+    if replaced is not None:
+        gone = gone.unionByName(now.join(moved(replaced.distinct()), cluster, "left_semi").select(*keys))
     if deletes is not None:
-        gone = stored(gone.unionByName(deletes.select(*keys)).distinct(), f"keys-{name}")
+        gone = gone.unionByName(deletes)
+    if replaced is not None or deletes is not None:
+        gone = stored(gone.distinct(), f"keys-{name}")
 
-    marks = [new.select(cluster)]
-    if cluster in keys:
-        marks.append(gone.select(cluster))
-    else:
+    if cluster not in keys:
         # The row that a key has now may lie elsewhere; only the two columns are read.
-        now = _open(spark, path, name, place).select(*keys, cluster)
-        marks.append(now.join(moved(gone), keys, "left_semi").select(cluster))
-    every = reduce(DataFrame.unionByName, marks)
-    few = [r[0] for r in every.distinct().limit(FEW_KEYS + 1).collect()]
+        every = every.unionByName(now.select(*keys, cluster).join(moved(gone), keys, "left_semi").select(cluster))
+        few = [r[0] for r in every.distinct().limit(FEW_KEYS + 1).collect()]
     held = sorted(few)
     if len(few) <= FEW_KEYS:
         touched = [f for f in files if _any_between(held, f["low"], f["high"])]
@@ -232,6 +269,55 @@ def _merge_table(
     return [f for f in files if f["file"] not in names] + _ranges(spark, path, name, folder)
 
 
+def _merge_ranges(
+    spark: SparkSession,
+    path: str,
+    name: str,
+    files: list[dict],
+    every: DataFrame,
+    new: DataFrame,
+    deletes: DataFrame | None,
+    order: list[Column],
+    replaced: DataFrame | None,
+    competing: bool,
+) -> list[dict]:
+    """The files of a table after a merge of many keys, for a table whose cluster column is in its key.
+
+    The rows that are there, those that come and the keys that go move once, to ranges of their key, where those of a key meet.
+    """
+    keys, cluster, columns = PRIMARY_KEYS[name], CLUSTER[name], new.columns
+    low, high = every.agg(F.min(cluster), F.max(cluster)).first()
+    touched = [f for f in files if f["low"] <= high and f["high"] >= low]
+    now = _read(spark, name, [f"{path}/{f['file']}" for f in touched])
+    comes, goes, there, leaves = range(4)
+
+    def of(df: DataFrame, kind: int) -> DataFrame:
+        return df.withColumn("_kind", F.lit(kind))
+
+    rows = of(now.select(*columns), there).unionByName(of(new, comes))
+    if deletes is not None:
+        rows = rows.unionByName(of(deletes, goes), allowMissingColumns=True)
+    if replaced is not None:
+        rows = rows.unionByName(of(replaced.distinct(), leaves), allowMissingColumns=True)
+    kind, first = F.col("_kind"), F.col("_first")
+    # A key with a null meets no other.
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])
+    rank = F.when(kind == comes, 0).when((kind == there) & whole, 0 if competing else 1).otherwise(2)
+    own = Window.partitionBy(*keys)
+    rows = rows.repartitionByRange(*([cluster] if replaced is not None else keys)).withColumns(
+        {"_place": F.row_number().over(own.orderBy(rank, *order)), "_first": F.min("_kind").over(own)}
+    )
+    stays = (kind == there) & ((first == there) | ~whole)
+    if replaced is not None:
+        rows = rows.withColumn("_leaves", F.max(kind == leaves).over(Window.partitionBy(cluster)))
+        stays = stays & (~F.col("_leaves") | F.col(cluster).isNull())
+    rows = rows.filter(stays | ((first == comes) & (F.col("_place") == 1))).select(*_order(name))
+    folder = f"{name}/{uuid.uuid4().hex[:12]}"
+    rows.sortWithinPartitions(*keys).write.parquet(f"{path}/{folder}")
+    names = {f["file"] for f in touched}
+    return [f for f in files if f["file"] not in names] + _ranges(spark, path, name, folder)
+
+
 def _any_between(held: list, low, high) -> bool:
     """Whether a sorted list has a value from ``low`` to ``high``."""
     at = bisect_right(held, high)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from titlelake.catalog import Catalog
-from titlelake.operators.joins import attach
+from titlelake.operators.joins import attach, attach_few
 from titlelake.operators.ranking import cap_per_group, first_per_key
 from titlelake.plans.browse import genre_lists, named_credits, person_credits, with_rating
 
@@ -124,7 +124,7 @@ def _genre_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands =table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("name")
     )
-    coded = attach(brands, _genre(spark, sf_dir), "name", "l_partkey").drop("name")
+    coded = attach_few(brands, _genre(spark, sf_dir), "name", "l_partkey").drop("name")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return attach(items, coded, "l_partkey", "l_orderkey").select("l_orderkey", "genre_id")
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 from titlelake.catalog import Catalog
 from titlelake.functions.text import clean
 from titlelake.operators import load
-from titlelake.operators.joins import moved
-from titlelake.operators.ranking import first_per_key
 from titlelake.schemas import DUMPS, TABLES
-from titlelake.sources.shared import Files, shared_folder, stored
+from titlelake.sources.shared import Files, shared_folder, stored, together
 from titlelake.sources.tables import load_catalog, merge_catalog, save_catalog
 
 #: Dumps whose rows wait for what they refer to.
@@ -38,12 +37,21 @@ def start_load(spark: SparkSession, store: str) -> None:
     save_catalog(empty, f"{store}/catalogue", list(TABLES))
 
 
-def _rows(lines: DataFrame, dump: str) -> DataFrame:
-    """The raw rows of a dump among lines (dump, value), without headers."""
-    columns = DUMPS[dump]
+def _split(spark: SparkSession, lines: DataFrame) -> dict[str, DataFrame]:
+    """The raw rows of each dump among lines (dump, value), without headers; all lines are split and written at once."""
+    width = max(map(len, DUMPS.values()))
     cells = F.split("value", "\t", -1)
-    own = lines.filter((F.col("dump") == dump) & (F.col("value") != "\t".join(columns)))
-    return own.select(*[clean(F.get(cells, F.lit(i))).alias(c) for i, c in enumerate(columns)])
+    headers = ["\t".join(columns) for columns in DUMPS.values()]
+    header = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(DUMPS, headers, strict=True) for x in pair]), F.col("dump"))
+    own = lines.filter(F.col("dump").isin(list(DUMPS)) & (F.col("value") != header))
+    folder = shared_folder(spark, "lines")
+    own.select("dump", *[clean(F.get(cells, F.lit(i))).alias(f"c{i}") for i in range(width)]).write.partitionBy("dump").parquet(folder)
+    schema = ", ".join([f"c{i} string" for i in range(width)] + ["dump string"])
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    return {
+        dump: rows.filter(F.col("dump") == dump).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+        for dump, columns in DUMPS.items()
+    }
 
 
 def _last(spark: SparkSession, store: str, before: int) -> dict:
@@ -58,56 +66,53 @@ def load_batch(spark: SparkSession, store: str, lines: DataFrame, number: int, o
     files = Files(spark, store)
     if files.exists(f"batches/{number:08d}"):
         return
-    # Each dump has a folder of its own, and its lines are split once; all that follows reads the columns it needs.
-    folder = shared_folder(spark, "lines")
-    lines.select("dump", "value").filter(F.col("dump").isin(list(DUMPS))).write.partitionBy("dump").parquet(folder)
-    lines = spark.read.schema("value string, dump string").option("basePath", folder).parquet(folder)
     cat = load_catalog(spark, f"{store}/catalogue")
-    raw = {dump: stored(_rows(lines, dump), "raw") for dump in DUMPS}
-    for dump in DUMPS:
-        load.quarantine(raw[dump], dump).write.mode("overwrite").parquet(f"{store}/quarantine/{dump}/batch={number}")
+    raw = _split(spark, lines)
+
+    def reject(dump: str, rows: DataFrame) -> None:
+        load.quarantine(rows, dump).write.mode("overwrite").parquet(f"{store}/quarantine/{dump}/batch={number}")
+
+    together(spark, [partial(reject, dump, rows) for dump, rows in raw.items()])
     for dump, folder in _last(spark, store, number)["pending"].items():
         kept = spark.read.schema(", ".join(f"{c} string" for c in DUMPS[dump])).parquet(f"{store}/{folder}")
         raw[dump] = raw[dump].unionByName(kept)
 
-    title = stored(load.load_titles(raw["title.basics"], lenient=True), "titles")
-    person = stored(load.load_people(raw["name.basics"], lenient=True), "people")
+    title = load.load_titles(raw["title.basics"], lenient=True)
+    person = load.load_people(raw["name.basics"], lenient=True)
     links = load.explode_genres(raw["title.basics"])
-    genre = load.build_genre_dim(links, cat.genre)
-    known = moved(stored(cat.title.select("tconst").unionByName(title.select("tconst")).distinct(), "known"))
-    people = moved(stored(cat.person.select("nconst").unionByName(person.select("nconst")).distinct(), "known"))
-
-    ratings = stored(load.load_ratings(raw["title.ratings"], known, lenient=True), "ratings")
-    rated = cat.rating.join(moved(ratings.select("tconst")), "tconst", "left_semi")
-    credits = stored(load.load_principals(raw["title.principals"], known, people, order, lenient=True), "credits")
-    credited = cat.principal.join(moved(credits.select("tconst", "ordering")), ["tconst", "ordering"], "left_semi")
+    genre, known, people = together(spark, [
+        lambda: stored(load.build_genre_dim(links, cat.genre), "genre"),
+        lambda: stored(cat.title.select("tconst").unionByName(title.select("tconst")).distinct(), "known"),
+        lambda: stored(cat.person.select("nconst").unionByName(person.select("nconst")).distinct(), "known"),
+    ])
+
+    # What refers to unknown rows waits; each dump is compared with the known keys once.
+    raw["title.ratings"] = raw["title.ratings"].filter("averageRating is not null and numVotes is not null")
+    refers = {
+        "title.ratings": {"tconst": known}, "title.principals": {"nconst": people, "tconst": known}, "title.episode": {"tconst": known, "parentTconst": known},
+    }
+
+    def compare(dump: str) -> tuple[DataFrame, str]:
+        marked = stored(load.mark_known(raw[dump], refers[dump], "_known"), "known")
+        folder = f"pending/{dump}/{uuid.uuid4().hex[:12]}"
+        marked.filter("not _known").select(*DUMPS[dump]).write.parquet(f"{store}/{folder}")
+        return marked.filter("_known").select(*DUMPS[dump]), folder
+
+    compared = dict(zip(WAITING, together(spark, [partial(compare, dump) for dump in WAITING]), strict=True))
+    ready, pending = {d: rows for d, (rows, _) in compared.items()}, {d: folder for d, (_, folder) in compared.items()}
     changes = {
         "title": title,
         "person": person,
         "genre": genre.join(cat.genre, "genre_id", "left_anti"),
         "title_genre": load.build_title_genre(links, genre),
-        # What is there competes with what comes, as in one load of both.
-        "rating": first_per_key(ratings.unionByName(rated), ["tconst"], [F.desc("num_votes"), F.desc("average_rating")]),
-        "principal": first_per_key(credits.unionByName(credited), ["tconst", "ordering"], order),
-        "episode": load.load_episodes(raw["title.episode"], known, lenient=True),
-    }
-    # A title that is sent again has the genres of its last row.
-    replaced = cat.title_genre.join(moved(title.select("tconst")), "tconst", "left_semi")
-    parents = known.withColumnRenamed("tconst", "parentTconst")
-    waiting = {
-        "title.ratings": raw["title.ratings"].filter("averageRating is not null and numVotes is not null").join(known, "tconst", "left_anti"),
-        "title.principals": raw["title.principals"].join(known, "tconst", "left_anti").unionByName(
-            raw["title.principals"].join(known, "tconst", "left_semi").join(people, "nconst", "left_anti").select(*DUMPS["title.principals"])
-        ),
-        "title.episode": raw["title.episode"].join(known, "tconst", "left_anti").unionByName(
-            raw["title.episode"].join(known, "tconst", "left_semi").join(parents, "parentTconst", "left_anti").select(*DUMPS["title.episode"])
-        ),
+        "rating": load.load_ratings(ready["title.ratings"], None, lenient=True, repeated=True),
+        "principal": load.load_principals(ready["title.principals"], None, None, order, lenient=True, repeated=True),
+        "episode": load.load_episodes(ready["title.episode"], None, lenient=True),
     }
-    pending = {}
-    for dump in WAITING:
-        pending[dump] = f"pending/{dump}/{uuid.uuid4().hex[:12]}"
-        waiting[dump].select(*DUMPS[dump]).write.parquet(f"{store}/{pending[dump]}")
-    version = merge_catalog(spark, f"{store}/catalogue", changes, {"title_genre": replaced})
+    # A title that is sent again has the genres of its last row. Ratings and credits that are there compete with what comes, as in
+    # one load of both.
+    replaced, orders = {"title_genre": title.select("tconst")}, {"rating": load.rating_order(), "principal": order}
+    version = merge_catalog(spark, f"{store}/catalogue", changes, None, orders, replaced, ["rating", "principal"])
     files.create(f"batches/{number:08d}", json.dumps({"version": version, "pending": pending}))
 
 

@@ -7,7 +7,7 @@ integers bigints and lists texts, so that results of both engines compare by val
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from titlelake.operators import checks, integrity, load, merge, ranking
 from titlelake.plans import analysis, browse, documents, facets, payloads, trends
 from titlelake.schemas import DUMPS, REQUIRED, TABLES
 from titlelake.sources import dumps, testbed
-from titlelake.sources.shared import shared_folder, stored
+from titlelake.sources.shared import shared_folder, stored, together
 from titlelake.sources.tables import differences, load_catalog, load_search, merge_catalog, save_catalog, save_copies, save_search
 from titlelake.streaming import dumps as stream_dumps
 from titlelake.streaming import links, trending
@@ -185,12 +185,12 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         "title.basics": testbed.raw_titles(cat), "title.ratings": testbed.raw_ratings(spark, sf_dir), "name.basics": testbed.raw_people(spark, sf_dir),
         "title.principals": testbed.raw_principals(spark, sf_dir), "title.episode": testbed.raw_episodes(cat),
     }
-    raw = {dump: stored(rows.select(*DUMPS[dump]), "raw") for dump, rows in raw.items()}
+    kept = together(spark, [partial(stored, rows.select(*DUMPS[dump]), "raw") for dump, rows in raw.items()])
+    raw = dict(zip(raw, kept, strict=True))
     stream_dumps.start_load(spark, store)
     for part in range(3):
-        for shift, (dump, rows) in enumerate(raw.items()):
-            own = (F.crc32(rows.columns[0]) + shift) % 3 == part
-            dumps.write_dump(rows.filter(own), f"{incoming}/{dump}/part-{part}", dump)
+        parts = [(dump, rows.filter((F.crc32(rows.columns[0]) + shift) % 3 == part)) for shift, (dump, rows) in enumerate(raw.items())]
+        together(spark, [partial(dumps.write_dump, rows, f"{incoming}/{dump}/part-{part}", dump) for dump, rows in parts])
         stream_dumps.stream_load(spark, incoming, store, f"{store}/checkpoint", [F.asc("nconst")]).awaitTermination()
     after = load_catalog(spark, f"{store}/catalogue")
     named = after.title_genre.join(after.genre, "genre_id")
