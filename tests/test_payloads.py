@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from titlelake.plans import payloads
+from titlelake.sources import testbed
 
 IMG = "https://image.tmdb.org/t/p"
 
@@ -254,3 +255,46 @@ def test_a_payload_that_a_query_makes_is_made_once_a_row(spark):
     found = payloads.payload_titles(made)
     assert found._jdf.queryExecution().optimizedPlan().toString().count('concat({"id": ') == 1
     assert sorted((r["key"], r["id"]) for r in found.collect()) == [("0", 0), ("1", 1), ("3", 3)]
+
+
+@pytest.fixture
+def bed(spark, tmp_path):
+    """Test tables with repeated line items, a line item without number, one of an unknown supplier, and null keys."""
+    day = "timestamp '1995-03-01'"
+    spark.range(1, 7).selectExpr(
+        "id as o_orderkey", "1L as o_custkey", "'F' as o_orderstatus", "id * 10.0D as o_totalprice", f"{day} as o_orderdate", "'2-HIGH' as o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0, 4).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "concat('Brand#', id % 2) as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 3).selectExpr("id as s_suppkey", "concat('Sup ', id) as s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [
+        (1, 2, 1, 1, "A", "F"), (1, 1, 2, 2, "R", "F"), (1, 1, 1, 2, "R", "F"), (1, 1, 1, 2, "R", "F"), (1, 3, 3, 9, "N", "F"), (1, None, 2, 1, "R", "O"),
+        (2, 1, 3, 2, "N", "O"), (None, 1, 1, 1, "R", "F"), (3, 4, 2, 1, None, "F"),
+    ]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, kinds).selectExpr("*", "1.0D as l_extendedprice", f"{day} as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 3).selectExpr("id as event_id", f"{day} as ts", "id as user_id", "'view' as event_type", "5.0D as value").write.parquet(f"{tmp_path}/events.parquet")
+    return testbed.catalogue(spark, str(tmp_path))
+
+
+def test_title_payloads_list_the_credits_in_order(bed, no_broadcast):
+    found = {r["key"]: json.loads(r["payload"])["credits"] for r in testbed.title_payloads(bed).collect()}
+    assert found["tt0000001"] == {
+        "cast": [
+            {"id": 1, "name": "Sup 1", "character": "Role 2"},
+            {"id": 2, "name": "Sup 2", "character": "Role 1", "profile_path": "/fnm0000002.jpg"},
+        ],
+        "crew": [{"id": 1, "name": "Sup 1", "job": "Director", "department": "Directing"}],
+    }
+    assert found["tt0000002"] == {"cast": [], "crew": [{"id": 2, "name": "Sup 2", "job": "Composer"}]}
+    assert found["tt0000003"] == {"cast": [], "crew": []} and found["tt0000004"] == {}
+
+
+def test_title_payloads_move_only_what_they_need(bed, no_broadcast):
+    text = testbed.title_payloads(bed)._jdf.queryExecution().executedPlan().toString()
+    # Frequent people are counted in the line items as they are: repeats are taken out once, before and after one shuffle.
+    assert text.count("WindowGroupLimit [l_orderkey") == 2
+    # A counted list of genres is broadcast, so no link moves to meet its name.
+    assert "SortMergeJoin [genre_id" not in text and "BroadcastHashJoin [genre_id" in text
+    # The texts of a list of credits are made after its rows have met.
+    partial = [line for line in text.splitlines() if "partial_collect_list" in line]
+    assert partial and not any("get_json_object" in line for line in partial)

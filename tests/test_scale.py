@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from titlelake.operators.joins import HOT_KEYS, attach, fits_broadcast, moved
+from titlelake.operators.joins import HOT_KEYS, attach, attach_few, fits_broadcast, moved
 from titlelake.operators.ranking import cap_per_group, number_by
 from titlelake.plans import analysis, browse, documents
 
@@ -142,3 +142,23 @@ def test_a_stored_table_with_small_files_and_many_rows_is_not_broadcast(spark, t
                 same(joined, facts.join(dim, "k", how))
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_derived_table_of_few_rows_is_counted_and_broadcast(spark, monkeypatch):
+    facts = spark.range(3000).select((F.col("id") % 7).alias("k"), "id")
+    dim = spark.range(50_000).select((F.col("id") % 5).alias("k")).distinct().withColumn("v", F.col("k") * 2)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1k")
+    try:
+        assert not fits_broadcast(dim)
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            joined = attach_few(facts, dim, "k", "id", how)
+            assert "BroadcastHashJoin" in plan(joined) and "_salt" not in plan(joined)
+            same(joined, facts.join(dim, "k", how))
+        monkeypatch.setattr("titlelake.operators.joins.FEW_ROWS", 4)
+        joined = attach_few(facts, dim, "k", "id")
+        assert "_salt" in plan(joined)
+        same(joined, facts.join(dim, "k"))
+    finally:
+        spark.conf.set(name, before)

@@ -14,7 +14,8 @@ class Catalog:
 
     ``opener`` maps a table name to its DataFrame and is called once per table, so a
     query plans only the tables it names. ``copies`` finds copies by table and column, and ``ranged`` has tables that
-    come in ranges of their first columns at the cost of one shuffle.
+    come in ranges of their first columns at the cost of one shuffle. ``counted`` has rows with a derived table's keys that cost
+    less to read than the table, to find its frequent keys.
     """
 
     def __init__(
@@ -22,10 +23,12 @@ class Catalog:
         opener: Callable[[str], DataFrame],
         copies: Callable[[str, str], DataFrame | None] | None = None,
         ranged: Mapping[str, Callable[[], DataFrame]] | None = None,
+        counted: Mapping[str, Callable[[], DataFrame]] | None = None,
     ):
         self._opener = opener
         self._copies = copies
         self._ranged = ranged or {}
+        self._counted = counted or {}
         self._open: dict[str, DataFrame] = {}
 
     @classmethod
@@ -48,6 +51,10 @@ class Catalog:
         """A table in ranges of ``order``; a table that can be derived in ranges of its first columns isn't moved again."""
         return self._ranged[name]() if name in self._ranged else self[name].repartitionByRange(*order)
 
+    def to_count(self, name: str) -> DataFrame:
+        """Rows in which the frequent keys of a table are about as frequent: those it is derived from, or its own."""
+        return self._counted[name]() if name in self._counted else self[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -151,7 +151,7 @@ def title_summary(cat: Catalog, ids: Keys = None) -> DataFrame:
 def named_credits(cat: Catalog, principal: DataFrame) -> DataFrame:
     """Credits with the person's name; a person with very many credits is spread by title."""
     people = cat.person.select("nconst", F.col("primary_name").alias("name"))
-    return attach(principal, people, "nconst", ["tconst", "ordering"], count_on=cat.principal)
+    return attach(principal, people, "nconst", ["tconst", "ordering"], count_on=cat.to_count("principal"))
 
 
 def title_crew(cat: Catalog, ids: Keys = None) -> DataFrame:

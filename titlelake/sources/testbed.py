@@ -40,7 +40,9 @@ def ident(prefix: str, number: Column) -> Column:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalog:
     ranged = {name: lambda make=make: make(spark, sf_dir) for name, make in _RANGED.items()}
-    return Catalog(lambda name: _TABLES[name](spark, sf_dir), ranged=ranged)
+    # Repeats of a credit are in the line items too; they are not taken out just to count people.
+    counted = {"principal": lambda: credit_rows(spark, sf_dir)}
+    return Catalog(lambda name: _TABLES[name](spark, sf_dir), ranged=ranged, counted=counted)
 
 
 def _title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,21 +334,22 @@ def title_payloads(cat: Catalog) -> DataFrame:
     """One payload per title with its credits, watch providers and similar titles."""
     job = F.create_map(*[F.lit(x) for c, (name, _) in JOBS.items() for x in (c, name)])
     dept = F.create_map(*[F.lit(x) for c, (_, name) in JOBS.items() for x in (c, name)])
-    member = F.struct(
-        "ordering",
-        "category",
-        _local(F.col("nconst")).alias("id"),
-        "name",
-        F.get_json_object("characters", "$[0]").alias("character"),
-        F.when(F.col("ordering") % 2 == 1, F.concat(F.lit("/f"), F.col("nconst"), F.lit(".jpg"))).alias("profile_path"),
-        F.try_element_at(job, F.col("category")).alias("job"),
-        F.try_element_at(dept, F.col("category")).alias("department"),
-    )
-    credits = (
-        named_credits(cat, cat.principal)
-        .groupBy("tconst")
-        .agg(F.array_sort(F.collect_list(member)).alias("people"))
+    # What follows from a credit's columns is made after its title's credits have met, so only these columns move.
+    credit = F.struct("ordering", "category", "nconst", "name", "characters")
+    members = F.transform(
+        F.collect_list(credit),
+        lambda c: F.struct(
+            c["ordering"].alias("ordering"),
+            c["category"].alias("category"),
+            _local(c["nconst"]).alias("id"),
+            c["name"].alias("name"),
+            F.get_json_object(c["characters"], "$[0]").alias("character"),
+            F.when(c["ordering"] % 2 == 1, F.concat(F.lit("/f"), c["nconst"], F.lit(".jpg"))).alias("profile_path"),
+            F.try_element_at(job, c["category"]).alias("job"),
+            F.try_element_at(dept, c["category"]).alias("department"),
+        ),
     )
+    credits = named_credits(cat, cat.principal).groupBy("tconst").agg(F.array_sort(members).alias("people"))
     links = cat.streaming_link.groupBy("tconst").agg(F.array_sort(F.collect_set("platform")).alias("platforms"))
     genres = genre_lists(cat.title_genre, cat.genre)
     is_tv = F.col("title_type") == "tvSeries"
